@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import read_ranks, token_digests
 from .common import table
+from .mixing import mix_counts
 from .quality_rules import quality_verdicts
 from .url_filter import judge_urls
 
@@ -22,11 +24,22 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_counts(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_repeats=2)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op8_quality_rules)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op5_source_mix, op8_quality_rules, op10_byte_bpe)}
 
 ORACLES = {
     "op1_url_filter": r"""
