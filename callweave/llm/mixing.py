@@ -153,3 +153,15 @@ def mix_counts(docs: DataFrame, weights: list[float], share: float = 1.5, max_re
         .unionByName(documents.where("size = 0").select("m_key", "m_id", "size", F.lit(0).cast("bigint").alias("taken")))
     )
     return used.join(sources.select("m_key", "source_size", "target"), "m_key").select(F.col("m_id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def take_documents(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with their columns.
+
+    A document at the edge of the part that is taken is kept whole when at least half of it
+    is. Rows without an id or without words are not taken.
+    """
+    counts = mix_counts(docs, weights, share, max_repeats, block_tokens, id_col, text_col, source_col)
+    copies = counts.where("size > 0").groupBy(F.col(id_col).alias("c_id")).agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).cast("int").alias("c_copies"))
+    joined = docs.join(copies.where("c_copies > 0"), docs[id_col] == F.col("c_id"))
+    return joined.withColumn("c_copy", F.explode(F.sequence(F.lit(1), F.col("c_copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import read_ranks, token_digests
 from .common import table
+from .lang_id import predict_languages
 from .mixing import mix_counts
+from .quality_mil import score_quality
 from .quality_rules import quality_verdicts
+from .simhash import near_duplicates
+from .spherical import near_vectors
 from .url_filter import judge_urls
 
 #: The rules that op1 applies.
@@ -24,10 +28,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_repeats=2)
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -39,7 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_source_mix, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op10_byte_bpe)}
 
 ORACLES = {
     "op1_url_filter": r"""

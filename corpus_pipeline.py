@@ -2,18 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.llm.bpe import read_ranks, token_digests
+from callweave.llm.lang_id import filter_languages
+from callweave.llm.mixing import take_documents
 from callweave.llm.quality_rules import filter_quality
+from callweave.llm.simhash import drop_near_duplicates
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return filter_languages(docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_quality(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return take_documents(docs, weights=[3, 1, 2], share=1.5, max_repeats=2)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_digests(docs, read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
 
-#: The trained stages cannot be written in SQL.
+#: The first stage is a trained network, which SQL cannot express.
 ORACLE_SQL = None
 
 
