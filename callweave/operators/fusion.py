@@ -17,10 +17,12 @@ from .metrics import evaluate, fill_cells, summary_metrics
 
 def weighted(vectors: Sequence[Column], weights: Sequence[float]) -> Column:
     """The weighted sum of probability vectors, class by class, models in order."""
-    first, *rest = zip(vectors, weights)
-    out = F.transform(first[0], lambda p: F.lit(float(first[1])) * p)
-    for vector, w in rest:
-        out = F.zip_with(out, vector, lambda a, p, w=w: a + F.lit(float(w)) * p)
+    def plus(weight: float):
+        return lambda total, p: total + F.lit(float(weight)) * p
+
+    out = F.transform(vectors[0], lambda p: F.lit(float(weights[0])) * p)
+    for vector, weight in zip(vectors[1:], weights[1:]):
+        out = F.zip_with(out, vector, plus(weight))
     return out
 
 

@@ -84,9 +84,9 @@ def l8_class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.class_distribution(scores(spark, sf_dir), ["split"], "truth"), "percent")
 
 
-@query(f"{_WITH_CLIPS} SELECT doc_id, actor_id, CASE WHEN c_custkey IS NOT NULL THEN CAST(20 + c_custkey % 50 AS INT) END AS age FROM named LEFT JOIN customer ON CAST(actor_id AS BIGINT) = c_custkey AND c_custkey % 2 = 0")
+@query(f"{_WITH_CLIPS} SELECT doc_id, actor_id, CASE WHEN c_custkey IS NOT NULL THEN CAST(20 + c_custkey % 50 AS DOUBLE) END AS age FROM named LEFT JOIN customer ON CAST(actor_id AS BIGINT) = c_custkey AND c_custkey % 2 = 0")
 def l9_join_demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    actors = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("actor_id"), (20 + F.col("c_custkey") % 50).cast("int").alias("age"))
+    actors = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("actor_id"), (20 + F.col("c_custkey") % 50).cast("double").alias("age"))
     return L.join_demographics(clips(spark, sf_dir).select("doc_id", "actor_id"), actors).select("doc_id", "actor_id", "age")
 
 

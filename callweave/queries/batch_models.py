@@ -208,10 +208,10 @@ _HISTORY = "SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id
 
 @query(f"""WITH h AS ({_HISTORY.format(events="events")}), b AS (SELECT *, max(val_wf1) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM h),
 m AS (SELECT *, max(CASE WHEN best IS NULL OR val_wf1 > best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM b), s AS (SELECT *, min(CASE WHEN epoch - last >= 8 THEN epoch END) OVER (PARTITION BY run) AS stop FROM m)
-SELECT run, max(last) AS best_epoch, max(stop) AS stop_epoch, round(max(val_wf1), 6) AS best_score FROM s WHERE stop IS NULL OR epoch <= stop GROUP BY run""")
+SELECT run, max(last) AS best_epoch, max(stop)::DOUBLE AS stop_epoch, round(max(val_wf1), 6) AS best_score FROM s WHERE stop IS NULL OR epoch <= stop GROUP BY run""")
 def m8_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = spark.sql(_HISTORY, events=table(spark, sf_dir, "events"))
-    return rounded(M.best_epoch(history, patience=8), "best_score")
+    return rounded(M.best_epoch(history, patience=8).withColumn("stop_epoch", F.col("stop_epoch").cast("double")), "best_score")
 
 
 @query()

@@ -9,6 +9,7 @@ from ..operators import agreement as V
 from ..operators import errors as E
 from ..operators import handover as H
 from .registry import NAME, WITH_FUSED, fused, query, rounded, table
+from .streams import stream_triggers
 
 _REPORT = f"""{WITH_FUSED}, tiers AS (SELECT *, list_max(fused) AS confidence, fused[1] + fused[2] AS p_handover,
   CASE WHEN truth = pred THEN 'correct' WHEN truth = 1 THEN 'A_FN_frustration' WHEN pred = 1 THEN 'B_FP_frustration' WHEN truth IN (0, 1, 2) AND pred IN (0, 1, 2) THEN 'C_confusion_negatives' WHEN truth IN (0, 1, 2) AND pred = 3 THEN 'C_missed_negative_as_neutral' ELSE 'other' END AS tier FROM fused),
@@ -68,7 +69,7 @@ events0 AS (SELECT *, CASE WHEN instant > 0.6::DOUBLE THEN 'instant_strong_emoti
 calls AS (SELECT dialogue_id, count(*) AS length, count(*) FILTER (truth IN (0, 1)) AS n_negative_utts, coalesce(min(position) FILTER (truth IN (0, 1)), -1) AS first_neg_utt,
   coalesce(min(position) FILTER (reason <> 'ok'), -1) AS trigger_utt, coalesce(arg_min(reason, position) FILTER (reason <> 'ok'), 'ok') AS trigger_reason FROM events0 GROUP BY dialogue_id),
 replay AS (SELECT dialogue_id, length, n_negative_utts > 0 AS has_negative, n_negative_utts, CAST(first_neg_utt AS INT) AS first_neg_utt, CAST(trigger_utt AS INT) AS trigger_utt, trigger_reason, n_negative_utts > 0 AND trigger_utt >= 0 AS caught,
-  n_negative_utts = 0 AND trigger_utt >= 0 AS false_handover, CAST(CASE WHEN n_negative_utts > 0 AND trigger_utt >= 0 THEN trigger_utt - first_neg_utt END AS INT) AS latency_utt FROM calls)"""
+  n_negative_utts = 0 AND trigger_utt >= 0 AS false_handover, CAST(CASE WHEN n_negative_utts > 0 AND trigger_utt >= 0 THEN trigger_utt - first_neg_utt END AS DOUBLE) AS latency_utt FROM calls)"""
 
 
 @query(f"{_EVENTS} SELECT dialogue_id, utterance_id, round(instant, 6) AS handover_score, instant > 0.6::DOUBLE AS handover FROM events0")
@@ -93,7 +94,8 @@ def h4_first_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_EVENTS} SELECT * FROM replay")
 def h5_replay_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.replay_conversations(fused(spark, sf_dir), T, W, probs="fused")
+    calls = H.replay_conversations(fused(spark, sf_dir), T, W, probs="fused")
+    return calls.withColumn("latency_utt", F.col("latency_utt").cast("double"))
 
 
 @query(f"""{_EVENTS}, s AS (SELECT count(*) AS calls, count(*) FILTER (has_negative) AS with_negative, count(*) FILTER (NOT has_negative) AS clean, count(*) FILTER (caught) AS caught, count(*) FILTER (has_negative AND NOT caught) AS missed,
@@ -108,6 +110,11 @@ def h7_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.reason_counts(h5_replay_conversations(spark, sf_dir))
 
 
+@query(f"{_EVENTS} SELECT dialogue_id, CAST(trigger_utt AS BIGINT) AS trigger_utt, trigger_reason FROM replay WHERE trigger_utt >= 0")
+def h8_stream_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_triggers(spark, sf_dir, T, W)
+
+
 _SHEET = f"""SELECT doc_id AS audio_id, {NAME.format("doc_id % 5")} AS label_truth, """ + ", ".join(
     f"CASE WHEN (doc_id + {k}) % 11 <> 0 THEN {NAME.format(f'CASE WHEN (doc_id * {k}) % 10 < 3 THEN (doc_id % 5 + 1) % 5 ELSE doc_id % 5 END')} END AS annotator_{n}" for n, k in (("ana", 3), ("bea", 7), ("cai", 9))
 )

@@ -30,12 +30,13 @@ _ANSWERS = """SELECT id, CASE id % 5 WHEN 0 THEN '{"score": ' || score || ', "in
   WHEN 1 THEN '```json ' || '{"score": ' || score || '}' || ' ```' WHEN 2 THEN 'Verdict: {"score": ' || score || ', "reason": "x"} done' WHEN 3 THEN 'no verdict' ELSE '{"score": ' END AS response, score, intensity_obs FROM {sentences}"""
 
 
-@query(f"""{WITH_SENTENCES} SELECT id, id % 5 < 3 AS parsed, CASE WHEN id % 5 < 3 THEN score END AS score, CASE WHEN id % 5 = 0 THEN intensity_obs WHEN id % 5 < 3 THEN CAST(0 AS INT) END AS intensity_obs,
-  CASE WHEN id % 5 = 0 THEN false WHEN id % 5 < 3 THEN true END AS "natural", CASE id % 5 WHEN 0 THEN 'r' || id WHEN 1 THEN '' WHEN 2 THEN 'x' END AS reason FROM sentences""")
+@query(f"""{WITH_SENTENCES} SELECT id, id % 5 < 3 AS parsed, CASE WHEN id % 5 < 3 THEN score::DOUBLE END AS score, CASE WHEN id % 5 = 0 THEN intensity_obs::DOUBLE WHEN id % 5 < 3 THEN 0::DOUBLE END AS intensity_obs,
+  CASE WHEN id % 5 = 0 THEN 'false' WHEN id % 5 < 3 THEN 'true' END AS "natural", CASE id % 5 WHEN 0 THEN 'r' || id WHEN 1 THEN '' WHEN 2 THEN 'x' END AS reason FROM sentences""")
 def t4_parse_judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences(spark, sf_dir)
     answer = F.expr(_ANSWERS.split("SELECT id, ")[1].split(" AS response")[0])
-    return T.parse_judge_json(rows.select("id", answer.alias("response"))).drop("response")
+    parsed = T.parse_judge_json(rows.select("id", answer.alias("response"))).drop("response")
+    return parsed.withColumns({"score": F.col("score").cast("double"), "intensity_obs": F.col("intensity_obs").cast("double"), "natural": F.col("natural").cast("string")})
 
 
 _FAILS = "CASE WHEN score < 3 THEN 'low_judge_score(' || score || ')' WHEN abs(intensity_obs - intensity) > 2 THEN 'intensity_mismatch(' || intensity_obs || 'vs' || intensity || ')' ELSE '' END"
@@ -55,12 +56,12 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WITH_FILTERED = f"""{WITH_REASONS}, filtered AS (SELECT id, label, reason = 'ok' AND id % 10 <> 3 AND score >= 3 AND abs(intensity_obs - intensity) <= 2 AS kept,
   CASE WHEN reason <> 'ok' THEN 'heuristic' WHEN id % 10 = 3 OR {_FAILS} <> '' THEN 'judge' END AS stage,
   CASE WHEN reason <> 'ok' THEN reason WHEN id % 10 = 3 THEN 'judge_no_verdict' WHEN {_FAILS} <> '' THEN {_FAILS} END AS reject_reason,
-  CASE WHEN reason = 'ok' AND id % 10 <> 3 THEN score END AS judge_score FROM reasons)"""
+  CASE WHEN reason = 'ok' AND id % 10 <> 3 THEN score::DOUBLE END AS judge_score FROM reasons)"""
 
 
 @query(f"{_WITH_FILTERED} SELECT * FROM filtered")
 def t6_apply_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filtered(spark, sf_dir).select("id", "label", "kept", "stage", "reject_reason", "judge_score")
+    return filtered(spark, sf_dir).select("id", "label", "kept", "stage", "reject_reason", F.col("judge_score").cast("double").alias("judge_score"))
 
 
 @query(f"{_WITH_FILTERED} SELECT reject_reason, count(*) AS n FROM filtered WHERE NOT kept GROUP BY ALL ORDER BY n DESC, reject_reason LIMIT 10")
