@@ -36,101 +36,110 @@ def softsign(x: np.ndarray) -> np.ndarray:
 
 
 def start_values(n_labels: int, hidden: int = HIDDEN) -> dict[str, np.ndarray]:
+    """For each direction: rows of the bytes (x) and turns of the state (u) of the update gate,
+    the reset gate and the fresh state, and the output (v); and the output's bias (c)."""
     random = np.random.default_rng(SEED)
     made = {}
     for side in "fb":
-        made["x" + side] = random.normal(0, 0.5, (PAD + 1, 3 * hidden))  # one row for each byte
-        made["u" + side] = random.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden))
-        made["v" + side] = random.normal(0, 1 / np.sqrt(hidden), (hidden, n_labels))
-    made["c"] = np.zeros(n_labels)
+        made["x" + side] = random.normal(0, 0.5, (3, PAD + 1, hidden))
+        made["u" + side] = random.normal(0, 1 / np.sqrt(hidden), (3, hidden, hidden))
+        made["v" + side] = random.normal(0, 1 / np.sqrt(hidden), (n_labels, hidden))
+    made["c"] = np.zeros((n_labels, 1))
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
 def layer(table, turn, bytes_in, valid, order, keep=None):
-    """States (time, window, hidden) of one direction; keep collects what the way back needs."""
+    """States (time, window, hidden) of one direction; keep collects what the way back needs.
+
+    The three parts of the network lie one after the other in memory, so that every
+    operation runs over whole arrays.
+    """
     steps, width = bytes_in.shape
-    hidden = turn.shape[0]
+    hidden = turn.shape[1]
     states = np.empty((steps, width, hidden), np.float32)
     state = np.zeros((width, hidden), np.float32)
-    x, u = np.empty((width, 3 * hidden), np.float32), np.empty((width, 3 * hidden), np.float32)
-    size = np.empty((width, 2 * hidden), np.float32)
+    x, u, size = np.empty((3, width, hidden), np.float32), np.empty((3, width, hidden), np.float32), np.empty((2, width, hidden), np.float32)
+    gates, fresh, magnitude = x[:2], x[2], size[0]
     for t in order:
-        table.take(bytes_in[t], axis=0, out=x, mode="clip")
+        for k in range(3):
+            table[k].take(bytes_in[t], axis=0, out=x[k], mode="clip")
         np.matmul(state, turn, out=u)
-        gates = x[:, : 2 * hidden]
-        gates += u[:, : 2 * hidden]
+        gates += u[:2]
         np.abs(gates, out=size)
         size += 1
         gates /= size
         gates *= 0.5
         gates += 0.5
-        update, reset = gates[:, :hidden], gates[:, hidden:]
-        fresh = reset * u[:, 2 * hidden :]
-        fresh += x[:, 2 * hidden :]
-        fresh /= 1 + np.abs(fresh)
+        if keep is not None:
+            keep[t] = (state, gates.copy(), u[2].copy(), None)
+        u[2] *= gates[1]
+        fresh += u[2]
+        np.abs(fresh, out=magnitude)
+        magnitude += 1
+        fresh /= magnitude
         after = states[t]
         np.subtract(state, fresh, out=after)
-        after *= update
+        after *= gates[0]
         after += fresh
         if valid is not None:
             after *= valid[t]
         if keep is not None:
-            keep[t] = (state, gates.copy(), u[:, 2 * hidden :].copy(), fresh)
+            keep[t] = (*keep[t][:3], fresh.copy())
         state = after
     return states
 
 
-def position_probabilities(model, bytes_in, valid):
-    """(time, window, label)"""
-    steps = bytes_in.shape[0]
-    logits = layer(model["xf"], model["uf"], bytes_in, valid, range(steps)) @ model["vf"]
-    logits += layer(model["xb"], model["ub"], bytes_in, valid, range(steps - 1, -1, -1)) @ model["vb"]
+def softmax(states: dict, model) -> np.ndarray:
+    """(label, time, window)"""
+    steps, width, hidden = states["f"].shape
+    logits = model["vf"] @ states["f"].reshape(-1, hidden).T
+    logits += model["vb"] @ states["b"].reshape(-1, hidden).T
     logits += model["c"]
-    logits -= logits.max(2, keepdims=True)
+    logits -= logits.max(0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(2, keepdims=True)
-    return logits
+    logits /= logits.sum(0)
+    return logits.reshape(-1, steps, width)
+
+
+def both_layers(model, bytes_in, valid, kept=None) -> dict[str, np.ndarray]:
+    steps = len(bytes_in)
+    orders = {"f": range(steps), "b": range(steps - 1, -1, -1)}
+    return {s: layer(model["x" + s], model["u" + s], bytes_in, valid, orders[s], kept and kept[s]) for s in "fb"}
 
 
 def gradients(model, bytes_in, valid, labels):
     """The loss over all positions, and its gradient by backpropagation through time."""
     steps, width = bytes_in.shape
-    hidden, n_labels = model["uf"].shape[0], len(model["c"])
-    orders = {"f": range(steps), "b": range(steps - 1, -1, -1)}
+    hidden, n_labels = model["uf"].shape[1], len(model["c"])
     kept = {s: [None] * steps for s in "fb"}
-    states = {s: layer(model["x" + s], model["u" + s], bytes_in, valid, orders[s], kept[s]) for s in "fb"}
-    logits = states["f"] @ model["vf"] + states["b"] @ model["vb"] + model["c"]
-    logits -= logits.max(2, keepdims=True)
-    probs = np.exp(logits)
-    probs /= probs.sum(2, keepdims=True)
-    total = valid.sum()
-    truth = probs[:, np.arange(width), labels]
-    loss = -(np.log(truth + 1e-9) * valid[:, :, 0]).sum() / total
+    states = both_layers(model, bytes_in, valid, kept)
+    probs = softmax(states, model)
+    total, mask = valid.sum(), valid[:, :, 0]
+    at = np.arange(width)
+    loss = -(np.log(probs[labels, :, at].T + 1e-9) * mask).sum() / total
     error = probs
-    error[:, np.arange(width), labels] -= 1
-    error *= valid / total
-    flat = error.reshape(-1, n_labels)
-    grads = {"c": flat.sum(0)}
+    error[labels, :, at] -= 1
+    error *= mask / total
+    flat = error.reshape(n_labels, -1)
+    grads = {"c": flat.sum(1, keepdims=True)}
     for s in "fb":
-        grads["v" + s] = states[s].reshape(-1, hidden).T @ flat
-        from_output = error @ model["v" + s].T
+        grads["v" + s] = flat @ states[s].reshape(-1, hidden)
+        from_output = (flat.T @ model["v" + s]).reshape(steps, width, hidden)
         turn, back = model["u" + s], np.zeros((width, hidden), np.float32)
-        on_input, on_turn = np.empty((steps, width, 3 * hidden), np.float32), np.zeros_like(turn)
-        for t in reversed(orders[s]):
+        on_input, on_turn = np.empty((steps, 3, width, hidden), np.float32), np.zeros_like(turn)
+        for t in range(steps - 1, -1, -1) if s == "f" else range(steps):
             before, gates, u, fresh = kept[s][t]
             back = (back + from_output[t]) * valid[t]
-            update, reset = gates[:, :hidden], gates[:, hidden:]
             slope = 0.5 * (1 - np.abs(2 * gates - 1)) ** 2
-            d_fresh = back * (1 - update) * (1 - np.abs(fresh)) ** 2
-            d_update = back * (before - fresh) * slope[:, :hidden]
-            d_reset = d_fresh * u * slope[:, hidden:]
-            on_input[t] = np.concatenate([d_update, d_reset, d_fresh], 1)
-            through = np.concatenate([d_update, d_reset, d_fresh * reset], 1)
+            d_fresh = back * (1 - gates[0]) * (1 - np.abs(fresh)) ** 2
+            on_input[t] = back * (before - fresh) * slope[0], d_fresh * u * slope[1], d_fresh
+            through = on_input[t].copy()
+            through[2] *= gates[1]
             on_turn += before.T @ through
-            back = back * update + through @ turn.T
-        at = bytes_in.ravel()
-        columns = on_input.reshape(-1, 3 * hidden)
-        grads["x" + s] = np.stack([np.bincount(at, columns[:, k], PAD + 1) for k in range(3 * hidden)], 1)
+            back = back * gates[0] + (through @ turn.transpose(0, 2, 1)).sum(0)
+        ids = bytes_in.ravel()
+        columns = on_input.transpose(1, 3, 0, 2).reshape(3, hidden, -1)
+        grads["x" + s] = np.stack([np.stack([np.bincount(ids, c, PAD + 1) for c in part], 1) for part in columns])
         grads["u" + s] = on_turn
     return loss, grads
 
@@ -170,14 +179,17 @@ def document_probabilities(model, texts: list[bytes]) -> np.ndarray:
     """(document, label): the mean over every position of each text; no text is empty."""
     windows = as_windows(texts)
     sums = np.empty((len(windows), len(model["c"])), np.float32)
-    for k in range(0, len(windows), WIDTH):
-        bytes_in = np.ascontiguousarray(windows[k : k + WIDTH].T)
-        padded = bytes_in == PAD
-        valid = None if not padded.any() else (~padded)[:, :, None].astype(np.float32)
-        probs = position_probabilities(model, bytes_in, valid)
-        if valid is not None:
-            probs *= valid
-        sums[k : k + WIDTH] = probs.sum(0)
+    padded = windows[:, -1] == PAD
+    for short in (False, True):
+        rows = np.flatnonzero(padded == short)
+        for k in range(0, len(rows), WIDTH):
+            at = rows[k : k + WIDTH]
+            bytes_in = np.ascontiguousarray(windows[at].T)
+            valid = (bytes_in != PAD)[:, :, None].astype(np.float32) if short else None
+            probs = softmax(both_layers(model, bytes_in, valid), model)
+            if short:
+                probs *= valid[:, :, 0]
+            sums[at] = probs.sum(1).T
     sizes = np.array([len(t) for t in texts])
     first = np.cumsum([0] + [-(-n // WINDOW) for n in sizes[:-1]])
     return np.add.reduceat(sums.astype(np.float64), first, axis=0) / sizes[:, None]
@@ -196,7 +208,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     rows = docs.select(F.col(id_col).alias("s_id"), F.col(lang_col).alias("s_lang"), raw.alias("raw"), room.cast("int").alias("room"))
     drawn = (
         rows.where(F.col("s_lang").isin(list(counts)) & (F.length("raw") > 0))
-        .select("s_lang", F.array(*[cut(k) for k in range(WINDOWS_PER_DOC)]).alias("cuts"), (F.pmod(F.xxhash64("s_id", F.lit("draw")), F.lit(1 << 30)) * weight).alias("rank"), "s_id")
+        .withColumn("rank", F.pmod(F.xxhash64("s_id", F.lit("draw")), F.lit(1 << 30)) * weight)
+        # About three times the sample passes, whatever the number of rows, and only it is sorted.
+        .where(F.col("rank") < 3.0 * SAMPLE_DOCS / len(counts) * (1 << 30))
+        .select("s_lang", F.array(*[cut(k) for k in range(WINDOWS_PER_DOC)]).alias("cuts"), "rank", "s_id")
         .orderBy("rank", "s_id")
         .limit(SAMPLE_DOCS)
     )
@@ -247,7 +262,7 @@ def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return label_languages(rows, langs, model, [id_col, "held_out"], text_col)
 
 
-def filter_languages(docs: DataFrame, min_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def filter_languages(docs: DataFrame, min_score: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs in a learned language with at least min_score, with their columns."""
     langs, model = learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
     own = [f"own_{i}" for i in range(len(docs.columns))]
