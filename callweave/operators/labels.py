@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -68,12 +68,10 @@ def assign_ids(df: DataFrame, split: str = "split", order_by: Sequence[str] = ()
 
 def class_distribution(df: DataFrame, by: Sequence[str] = (), col: str = "target_label") -> DataFrame:
     """Rows and per cent of each class, zero classes too, in every group."""
-    spark = df.sparkSession
-    counts = df.where(F.col(col).between(0, len(K.CLASSES) - 1)).groupBy(*by, F.col(col).alias("class_id")).agg(F.count("*").alias("n"))
-    classes = F.explode(F.array(*[F.lit(i) for i in range(len(K.CLASSES))])).alias("class_id")
-    groups = counts.select(*by).distinct() if by else spark.range(1).select()
-    whole = groups.select(*by, classes).join(counts, [*by, "class_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    total = F.sum("n").over(Window.partitionBy(*by))
+    each = [F.count_if(F.col(col) == i).alias(f"n{i}") for i in range(len(K.CLASSES))]
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("class_id"), F.col(f"n{i}").alias("n")) for i in range(len(K.CLASSES))])).alias("c")
+    whole = df.groupBy(*by).agg(*each).withColumn("total", sum((F.col(f"n{i}") for i in range(1, len(K.CLASSES))), F.col("n0"))).select(*by, "total", rows).select(*by, "total", "c.*")
+    total = F.col("total")
     names = F.get(F.array(*[F.lit(c) for c in K.CLASSES]), F.col("class_id"))
     return whole.select(*by, "class_id", names.alias("class"), "n", F.when(total > 0, 100.0 * F.col("n") / total).otherwise(0.0).alias("percent"))
 

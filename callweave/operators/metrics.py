@@ -19,11 +19,17 @@ def confusion_matrix(df: DataFrame, by: Sequence[str] = (), truth: str = "truth"
 
 
 def fill_cells(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Adds the cells that are zero to by, truth, pred, n."""
-    cells = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda x: F.struct((x / 5).cast("int").alias("truth"), (x % 5).cast("int").alias("pred"), F.lit(0).cast("bigint").alias("n")))
-    groups = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
-    zero = groups.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
-    return counts.unionByName(zero).groupBy(*by, "truth", "pred").agg(F.sum("n").alias("n"))
+    """Adds the cells that are zero to by, truth, pred, n.
+
+    A group has 25 counts at most, so they are gathered in one map and spread over the grid;
+    what counted them runs once.
+    """
+    size = len(K.CLASSES)
+    held = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("truth") * size + F.col("pred"), "n"))).alias("m"))
+    cell = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("cell")
+    grid = held.select(*by, "m", cell)
+    n = F.coalesce(F.try_element_at("m", F.col("cell")), F.lit(0).cast("bigint"))
+    return grid.select(*by, F.floor(F.col("cell") / size).cast("int").alias("truth"), (F.col("cell") % size).alias("pred"), n.alias("n"))
 
 
 def wide(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
