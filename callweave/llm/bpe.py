@@ -202,7 +202,7 @@ def text_bodies(texts: DataFrame, pattern: str, kind: str) -> DataFrame:
     return texts.mapInArrow(run, f"block bigint, ids array<{kind}>, sizes array<int>, body binary, check bigint")
 
 
-def encoded_packs(packs: DataFrame, ranks) -> DataFrame:
+def encoded_packs(packs: DataFrame, ranks, width: str) -> DataFrame:
     """block, pack, check, with the ids of each word in the word's place.
 
     All packs of a bucket meet in one task, which encodes each distinct word of its buckets
@@ -221,7 +221,7 @@ def encoded_packs(packs: DataFrame, ranks) -> DataFrame:
                 for word in words:
                     found = known.get(word)
                     if found is None:
-                        found = known[word] = np.array(encode_word(word, table), "<u4").tobytes()
+                        found = known[word] = np.array(encode_word(word, table), width).tobytes()
                     ids.append(found)
                 made.append(pack(at, ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["block", "pack", "check"])
@@ -241,7 +241,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shared = spark.sparkContext.broadcast(ranks)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    known = encoded_packs(word_packs(texts, pattern), shared)
+    width = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+    known = encoded_packs(word_packs(texts, pattern), shared, width)
     bodies = text_bodies(texts, pattern, kind)
     schema = pa.schema([pa.field("id", ARROW[kind])] + [pa.field(n, ARROW[t]) for n, t in (x.split() for x in outputs.split(", "))])
     work = work or (lambda ids: (ids.tobytes(),))
@@ -253,8 +254,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         held: list[tuple[np.ndarray, list[bytes]]] = [unpack(x.as_py()) for x in packs["pack"]]
         places = np.concatenate([at for at, _ in held]) if held else np.zeros(0, "<u4")
         words = [w for _, part in held for w in part]
-        flat = np.frombuffer(b"".join(words), "<u4")
-        lengths = np.fromiter((len(w) >> 2 for w in words), np.int64, len(words))
+        flat = np.frombuffer(b"".join(words), width)
+        lengths = np.fromiter((len(w) // flat.itemsize for w in words), np.int64, len(words))
         size, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         size[places], start[places] = lengths, np.cumsum(lengths) - lengths
         keys, made = [], []
@@ -265,7 +266,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 ends = np.cumsum(count)
                 take = np.repeat(start[part] - ends + count, count) + np.arange(int(count.sum()))
                 keys.append(key)
-                made.append(work(flat[take]))
+                made.append(work(flat[take].astype("<u4")))
         columns = list(zip(*made)) or [[] for _ in range(len(schema) - 1)]
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip([keys, *columns], schema)], schema=schema)
 
