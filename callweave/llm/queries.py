@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import read_ranks, token_digests
 from .common import table
 from .lang_id import predict_languages
+from .license_scan import scan_licenses
+from .lm_scoring import score_by_labels
 from .mixing import mix_counts
 from .quality_mil import score_quality
 from .quality_rules import quality_verdicts
@@ -36,6 +38,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_repeats=2)
 
@@ -52,6 +58,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +69,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe)}
 
 ORACLES = {
     "op1_url_filter": r"""
