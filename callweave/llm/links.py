@@ -20,6 +20,8 @@ from .common import checkpointed, small_batches
 BLOCK_ROWS, SMALL_GROUP = 512, 48
 #: Pairs that a task looks at together.
 PAIRS_AT_ONCE = 100_000
+#: Tasks over which the edges of one node are dealt.
+SALTS = 8
 
 
 def bucket_blocks(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -91,6 +93,13 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
+    """Joins rows with the one row of their key; a key's rows are dealt to SALTS tasks by `other`."""
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", salt).join(copies, [key, "salt"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that links reach, for every node with a link.
 
@@ -107,7 +116,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(first, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = salted_join(large, first, "hi", "lo").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = checkpointed(small.unionByName(first.select("hi", F.col("m").alias("lo"))).distinct())

@@ -116,7 +116,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = checkpointed(components(linked_fingerprints(classes.select("node"), radius)))
     least = classes.join(found, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = found.join(least, "component").select("node", "component_id")
-    whole = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # Written first, so that the join with the rows is one that can split a frequent fingerprint.
+    whole = checkpointed(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(whole, rows["fp"] == whole["node"]).select(F.col("n_id").alias(id_col), text.alias("fingerprint"), "component_id")
 
