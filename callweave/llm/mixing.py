@@ -83,7 +83,7 @@ def documents_with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col
         F.col(id_col).alias("m_id"),
         F.col(source_col).cast("string").alias("m_source"),
         word_count(text).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(source_col), F.length(text), F.crc32(F.substring(text, 1, 64).cast("binary"))).alias("order"),
+        F.xxhash64(F.col(id_col), F.col(source_col), text).alias("order"),
     )
 
 
