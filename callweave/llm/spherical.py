@@ -6,8 +6,10 @@ list-decoded to all filters whose cap it lies in, that is whose inner product ex
 bound: only directions of the first half that any of the second can still lift over the
 bound are looked at. Vectors that share a filter are compared in double precision.
 
-ROTATIONS, CODE and CAP give a vector about 27 filters. Measured on random vectors of 64
-components, 99.5 % of the pairs of cosine 0.90 share a filter, and all of cosine 0.95.
+The bound is set for each length of vectors so that a random vector gets FILTERS filters on
+average; a vector in fewer than LEAST caps gets the LEAST nearest filters instead. Measured on
+random vectors of 64 components, 99.5 % of the pairs of cosine 0.90 share a filter, and all
+of cosine 0.95.
 
 A link is counted in the smallest filter that its two vectors share, so that links are
 counted once though no pair is ever a row.
@@ -29,21 +31,33 @@ from .common import checkpointed, small_batches
 from .links import SMALL_GROUP, bucket_blocks, components, join_labels, map_blocks, small_pairs
 
 THRESHOLD = 0.9
-ROTATIONS, CODE, CAP, SEED = 16, 64, 3.25, 20240
+ROTATIONS, CODE, FILTERS, LEAST, SEED = 16, 64, 27, 8, 20240
 #: Filters of one length of vectors.
 SPACE = ROTATIONS * CODE * CODE
 
 
-def product_codes(dim: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each rotation: the rotation and the directions on both halves, scaled by sqrt(dim / 2)."""
+def product_codes(dim: int) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The bound, and for each rotation: the rotation and the directions on both halves, scaled by sqrt(dim / 2)."""
     random, half = np.random.default_rng([SEED, dim]), dim - dim // 2
     made = []
     for _ in range(ROTATIONS):
         turn, _ = np.linalg.qr(random.normal(size=(dim, dim)))
         halves = [random.normal(size=(CODE, n)) for n in (half, dim // 2)]
         scaled = [h * np.sqrt(dim / 2) / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-300) for h in halves]
-        made.append((turn, *scaled))
-    return made
+        made.append((turn, *[np.unique(h.round(9), axis=0) for h in scaled]))  # short halves repeat directions
+    probe = all_products(unit(random.normal(size=(64, dim))), made)
+    wanted = min(FILTERS * len(probe), probe.size)
+    return float(np.partition(probe.ravel(), probe.size - wanted)[probe.size - wanted]) - 1e-9, made
+
+
+def all_products(vectors: np.ndarray, codes) -> np.ndarray:
+    """Inner products with every filter, in the order of filters."""
+    parts = []
+    for turn, first, second in codes:
+        turned = vectors @ turn
+        one, two = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
+        parts.append((one[:, :, None] + two[:, None, :]).reshape(len(vectors), -1))
+    return np.concatenate(parts, 1)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,15 +68,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def list_decode(vectors: np.ndarray, codes) -> list[np.ndarray]:
     """The filters of each unit vector, ascending."""
+    bound, codes = codes
     rows, filters = [], []
     for turn_at, (turn, first, second) in enumerate(codes):
         turned = vectors @ turn
         one, two = turned[:, : first.shape[1]] @ first.T, turned[:, first.shape[1] :] @ second.T
-        at, i = np.nonzero(one >= CAP - two.max(1, keepdims=True))
-        which, j = np.nonzero(two[at] >= CAP - one[at, i][:, None])
+        at, i = np.nonzero(one >= bound - two.max(1, keepdims=True))
+        which, j = np.nonzero(two[at] >= bound - one[at, i][:, None])
         rows.append(at[which])
         filters.append((turn_at * CODE + i[which]) * CODE + j)
     row, found = np.concatenate(rows), np.concatenate(filters)
+    few = np.flatnonzero(np.bincount(row, minlength=len(vectors)) < LEAST)
+    if len(few):
+        names = np.concatenate([((k * CODE + np.arange(len(a)))[:, None] * CODE + np.arange(len(b))).ravel() for k, (_, a, b) in enumerate(codes)])
+        for k in few:  # one at a time: such vectors are rare, and all products of one are many
+            best = names[np.argsort(-all_products(vectors[k : k + 1], codes)[0].round(9), kind="stable")[:LEAST]]
+            row, found = np.append(row[row != k], np.full(len(best), k)), np.append(found[row != k], best)
     order = np.lexsort((found, row))
     return np.split(found[order], np.cumsum(np.bincount(row, minlength=len(vectors)))[:-1])
 
@@ -173,7 +194,8 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     reps = members.select("node", "rep", "n")
     least = reps.join(parts, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     named = parts.join(least, "component").select("node", "component_id")
-    per_class = (
+    # Written first, so that the join with the rows is one that can split a frequent vector.
+    per_class = checkpointed(
         reps.join(counts, "node", "left")
         .join(named, "node", "left")
         .select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
