@@ -78,7 +78,8 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word = np.add.reduceat(value, first)
         letters = np.add.reduceat((~space).astype(np.int64), first)
         owner, document = where[first], np.searchsorted(starts, first, "right")
-        count = np.maximum(np.bincount(owner, minlength=n), 1)
+        words = np.bincount(owner, minlength=n)
+        count = np.maximum(words, 1)
         for k, lag in enumerate((1, 2, 3)):
             same = np.zeros(len(word), bool)
             same[lag:] = (word[lag:] == word[:-lag]) & (document[lag:] == document[:-lag])
@@ -88,7 +89,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         new[order[1:]] = (word[order[1:]] != word[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
         out[:, N * N + 3] = np.bincount(owner, new, n) / count
         out[:, N * N + 4] = np.bincount(owner, letters, n) / count / 10
-        out[:, N * N + 5] = np.log1p(count) / 5
+        out[:, N * N + 5] = np.log1p(words) / 5
     return out, counts
 
 
@@ -173,7 +174,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(counts) < 2:
         return None
     weight = F.when(F.col("y") == 1, float(counts[1])).otherwise(float(counts[0]))
-    drawn = known.orderBy(F.pmod(F.xxhash64("s_id"), F.lit(1 << 30)) * weight, "s_id").limit(SAMPLE_DOCS)
+    rank = F.pmod(F.xxhash64("s_id"), F.lit(1 << 30)) * weight
+    # About three times the sample passes, whatever the number of labels, and only it is sorted.
+    drawn = known.withColumn("rank", rank).where(F.col("rank") < 1.5 * SAMPLE_DOCS * (1 << 30)).orderBy("rank", "s_id").limit(SAMPLE_DOCS).drop("rank")
 
     def start():
         def describe(batch):
