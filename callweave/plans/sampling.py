@@ -80,6 +80,7 @@ def short_hash(text: Column) -> Column:
 def generation_plan(points: DataFrame) -> DataFrame:
     """Adds id, prompt and prompt_hash to points."""
     word = F.element_at(literal_map(K.INTENSITY_WORDS), F.col("intensity"))
+    # The lines of a prompt.
     lines = [
         F.lit("Generate ONE customer-support utterance with these properties:"),
         F.concat(F.lit("  Emotion: "), F.col("label")),
