@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import checkpointed
+
+__all__ = ["ARROW", "checkpointed", "crc_rest", "map_column", "small_batches", "table", "text_bytes"]
+
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch is bounded by both.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
@@ -23,14 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder that the session names."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def text_bytes(col: str) -> Column:
     """The UTF-8 bytes of a text."""
     return F.col(col).cast("string").cast("binary")
