@@ -117,12 +117,12 @@ class Block:
     def check(self) -> int:
         return zlib.crc32("\0".join(self.words).encode())
 
-    def packs(self) -> list[tuple[int, bytes]]:
+    def packs(self, buckets: int) -> list[tuple[int, bytes]]:
         """The words by bucket, each with its place in the list."""
         held: dict[int, tuple[list, list]] = {}
         for at, word in enumerate(self.words):
             data = word.encode()
-            ats, words = held.setdefault(zlib.crc32(data) % WORD_BUCKETS, ([], []))
+            ats, words = held.setdefault(zlib.crc32(data) % buckets, ([], []))
             ats.append(at)
             words.append(data)
         return [(bucket, pack(np.array(ats, "<u4"), words)) for bucket, (ats, words) in held.items()]
@@ -170,13 +170,13 @@ def in_blocks(batches, pattern: str):
     yield block, [], [], True
 
 
-def word_packs(texts: DataFrame, pattern: str) -> DataFrame:
+def word_packs(texts: DataFrame, pattern: str, n_buckets: int) -> DataFrame:
     """block, bucket, pack, check: the distinct pre-tokens of every block by hash bucket."""
 
     def run(batches):
         for block, _, _, closed in in_blocks(batches, pattern):
             if closed and block.words:
-                buckets, packs = zip(*block.packs())
+                buckets, packs = zip(*block.packs(n_buckets))
                 n = len(packs)
                 columns = [pa.array([block.name] * n, pa.int64()), pa.array(buckets, pa.int32()), pa.array(packs, pa.binary()), pa.array([block.check()] * n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "bucket", "pack", "check"])
@@ -229,12 +229,13 @@ def encoded_packs(packs: DataFrame, ranks, width: str) -> DataFrame:
     return packs.repartition("bucket").select("block", "pack", "check").mapInArrow(run, "block bigint, pack binary, check bigint")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", work=None, outputs: str = "ids binary") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", work=None, outputs: str = "ids binary", word_buckets: int = WORD_BUCKETS) -> DataFrame:
     """id and the ids of every text, as unsigned 32-bit little-endian integers.
 
     work maps the ids of one text to a tuple for the columns named in outputs, so that a
     caller which needs less than the ids need not move them. The texts are cut twice, once
     for the words and once for the positions: this moves and stores less than keeping both.
+    word_buckets bounds the tasks that encode words; a larger cluster takes more.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     width = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
-    known = encoded_packs(word_packs(texts, pattern), shared, width)
+    known = encoded_packs(word_packs(texts, pattern, word_buckets), shared, width)
     bodies = text_bodies(texts, pattern, kind)
     schema = pa.schema([pa.field("id", ARROW[kind])] + [pa.field(n, ARROW[t]) for n, t in (x.split() for x in outputs.split(", "))])
     work = work or (lambda ids: (ids.tobytes(),))
