@@ -81,9 +81,15 @@ def list_decode(vectors: np.ndarray, codes) -> list[np.ndarray]:
     few = np.flatnonzero(np.bincount(row, minlength=len(vectors)) < LEAST)
     if len(few):
         names = np.concatenate([((k * CODE + np.arange(len(a)))[:, None] * CODE + np.arange(len(b))).ravel() for k, (_, a, b) in enumerate(codes)])
-        for k in few:  # one at a time: such vectors are rare, and all products of one are many
-            best = names[np.argsort(-all_products(vectors[k : k + 1], codes)[0].round(9), kind="stable")[:LEAST]]
-            row, found = np.append(row[row != k], np.full(len(best), k)), np.append(found[row != k], best)
+        enough = ~np.isin(row, few)
+        rows, filters = [row[enough]], [found[enough]]
+        for k in range(0, len(few), 32):  # such vectors are rare, but all products of one are many
+            products = all_products(vectors[few[k : k + 32]], codes)
+            least = min(LEAST, products.shape[1])
+            best = np.argpartition(products, -least, axis=1)[:, -least:]
+            rows.append(np.repeat(few[k : k + 32], least))
+            filters.append(names[best].ravel())
+        row, found = np.concatenate(rows), np.concatenate(filters)
     order = np.lexsort((found, row))
     return np.split(found[order], np.cumsum(np.bincount(row, minlength=len(vectors)))[:-1])
 
@@ -125,6 +131,14 @@ def linked_vectors(members: DataFrame, threshold: float) -> DataFrame:
         def vectors(a, b):
             return unit(flat[at[a] : at[b]].reshape(b - a, -1))
 
+        sets: dict[int, frozenset] = {}
+
+        def filters_of(row):
+            found = sets.get(row)
+            if found is None:
+                found = sets[row] = frozenset(held[held_at[row] : held_at[row + 1]].tolist())
+            return found
+
         def count(i, j):
             np.add.at(counted, i, weight[j])
             np.add.at(counted, j, weight[i])
@@ -140,7 +154,7 @@ def linked_vectors(members: DataFrame, threshold: float) -> DataFrame:
             near = np.einsum("ij,ij->i", units[i], units[j]) >= threshold
             i, j = i[near], j[near]
             join_labels(label, i, j)
-            first = np.fromiter((smallest_shared(held[held_at[x] : held_at[x + 1]], held[held_at[y] : held_at[y + 1]]) for x, y in zip(i, j)), np.int64, len(i))
+            first = np.fromiter((min(filters_of(x) & filters_of(y), default=-1) for x, y in zip(i.tolist(), j.tolist())), np.int64, len(i))
             own = first == bucket[i]
             count(i[own], j[own])
         for s, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
@@ -174,11 +188,6 @@ def linked_vectors(members: DataFrame, threshold: float) -> DataFrame:
     return map_blocks(blocks.join(members.select("node", "n", "v", "filters"), "node"), links, "node string, links bigint, root string")
 
 
-def smallest_shared(a: np.ndarray, b: np.ndarray) -> int:
-    shared = np.intersect1d(a, b, assume_unique=True)
-    return shared[0] if len(shared) else -1
-
-
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id, kept of every row."""
     v = F.col(vector_col).cast("array<double>")
