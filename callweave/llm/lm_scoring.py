@@ -6,43 +6,46 @@ which is low for text like the target. The target model counts the documents tha
 caller marks, the background model all documents. Both are matched: the same vocabulary of
 bytes, orders 1 to 4, smoothing and tables, so that only the counts differ.
 
-Orders 1 and 2 are exact; 3 and 4 share BUCKETS hash buckets each, the same ones in both
-models, which bounds the size of the model whatever the corpus (MODEL_CELLS numbers for each
-model). Every byte of every document is counted. Tasks add up counts in slices, slices are
-added up by key, and only the sums, of bounded size, reach the driver and are broadcast.
+All orders are exact, and the table of n-grams grows with the corpus. Texts are dealt to blocks
+of about BLOCK_BYTES. A block lists each of its distinct n-grams once, as a row with both
+counts; the rows are added up by n-gram in Spark, the sums go back to the blocks that hold
+the n-gram, and each block scores its texts. An n-gram has one row for each block at most, so
+frequent ones weigh no more than others, and nothing is gathered on the driver.
 
 Defined cases: null and empty texts have no tokens, losses 0 and difference 0; without a marked
-document the target model is uniform; repeated rows count and are scored one by one; an
-empty table gives an empty table; further columns are ignored.
+document the target model is uniform; repeated rows count and are scored one by one (equal
+rows share a block); an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_column, small_batches, text_bytes
+from .common import small_batches, text_bytes
 
-BUCKET_BITS = 20
-BUCKETS = 1 << BUCKET_BITS
-#: Where the counts of an order begin in a model's row of numbers.
-UNI, BI, TRI, QUAD = 0, 256, 256 + 65536, 256 + 65536 + BUCKETS
-MODEL_CELLS = QUAD + BUCKETS
-SLICES, SMOOTHING, START = 64, 4.0, b"\n\n\n"
+SMOOTHING, START = 4.0, b"\n\n\n"
 #: Bytes that are looked at together.
 AT_ONCE = 1 << 19
+#: Bytes of the texts of a block, about, and what a row counts for besides its text.
+BLOCK_BYTES, ROW_BYTES = 8 << 20, 32
+#: Parts to which the texts of one id are dealt.
+PARTS = 16
+#: What a key of the table counts: the leading bits of the key, before the bytes.
+TOTAL, UNI, FIRST, BI, TRI, QUAD = (k << 32 for k in range(6))
+#: Distinct n-grams that wait to be added up.
+HELD = 1 << 20
 
 
 def ngrams(texts: list[bytes]):
-    """Cells of the n-grams that end at every byte, in parts: (document, uni, bi, tri, quad, bi and tri before)."""
+    """The four bytes that end at every byte, in parts: (document, quad)."""
     docs, held, size = [], [], 0
     for k, text in enumerate(texts):
         for at in range(0, len(text), AT_ONCE):  # a long text in pieces, each with the bytes before it
-            held.append((START if at == 0 else text[max(0, at - 3) : at]) + text[at : at + AT_ONCE])
+            held.append(((START if at == 0 else b"") + text[max(0, at - 3) : at])[-3:] + text[at : at + AT_ONCE])
             docs.append(k)
             size += len(held[-1])
             if size >= AT_ONCE:
@@ -58,98 +61,131 @@ def cells(docs: list[int], pieces: list[bytes]):
     own = np.ones(len(data), bool)
     starts = np.cumsum(sizes) - sizes
     own[(starts[:, None] + np.arange(3)).ravel()] = False
-    two = data.copy()
-    two[1:] |= data[:-1] << 8
-    three = two.copy()
-    three[1:] |= (two[:-1] & 0xFFFF) << 8
-    three &= 0xFFFFFF
-    four = three.copy()
-    four[3:] |= data[:-3] << 24
-    two &= 0xFFFF
-    tri = (three * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
-    quad = ((four ^ (four >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BUCKET_BITS)
-    at = np.flatnonzero(own)
-    return np.repeat(docs, sizes - 3), data[at], two[at], tri[at], quad[at], two[at - 1], tri[at - 1]
-
-
-def count_cells(texts: list[bytes], out: np.ndarray) -> None:
-    for _, uni, bi, tri, quad, _, _ in ngrams(texts):
-        for base, cell, size in ((UNI, uni, 256), (BI, bi, 65536), (TRI, tri, BUCKETS), (QUAD, quad, BUCKETS)):
-            out[base : base + size] += np.bincount(cell, minlength=size)
-
-
-def count_models(docs: DataFrame, target: Column, text_col: str = "text") -> np.ndarray:
-    """Counts (2, MODEL_CELLS) of the target and of the background."""
-    bounds = np.linspace(0, MODEL_CELLS, SLICES + 1).astype(int)
-
-    def count(batches):
-        sums = np.zeros((2, MODEL_CELLS), np.int64)
-        for batch in batches:
-            texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            marked, other = [t for t, m in zip(texts, marks) if t and m], [t for t, m in zip(texts, marks) if t and not m]
-            count_cells(marked, sums[0])
-            count_cells(other, sums[1])
-        sums[1] += sums[0]
-        parts = [zlib.compress(sums[:, a:b].astype("<i8").tobytes(), 1) for a, b in zip(bounds, bounds[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.frombuffer(zlib.decompress(part), "<i8")
-                sums[k] = sums[k] + found if k in sums else found
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "counts"])
-
-    small_batches(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col).alias("t"), F.coalesce(target, F.lit(False)).alias("m"))
-    parts = rows.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
-    sums = np.zeros((2, MODEL_CELLS), np.int64)
-    for row in parts.collect():  # SLICES rows, MODEL_CELLS numbers for each model
-        a, b = bounds[row["slice"]], bounds[row["slice"] + 1]
-        sums[:, a:b] += np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(2, -1)
-    return sums
-
-
-def losses(texts: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """(2, document): summed losses in bits, target and background; counts as (MODEL_CELLS, 2) floats."""
-    out = np.zeros((2, len(texts)))
-    total = counts[UNI:BI].sum(0)
-    one = (counts[UNI:BI] + 1) / (total + 256)
-    pairs = counts[BI:TRI]
-    second = (pairs + SMOOTHING * np.tile(one, (256, 1))) / (np.repeat(pairs.reshape(256, 256, 2).sum(1), 256, axis=0) + SMOOTHING)
-    second = second.astype(np.float32)
-    for doc, _, bi, tri, quad, bi_before, tri_before in ngrams(texts):
-        p = (counts[TRI + tri] + np.float32(SMOOTHING) * second[bi]) / (counts[BI + bi_before] + np.float32(SMOOTHING))
-        p = (counts[QUAD + quad] + np.float32(SMOOTHING) * p) / (counts[TRI + tri_before] + np.float32(SMOOTHING))
-        bits = -np.log2(p)
+    four = data.copy()
+    for k in range(1, 4):
+        four[k:] |= data[:-k] << (8 * k)
+    return np.repeat(docs, sizes - 3), four[own]
+
+
+def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and for each the sum of its columns of counts (2, key)."""
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    both = np.concatenate(counts, axis=1)
+    return found, np.stack([np.bincount(place, row, len(found)).astype(np.int64) for row in both])
+
+
+def count_quads(marked: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct quads, and their counts (2, quad) in the marked texts and in all."""
+    keys, counts, held = [np.zeros(0, np.uint32)], [np.zeros((2, 0), np.int64)], 0
+    for texts, weight in ((marked, [[1], [1]]), (other, [[0], [1]])):
+        for _, quad in ngrams(texts):
+            found, n = np.unique(quad, return_counts=True)
+            keys.append(found)
+            counts.append(n * np.array(weight))
+            held += len(found)
+            if held > HELD:
+                found, both = add_up(keys, counts)
+                keys, counts, held = [found], [both], 0
+    return add_up(keys, counts)
+
+
+def count_keys(quads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all orders that the losses of the quads need, and their counts here."""
+    q = quads.astype(np.int64)
+    counted = [QUAD | q, TRI | q & 0xFFFFFF, BI | q & 0xFFFF, FIRST | q >> 8 & 0xFF, UNI | q & 0xFF, TOTAL | q & 0]
+    asked = [TRI | q >> 8, BI | q >> 8 & 0xFFFF]  # may lie in START, and be counted elsewhere only
+    parts = [add_up([k], [counts]) for k in counted] + [add_up([k], [counts * 0]) for k in asked]
+    return add_up([k for k, _ in parts], [n for _, n in parts])
+
+
+def quad_bits(quads: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """(2, quad): the losses of the last byte after the three before it, from the sums of all blocks."""
+    q = quads.astype(np.int64)
+    of = lambda key: sums[:, np.searchsorted(keys, key)]
+    p = (of(UNI | q & 0xFF) + 1) / (of(TOTAL | q & 0) + 256)
+    p = (of(BI | q & 0xFFFF) + SMOOTHING * p) / (of(FIRST | q >> 8 & 0xFF) + SMOOTHING)
+    p = (of(TRI | q & 0xFFFFFF) + SMOOTHING * p) / (of(BI | q >> 8 & 0xFFFF) + SMOOTHING)
+    p = (of(QUAD | q) + SMOOTHING * p) / (of(TRI | q >> 8) + SMOOTHING)
+    return -np.log2(p)
+
+
+class Places:
+    """Finds the places of quads in a list of distinct ones that has them all."""
+
+    def __init__(self, quads: np.ndarray):
+        self.quads, bits = quads, max(4, (2 * len(quads)).bit_length())
+        self.shift, self.mask = np.uint32(32 - min(bits, 32)), (1 << min(bits, 32)) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        left = np.arange(len(quads), dtype=np.int32)
+        at = self.start(quads)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            away = self.slots[at] != left
+            left, at = left[away], at[away] + 1 & self.mask
+
+    def start(self, quads: np.ndarray) -> np.ndarray:
+        return (((quads ^ (quads >> np.uint32(15))) * np.uint32(2246822519)) >> self.shift).astype(np.int64)
+
+    def find(self, quads: np.ndarray) -> np.ndarray:
+        at = self.start(quads)
+        found = self.slots[at]
+        left = np.flatnonzero(self.quads[found] != quads)
+        at = at[left]
+        while len(left):
+            at = at + 1 & self.mask
+            found[left] = self.slots[at]
+            away = self.quads[found[left]] != quads[left]
+            left, at = left[away], at[away]
+        return found
+
+
+def losses(texts: list[bytes], quads: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """(2, document): summed losses in bits, target and background."""
+    out, places = np.zeros((2, len(texts))), Places(quads)
+    for doc, quad in ngrams(texts):
+        at = places.find(quad)
         for k in range(2):
-            out[k] += np.bincount(doc, bits[:, k], len(texts))
+            out[k] += np.bincount(doc, bits[k][at], len(texts))
     return out
 
 
-def score_with(docs: DataFrame, counts: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, n_tokens, loss_target and loss_background in bits a byte, and their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(counts.T.astype(np.float32)))
-
-    def start():
-        def score(batch):
-            texts = [t or b"" for t in batch.to_pylist()]
-            size = np.array([len(t) for t in texts], np.int64)
-            mean = losses(texts, shared.value) / np.maximum(size, 1)
-            return [size.tolist(), mean[0].tolist(), mean[1].tolist(), (mean[0] - mean[1]).tolist()]
-
-        return score
-
-    outputs = {"n_tokens": "bigint", "loss_target": "double", "loss_background": "double", "loss_difference": "double"}
-    return map_column(docs, text_bytes(text_col), keep, outputs, start)
-
-
 def score_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Scores with the documents labelled 1 as the target."""
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("g_id")).distinct().withColumn("g_mark", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("r_id"), F.col(text_col).alias("r_text"))
-    # Labels have no bound, so they are never broadcast: one way at every size.
-    marked = rows.join(good.hint("merge"), F.col("r_id") == F.col("g_id"), "left")
-    counts = count_models(marked, F.col("g_mark"), "r_text")
-    return score_with(docs.select(F.col(id_col), F.col(text_col)), counts, [id_col], text_col)
+    """id, n_tokens, loss_target and loss_background in bits a byte, and their difference.
+
+    The documents labelled 1 are the target.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES)).cast("bigint").alias("n")).first()["n"] or 0
+    n_blocks = F.lit(size // BLOCK_BYTES + 1)
+    # Labels and texts of an id meet in the same blocks; rows without an id have no label.
+    block = lambda part: F.pmod(F.xxhash64("id", part), n_blocks)
+    part = F.pmod(F.xxhash64("text"), F.when(F.col("id").isNull(), F.lit(1 << 40)).otherwise(F.lit(PARTS)))
+    texts = rows.select(block(part).alias("block"), "id", "text")
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("id")).distinct()
+    good = good.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))).select(block(F.col("part")).alias("block"), "id")
+
+    def count(key, good: pa.Table, texts: pa.Table) -> pa.Table:
+        held = texts["text"].to_pylist()
+        marks = pc.is_in(texts["id"], value_set=good["id"].combine_chunks()).to_pylist()
+        keys, counts = count_keys(*count_quads([t for t, m in zip(held, marks) if t and m], [t for t, m in zip(held, marks) if t and not m]))
+        return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py())), "gram": pa.array(keys), "n_target": pa.array(counts[0]), "n_all": pa.array(counts[1])})
+
+    def score(known: pa.Table, texts: pa.Table) -> pa.Table:
+        held = [t or b"" for t in texts["text"].to_pylist()]
+        order = np.argsort(known["gram"].to_numpy())
+        keys = known["gram"].to_numpy()[order]
+        sums = np.stack([known[c].to_numpy()[order] for c in ("n_target", "n_all")])
+        quads = (keys[keys >= QUAD] & 0xFFFFFFFF).astype(np.uint32)
+        n = np.array([len(t) for t in held], np.int64)
+        mean = losses(held, quads, quad_bits(quads, keys, sums)) / np.maximum(n, 1)
+        columns = [texts["id"], pa.array(n), *map(pa.array, (mean[0], mean[1], mean[0] - mean[1]))]
+        return pa.table(columns, names=["id", "n_tokens", "loss_target", "loss_background", "loss_difference"])
+
+    counted = good.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(count, "block bigint, gram bigint, n_target bigint, n_all bigint")
+    everywhere = Window.partitionBy("gram")
+    known = counted.select("block", "gram", *[F.sum(c).over(everywhere).alias(c) for c in ("n_target", "n_all")])
+    scored = known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens bigint, loss_target double, loss_background double, loss_difference double")
+    return scored.withColumnRenamed("id", id_col)

@@ -57,6 +57,28 @@ def test_losses_equal_brute_force(spark, monkeypatch):
         assert r["n_tokens"] == len(data[r["doc_id"]])
 
 
+def test_losses_are_exact_where_hash_buckets_would_be_shared(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 30000)
+    letters = np.frombuffer(bytes(range(33, 127)), np.uint8)
+    texts = [bytes(np.random.default_rng(k).choice(letters, 4000)) for k in range(30)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    found = lm_scoring.score_by_labels(df, df.where("doc_id < 9").select("doc_id", F.lit(1).alias("quality"))).collect()
+    orders = [[Counter(t[i - n : i] for t in map(lm_scoring.START.__add__, part) for i in range(4, len(t) + 1)) for n in range(1, 5)] for part in (texts[:9], texts)]
+    assert sorted(r["doc_id"] for r in found) == list(range(30))
+    for r in found:
+        for (one, two, three, four), name in zip(orders, ("loss_target", "loss_background")):
+            firsts, s, bits = Counter(), lm_scoring.SMOOTHING, 0.0
+            for pair, n in two.items():
+                firsts[pair[:1]] += n
+            t = lm_scoring.START + texts[r["doc_id"]]
+            for i in range(4, len(t) + 1):
+                p = (one[t[i - 1 : i]] + 1) / (sum(one.values()) + 256)
+                for n, counts, before in ((2, two, firsts), (3, three, two), (4, four, three)):
+                    p = (counts[t[i - n : i]] + s * p) / (before[t[i - n : i - 1]] + s)
+                bits -= math.log2(p)
+            assert r[name] == pytest.approx(bits / 4000, rel=1e-9)
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     text = bytes(np.random.default_rng(0).integers(97, 110, 5000).astype(np.uint8))
     whole = [np.concatenate(x) for x in zip(*lm_scoring.ngrams([text, b"abc"]))]
