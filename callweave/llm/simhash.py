@@ -123,7 +123,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that name their component, with their columns; rows without an id stay."""
-    verdicts = near_duplicates(docs, id_col, text_col, radius)
-    gone = verdicts.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[f"`{id_col}`"] == gone["gone_id"], "left_anti")
+    """One row of docs for each component, with its columns: the one of least id, null ids last.
+
+    Rows that share that id are told apart by a row key, which is stored with the row.
+    """
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(*[docs[f"`{c}`"].alias(o) for c, o in zip(docs.columns, own)], docs[f"`{id_col}`"].alias("n_id"), docs[f"`{text_col}`"].alias("n_text"), F.monotonically_increasing_id().alias("row"))
+    rows = checkpointed(fingerprints(keyed, [*own, "n_id", "row"], "n_text"))
+    first = F.min(F.struct(F.col("n_id").isNull().alias("without"), F.col("n_id"), F.col("row"))).alias("first")
+    classes = checkpointed(rows.groupBy(F.col("fp").alias("node")).agg(first))
+    found = checkpointed(components(linked_fingerprints(classes.select("node"), radius)))
+    # The rows of a fingerprint without links are a component of its own name.
+    named = classes.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
+    return rows.join(kept, rows["row"] == kept["kept_row"], "left_semi").select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])

@@ -77,5 +77,15 @@ def test_stage_keeps_one_document_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6, 7, 8]
 
 
+def test_stage_decides_by_row(spark):
+    kept = drop_near_duplicates(odd_documents(spark))
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 4, 6, 7, 8, None]
+    a, b = "one two three four five six seven eight nine ten", "rivers run over hills and down to the wide open sea"
+    rows = [(5, a), (7, a.upper()), (3, b), (5, b + " "), (None, a), *[(None, "no id but the same text again and again")] * 50, *[(9, "the same id and the same text in every row")] * 3]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = sorted((tuple(r) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert found == sorted([(5, a), (3, b), rows[5], rows[-1]], key=str)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     check(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.op6_simhash_near_dedup(spark, sf_dir))
