@@ -76,24 +76,25 @@ def running(rows: DataFrame, chunk: str, value: str, order: list) -> DataFrame:
     return joined.select(*rows.columns, (F.col("inside") + F.col("offset")).alias("before"))
 
 
-def documents_with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, m_source, size, and the hash that shuffles the documents of a source."""
+def documents_with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None = None) -> DataFrame:
+    """id, row key (0 without one), m_source, size, and the hash that shuffles the documents of a source."""
     text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).alias("m_id"),
+        (F.col(row_col) if row_col else F.lit(0).cast("bigint")).alias("m_row"),
         F.col(source_col).cast("string").alias("m_source"),
         word_count(text).alias("size"),
         F.xxhash64(F.col(id_col), F.col(source_col), text).alias("order"),
     )
 
 
-def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, documents, slots).
 
-    sources: m_key, m_source, source_size, target. documents: m_id, m_key, size, first token
+    sources: m_key, m_source, source_size, target. documents: m_id, m_row, m_key, size, first token
     `before` in the source's order. slots: slot, m_key, rank, block, epoch.
     """
-    sized = checkpointed(documents_with_sizes(docs, id_col, text_col, source_col))
+    sized = checkpointed(documents_with_sizes(docs, id_col, text_col, source_col, row_col))
     sizes = sized.groupBy("m_source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = source_targets(sizes.select("m_source", "source_size"), weights, share, max_repeats)
     counts = sizes.select(F.col("m_source").alias("s_source"), "n_docs")
@@ -111,7 +112,7 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats
     chunks = F.greatest(F.lit(1), F.col("n_docs") / CHUNK_ROWS).cast("bigint")
     # The leading bits of the hash name the chunk, so chunk and hash order agree.
     dealt = keyed.withColumn("chunk", F.shiftrightunsigned("order", 32) * chunks / F.lit(2**32)).withColumn("chunk", F.floor("chunk"))
-    documents = running(dealt.select("m_id", "m_source", "m_key", "size", "order", "chunk"), "chunk", "size", ["order", "m_id"])
+    documents = running(dealt.select("m_id", "m_row", "m_source", "m_key", "size", "order", "chunk"), "chunk", "size", ["order", "m_id", "m_row"])
 
     # Slots: one row each, mapped to a source through the bins that its interval meets.
     n_slots = sources.agg(F.ceil(F.coalesce(F.sum("target"), F.lit(0.0)) / block_tokens).cast("bigint").alias("n")).first()["n"]
@@ -139,29 +140,38 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats
     return sources, documents, scheduled
 
 
-def mix_counts(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, size, source_size, target, taken: the tokens the mix takes from each document."""
-    sources, documents, slots = mixed(docs, weights, share, max_repeats, block_tokens, id_col, text_col, source_col)
+def taken_tokens(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """m_id, m_row, size, source_size, target, taken: the tokens the mix takes from each row."""
+    sources, documents, slots = mixed(docs, weights, share, max_repeats, block_tokens, id_col, text_col, source_col, row_col)
     uses = slots.groupBy("m_key", "block").agg(F.count("*").alias("uses"))
     spread = documents.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(before div {block_tokens}, (before + size - 1) div {block_tokens})")))
     covered = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * block_tokens) - F.greatest(F.col("before"), F.col("block") * block_tokens)
     used = (
         spread.join(uses, ["m_key", "block"], "left")
-        .groupBy("m_key", "order", "m_id", "size", "before")
+        .groupBy("m_key", "order", "m_id", "m_row", "size", "before")
         .agg(F.sum(covered * F.coalesce("uses", F.lit(0))).alias("taken"))
-        .select("m_key", "m_id", "size", "taken")
-        .unionByName(documents.where("size = 0").select("m_key", "m_id", "size", F.lit(0).cast("bigint").alias("taken")))
+        .select("m_key", "m_id", "m_row", "size", "taken")
+        .unionByName(documents.where("size = 0").select("m_key", "m_id", "m_row", "size", F.lit(0).cast("bigint").alias("taken")))
     )
-    return used.join(sources.select("m_key", "source_size", "target"), "m_key").select(F.col("m_id").alias(id_col), "size", "source_size", "target", "taken")
+    return used.join(sources.select("m_key", "source_size", "target"), "m_key").select("m_id", "m_row", "size", "source_size", "target", "taken")
+
+
+def mix_counts(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, size, source_size, target, taken: the tokens the mix takes from each document."""
+    counts = taken_tokens(docs, weights, share, max_repeats, block_tokens, id_col, text_col, source_col)
+    return counts.select(F.col("m_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def take_documents(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns.
 
     A document at the edge of the part that is taken is kept whole when at least half of it
-    is. Rows without an id or without words are not taken.
+    is. Copies come back to their row by a row key that is stored with it, so rows that share
+    an id or have none count one by one. Rows without words are not taken.
     """
-    counts = mix_counts(docs, weights, share, max_repeats, block_tokens, id_col, text_col, source_col)
-    copies = counts.where("size > 0").groupBy(F.col(id_col).alias("c_id")).agg(F.max(F.expr("(2 * taken + size) div (2 * size)")).cast("int").alias("c_copies"))
-    joined = docs.join(copies.where("c_copies > 0"), docs[id_col] == F.col("c_id"))
-    return joined.withColumn("c_copy", F.explode(F.sequence(F.lit(1), F.col("c_copies")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    rows = checkpointed(docs.select(*[docs[f"`{c}`"].alias(o) for c, o in own.items()], F.monotonically_increasing_id().alias("row")))
+    counts = taken_tokens(rows, weights, share, max_repeats, block_tokens, own[id_col], own[text_col], own[source_col], "row")
+    copies = counts.where("size > 0").select(F.col("m_row").alias("c_row"), F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("c_copies"))
+    joined = rows.join(copies.where("c_copies > 0"), F.col("row") == F.col("c_row"))
+    return joined.withColumn("c_copy", F.explode(F.sequence(F.lit(1), F.col("c_copies")))).select(*[F.col(o).alias(c) for c, o in own.items()])

@@ -70,3 +70,14 @@ def test_odd_documents(spark):
     assert mix_counts(no_documents(spark), [3, 1, 2]).count() == 0
     out = take_documents(odd_documents(spark), [3, 1, 2])
     assert out.columns == odd_documents(spark).columns and out.where("text IS NULL").count() == 0
+
+
+def test_rows_without_an_id_of_their_own_are_taken(spark):
+    ids = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 5).otherwise(F.col("id")).cast("bigint")
+    df = spark.range(900).select(ids.alias("doc_id"), F.concat_ws(" ", F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")), "id").alias("text"), (F.col("id") % 3).cast("string").alias("source"), F.col("id").alias("row"))
+    target = {r["m_source"]: r["target"] for r in mixed(df, [3, 1, 2])[0].collect()}
+    out = take_documents(df, [3, 1, 2])
+    assert out.columns == df.columns and out.groupBy("row").count().agg(F.max("count")).first()[0] <= 2
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.col("row") % 50 + 1).alias("n")).collect()}
+    for source, wanted in target.items():
+        assert abs(taken[source] - wanted) <= 0.1 * wanted, source
