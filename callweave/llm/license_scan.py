@@ -6,8 +6,8 @@ a text as long as itself, D = 2 |A and B| / (|A| + |B|) over bags of bigrams.
 
 Candidates are pruned by size first: D >= t needs |A| >= t / (2 - t) |B|, so a text with fewer
 bigrams drops the template, and a stretch that the text's ends cut below this is dropped.
-Then only stretches are compared that hold a bigram of the template in its place, and of
-those only the ones with enough bigrams in place for t at half weight.
+Then only stretches are compared whose number of bigrams that the template has, wherever they
+stand, is at least t (|A| + |B|) / 2: the bags share no more than that, so no match is lost.
 
 Defined cases: null and empty texts have no licence; of equal coefficients the earlier
 template wins, then the earlier stretch; repeated rows are scanned one by one; an
@@ -74,32 +74,52 @@ class Scanner:
         ids = [[self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w] for w in words]
         self.bags = [Counter(zip(x, x[1:])) for x in ids]
         self.sizes = [len(x) - 1 for x in ids]
-        self.places: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for t, x in enumerate(ids):
-            for offset, pair in enumerate(zip(x, x[1:])):
-                self.places.setdefault(pair, []).append((t, offset))
+        self.holders: dict[tuple[int, int], list[int]] = {}
+        for t, bag in enumerate(self.bags):
+            for pair in bag:
+                self.holders.setdefault(pair, []).append(t)
+
+    def windows(self, hits: np.ndarray, n: int, size: int) -> np.ndarray:
+        """The stretches (start, end) of n bigrams that pass both bounds; hits: places of the template's bigrams."""
+        start = np.arange(hits[0] - size + 1, hits[-1] + 1)
+        first, last = np.maximum(start, 0), np.minimum(start + size, n)
+        held = np.searchsorted(hits, last) - np.searchsorted(hits, first)
+        # A little below the bounds, so that rounding drops nothing; what passes is verified.
+        fits = (last - first >= self.threshold / (2 - self.threshold) * size - 1e-6) & (2 * held >= self.threshold * (last - first + size) - 1e-6)
+        return np.stack([first[fits], last[fits]], 1)
 
     def scan(self, text: bytes | None) -> tuple[float, int, int] | None:
         """(coefficient, template, first word) of the best stretch at the threshold or above."""
         known = self.vocabulary.get
         words = np.fromiter((known(w, -1) for w in normal_words(text or b"")), np.int64)
-        n, least = len(words) - 1, self.threshold / (2 - self.threshold)
-        anchors: Counter = Counter()
+        n = len(words) - 1
+        places: dict[int, list[int]] = {}
         for at in np.flatnonzero((words[:-1] >= 0) & (words[1:] >= 0)).tolist():
-            for t, offset in self.places.get((int(words[at]), int(words[at + 1])), ()):
-                if n >= least * self.sizes[t]:  # the size bound
-                    anchors[t, at - offset] += 1
+            for t in self.holders.get((int(words[at]), int(words[at + 1])), ()):
+                places.setdefault(t, []).append(at)
         best = None
-        for (t, start), hits in anchors.items():
-            size = self.sizes[t]
-            first, last = max(start, 0), min(start + size, n)
-            if last - first < least * size or 2 * hits < self.threshold * size / 2:
+        for t, hits in places.items():
+            size, bag = self.sizes[t], self.bags[t]
+            if len(hits) < self.threshold / (2 - self.threshold) * size - 1e-6:
                 continue
-            stretch = words[first : last + 1].tolist()
-            found = dice(Counter(zip(stretch, stretch[1:])), self.bags[t])
-            key = (-found, t, first)
-            if found >= self.threshold and (best is None or key < best):
-                best = key
+            # The bag of a stretch is carried on to the next one.
+            held, shared, begin, end = Counter(), 0, 0, 0
+            for first, last in self.windows(np.array(hits), n, size).tolist():
+                if first >= end:
+                    held, shared, begin, end = Counter(), 0, first, first
+                for at in range(end, last):
+                    pair = (int(words[at]), int(words[at + 1]))
+                    shared += held[pair] < bag[pair]
+                    held[pair] += 1
+                for at in range(begin, first):
+                    pair = (int(words[at]), int(words[at + 1]))
+                    held[pair] -= 1
+                    shared -= held[pair] < bag[pair]
+                begin, end = first, last
+                found = 2 * shared / (last - first + size)
+                key = (-found, t, first)
+                if found >= self.threshold and (best is None or key < best):
+                    best = key
         return best and (-best[0], best[1], best[2])
 
 
