@@ -6,8 +6,9 @@ the probabilities of the languages, and a document's probabilities are the mean
 positions. Gates and states use the softsign x / (1 + |x|), which costs a tenth of tanh.
 
 The network is trained in numpy by backpropagation through time on a bounded sample:
-at most SAMPLE_DOCS documents, WINDOWS_PER_DOC windows of each, drawn by a hash of the id with
-equal shares for the languages. Languages beyond the MAX_LANGS most frequent are not learned.
+SAMPLE_DOCS documents, or LANG_DOCS for each language where that is more, and WINDOWS_PER_DOC
+windows of each, drawn by a hash of the id with equal shares for the languages. Every
+language that has a text is learned, by one document at least.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; texts of any
 length are read to their end; with nothing to learn from every text is `und`; rows
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import crc_rest, map_column, text_bytes
 
 HIDDEN, WINDOW, PAD = 8, 64, 256
-SAMPLE_DOCS, WINDOWS_PER_DOC, MAX_LANGS = 2000, 3, 64
+SAMPLE_DOCS, WINDOWS_PER_DOC, LANG_DOCS = 2000, 3, 16
 EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 7
-#: Windows that are read side by side when documents are scored.
-WIDTH = 1024
+#: Windows that are read side by side when documents are scored, for up to WIDTH_LANGS languages.
+WIDTH, WIDTH_LANGS = 1024, 64
 
 
 def softsign(x: np.ndarray) -> np.ndarray:
@@ -177,45 +178,54 @@ def train(pieces: list[bytes], labels: list[int], n_labels: int) -> dict[str, np
 
 def document_probabilities(model, texts: list[bytes]) -> np.ndarray:
     """(document, label): the mean over every position of each text; no text is empty."""
-    windows = as_windows(texts)
-    sums = np.empty((len(windows), len(model["c"])), np.float32)
+    windows, n_labels = as_windows(texts), len(model["c"])
+    width = max(1, WIDTH * WIDTH_LANGS // max(WIDTH_LANGS, n_labels))
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)), -(-sizes // WINDOW))
+    sums = np.zeros((len(texts), n_labels))
     padded = windows[:, -1] == PAD
     for short in (False, True):
         rows = np.flatnonzero(padded == short)
-        for k in range(0, len(rows), WIDTH):
-            at = rows[k : k + WIDTH]
+        for k in range(0, len(rows), width):
+            at = rows[k : k + width]
             bytes_in = np.ascontiguousarray(windows[at].T)
             valid = (bytes_in != PAD)[:, :, None].astype(np.float32) if short else None
             probs = softmax(both_layers(model, bytes_in, valid), model)
             if short:
                 probs *= valid[:, :, 0]
-            sums[at] = probs.sum(1).T
-    sizes = np.array([len(t) for t in texts])
-    first = np.cumsum([0] + [-(-n // WINDOW) for n in sizes[:-1]])
-    return np.add.reduceat(sums.astype(np.float64), first, axis=0) / sizes[:, None]
+            first = np.flatnonzero(np.diff(owner[at], prepend=-1))
+            sums[owner[at][first]] += np.add.reduceat(probs.sum(1).T.astype(np.float64), first, axis=0)
+    return sums / sizes[:, None]
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[bytes]]]:
-    """(language, windows) of at most SAMPLE_DOCS documents, the same for the same table."""
-    langs = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("s_lang")).agg(F.count("*").alias("n"))
-    counts = {r["s_lang"]: r["n"] for r in langs.orderBy(F.desc("n"), "s_lang").limit(MAX_LANGS).collect()}
+    """(language, windows) of the documents to learn from, the same for the same table."""
+    raw = text_bytes(text_col)
+    langs = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(raw) > 0)).groupBy(F.col(lang_col).alias("c_lang")).agg(F.count("*").cast("double").alias("weight"))
+    counts = {r["c_lang"]: r["weight"] for r in langs.collect()}
     if not counts:
         return []
-    weight = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(n))])[F.col("s_lang")]
-    raw = text_bytes(text_col)
+    size = max(SAMPLE_DOCS, LANG_DOCS * len(counts))
+    # One row for each language, as the network has.
+    weights = docs.sparkSession.createDataFrame(sorted(counts.items()), f"c_lang {langs.schema['c_lang'].dataType.simpleString()}, weight double")
     room = F.greatest(F.lit(1), F.octet_length(raw) - WINDOW + 1)
     cut = lambda k: F.substring(F.col("raw"), F.pmod(F.xxhash64("s_id", F.lit(k)), F.col("room")).cast("int") + 1, F.lit(WINDOW))
-    rows = docs.select(F.col(id_col).alias("s_id"), F.col(lang_col).alias("s_lang"), raw.alias("raw"), room.cast("int").alias("room"))
+    rows = docs.select(F.col(id_col).alias("s_id"), F.col(lang_col).alias("s_lang"), raw.alias("raw"), room.cast("int").alias("room")).where(F.length("raw") > 0)
+    ranked = rows.join(F.broadcast(weights), F.col("s_lang") == F.col("c_lang")).withColumn("rank", F.pmod(F.xxhash64("s_id", F.lit("draw")), F.lit(1 << 30)) * F.col("weight"))
+    cuts = F.array(*[cut(k) for k in range(WINDOWS_PER_DOC)]).alias("cuts")
     drawn = (
-        rows.where(F.col("s_lang").isin(list(counts)) & (F.length("raw") > 0))
-        .withColumn("rank", F.pmod(F.xxhash64("s_id", F.lit("draw")), F.lit(1 << 30)) * weight)
         # About three times the sample passes, whatever the number of rows, and only it is sorted.
-        .where(F.col("rank") < 3.0 * SAMPLE_DOCS / len(counts) * (1 << 30))
-        .select("s_lang", F.array(*[cut(k) for k in range(WINDOWS_PER_DOC)]).alias("cuts"), "rank", "s_id")
+        ranked.where(F.col("rank") < 3.0 * size / len(counts) * (1 << 30))
+        .select("s_lang", cuts, "rank", "s_id")
         .orderBy("rank", "s_id")
-        .limit(SAMPLE_DOCS)
+        .limit(size)
+        .collect()
     )
-    return [(r["s_lang"], list({bytes(c): None for c in r["cuts"]})) for r in drawn.collect()]
+    missing = sorted(set(counts) - {r["s_lang"] for r in drawn})
+    if missing:  # by chance a language may have no document among the least ranks
+        of = ranked.join(F.broadcast(weights.where(F.col("c_lang").isin(missing)).select(F.col("c_lang").alias("m_lang"))), F.col("s_lang") == F.col("m_lang"))
+        drawn += of.groupBy("s_lang").agg(F.min(F.struct("rank", "s_id", cuts)).alias("first")).select("s_lang", "first.cuts").collect()
+    return [(r["s_lang"], list({bytes(c): None for c in r["cuts"]})) for r in drawn]
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict[str, np.ndarray] | None]:

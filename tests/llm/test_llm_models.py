@@ -69,6 +69,20 @@ def test_language_query(spark, sf_dir):
     assert sum(tested) / len(tested) >= 0.97
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "EPOCHS", 1)
+    rows = [(100 * k + i, chr(0x4E00 + 20 * k) * 30, f"l{k:03d}") for k in range(90) for i in range(1 + k % 7)] + [(-1, "no language", None), (-2, None, "no text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = [f"l{k:03d}" for k in range(90)]
+    assert lang_id.learn(docs)[0] == want
+    monkeypatch.setattr(lang_id, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(lang_id, "LANG_DOCS", 0)
+    assert {lang for lang, _ in lang_id.sample(docs, "doc_id", "text", "lang")} == set(want)
+    model = lang_id.start_values(90)
+    texts = [b"some text " * 40, b"a", b"x" * 64]
+    assert np.allclose(lang_id.document_probabilities(model, texts).sum(1), 1, atol=1e-4)
+
+
 def test_quality_query(spark, sf_dir):
     held = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in queries.op3_quality_classifier(spark, held).collect()}
