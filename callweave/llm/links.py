@@ -20,20 +20,19 @@ from .common import checkpointed, small_batches
 BLOCK_ROWS, SMALL_GROUP = 512, 48
 #: Pairs that a task looks at together.
 PAIRS_AT_ONCE = 100_000
-#: Tasks over which the edges of one node are dealt.
-SALTS = 8
 
 
 def bucket_blocks(keys: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """node, bucket, a, b, part: the members of each block (a, b) of each bucket of two or more.
+    """node, bucket, a, b, part and what else keys have: the members of each block (a, b) of each bucket of two or more.
 
-    keys: (node, bucket), without repeats.
+    keys: (node, bucket, ...), without repeats of both.
     """
-    counts = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    counts = counts.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join can split a large bucket.
+    counts = checkpointed(sizes.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
     dealt = keys.join(counts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    return other.select("node", "bucket", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
+    return other.select(*keys.columns, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part")
 
 
 def map_blocks(members: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -93,18 +92,13 @@ def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = further
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, other: str) -> DataFrame:
-    """Joins rows with the one row of their key; a key's rows are dealt to SALTS tasks by `other`."""
-    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
-    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("salt", salt).join(copies, [key, "salt"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that links reach, for every node with a link.
 
     edges: (src, dst). Alternating large-star and small-star rounds; each round sends every
-    node's neighbours to the smallest of them, and every node keeps one edge in the end.
+    node's neighbours to the smallest of them, and every node keeps one edge in the end. The
+    smallest neighbours, a row for each node, are written before edges are joined with them:
+    both sides of such a join are plain shuffles, and Spark splits a node of very many edges.
     """
     high, low = F.greatest("src", "dst"), F.least("src", "dst")
     now = checkpointed(edges.where("src <> dst").select(high.alias("hi"), low.alias("lo")).distinct())
@@ -115,8 +109,19 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
         before = state
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both, least, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        first = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = salted_join(large, first, "hi", "lo").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = checkpointed(large)
+        first = checkpointed(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        small = large.join(first, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = checkpointed(small.unionByName(first.select("hi", F.col("m").alias("lo"))).distinct())
+
+
+def component_minima(members: DataFrame, parts: DataFrame, value: str, name: str) -> DataFrame:
+    """node, `name`: the least `value` of the component of each node that has a component.
+
+    members: (node, value); parts: (node, component). The minima are written first, so that
+    the join with the nodes can split a component of very many nodes.
+    """
+    least = checkpointed(members.join(parts, "node").groupBy("component").agg(F.min(value).alias(name)))
+    return parts.join(least, "component").select("node", name)

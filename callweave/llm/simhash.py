@@ -3,12 +3,16 @@
 A fingerprint has a bit set where over half of the 64-bit hashes of a text's word shingles
 have it. Texts link when their fingerprints differ in at most `radius` bits.
 
-Equal fingerprints are one class. Two fingerprints within the radius agree in two of
-radius + 2 segments at least, so classes are dealt to buckets by every pair of segments,
-which loses no pair. Every fingerprint carries a table of its Hamming distances to pivots,
-the reference fingerprints: by the triangle inequality no coordinate of two fingerprints
-within the radius differs by more than the radius, so pairs with a larger maximum difference
-are discarded, and the survivors are verified.
+Equal fingerprints are one class. Cut into s segments, two fingerprints within the radius agree
+in s - radius of them at least, so classes are dealt to buckets by every choice of so many
+segments, which loses no pair whatever s is. s grows with the number of classes, so that chance
+alone brings a class about one other in a bucket.
+
+Every fingerprint carries a table of its Hamming distances to pivots, the reference
+fingerprints: by the triangle inequality no coordinate of two fingerprints within the radius
+differs by more than the radius. The members of a large bucket are sorted by the pivot whose
+distances spread most there, and only those within the radius of each other in it are paired;
+of all pairs, those with a larger maximum difference are discarded, and the survivors are verified.
 
 Defined cases: texts without words, null or empty, have fingerprint zero and link like
 others; texts of fewer words than a shingle are one shingle; repeated rows share a class;
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, map_column, text_bytes
-from .links import PAIRS_AT_ONCE, SMALL_GROUP, bucket_blocks, components, join_labels, map_blocks, small_pairs
+from .links import PAIRS_AT_ONCE, SMALL_GROUP, bucket_blocks, component_minima, components, join_labels, map_blocks, small_pairs
 
 SHINGLE, SEED, RADIUS, PIVOTS = 4, 42, 4, 16
 
@@ -64,14 +68,21 @@ def pivots(count: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(k.to_bytes(4, "little"), SEED) for k in range(count)], "<u8")
 
 
-def segment_keys(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """node, bucket for every pair of radius + 2 segments; a bucket holds the pair's number and bits."""
+def segment_masks(count: int, radius: int = RADIUS) -> list[int]:
+    """The bits of every choice of segments in which two fingerprints within the radius may agree."""
     n = radius + 2
+    while n < 16 and count > 1 << 64 * (n - radius) // n:
+        n += 1
     cuts = [64 * i // n for i in range(n + 1)]
-    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+    segments = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(segments, n - radius)]
+
+
+def segment_keys(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """node, bucket for every mask; a bucket holds the mask's number and the bits under it."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    pairs = [F.struct(F.lit(k).alias("k"), F.col("node").bitwiseAND(F.lit(signed(masks[i] | masks[j]))).alias("bits")) for k, (i, j) in enumerate(combinations(range(n), 2))]
-    return fps.select("node", F.explode(F.array(*pairs)).alias("x")).select("node", F.xxhash64("x.k", "x.bits").alias("bucket"))
+    keys = [F.struct(F.lit(k).alias("k"), F.col("node").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, m in enumerate(masks)]
+    return fps.select("node", F.explode(F.array(*keys)).alias("x")).select("node", F.xxhash64("x.k", "x.bits").alias("bucket"))
 
 
 def linked_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -98,24 +109,29 @@ def linked_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         for i, j in small_pairs(starts, sizes):
             verify(i, j)
         for s, size in zip(starts[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-            rows_at_once = max(1, PAIRS_AT_ONCE // size)
-            for k in range(0, size, rows_at_once):
-                i, j = np.meshgrid(np.arange(k, min(k + rows_at_once, size)), np.arange(size), indexing="ij")
-                ahead = i < j
-                verify(s + i[ahead], s + j[ahead])
+            own = far[s : s + size]
+            best = own[:, own.std(0).argmax()].astype(np.int64)
+            order = np.argsort(best, kind="stable")
+            # Each row is paired with those behind it whose distance to the pivot is within the radius.
+            count = np.searchsorted(best[order], best[order] + radius, "right") - np.arange(1, size + 1)
+            step = max(1, PAIRS_AT_ONCE // size)
+            for k in range(0, size, step):
+                n_here = count[k : k + step]
+                i = np.repeat(np.arange(k, k + len(n_here)), n_here)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n_here) - n_here, n_here)
+                verify(s + order[i], s + order[j])
         moved = label != np.arange(n)
         yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["src", "dst"])
 
-    return map_blocks(bucket_blocks(segment_keys(fps, radius)), links, "src bigint, dst bigint")
+    return map_blocks(bucket_blocks(segment_keys(fps, segment_masks(fps.count(), radius))), links, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id of every row."""
     rows = checkpointed(fingerprints(docs.select(F.col(id_col).alias("n_id"), F.col(text_col)), ["n_id"], text_col))
-    classes = rows.groupBy(F.col("fp").alias("node")).agg(F.min("n_id").alias("rep"))
+    classes = checkpointed(rows.groupBy(F.col("fp").alias("node")).agg(F.min("n_id").alias("rep")))
     found = checkpointed(components(linked_fingerprints(classes.select("node"), radius)))
-    least = classes.join(found, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = found.join(least, "component").select("node", "component_id")
+    named = component_minima(classes, found, "rep", "component_id")
     # Written first, so that the join with the rows is one that can split a frequent fingerprint.
     whole = checkpointed(classes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
