@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pytest
 
 from callweave.llm import queries
-from callweave.llm.spherical import list_decode, near_vectors, product_codes, unit
+from callweave.llm.spherical import CODE, Codes, code_size, near_vectors, sketch_radius, unit
 
 
 def slow(rows, threshold=0.9):
@@ -56,15 +57,40 @@ def test_odd_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
-def test_filters_find_pairs_at_the_threshold():
+def pairs_at_the_threshold(n):
     random = np.random.default_rng(5)
-    x = unit(random.normal(size=(400, 64)))
+    x = unit(random.normal(size=(n, 64)))
     z = random.normal(size=x.shape)
     z = unit(z - (z * x).sum(1, keepdims=True) * x)
-    codes = product_codes(64)
-    near = list_decode(0.9 * x + math.sqrt(1 - 0.81) * z, codes)
-    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(list_decode(x, codes), near)]
-    assert np.mean(shared) >= 0.98
+    return x.astype(np.float32), (0.9 * x + math.sqrt(1 - 0.81) * z).astype(np.float32)
+
+
+@pytest.mark.parametrize("count", [1000, 4_000_000, 20_000_000])
+def test_filters_find_pairs_at_the_threshold(count):
+    code, filters = code_size(count)
+    assert (code, filters) == (CODE, 27) or count > 1000
+    codes, shared, held = Codes(64, code, filters), 0, 0
+    found = []
+    for vectors in pairs_at_the_threshold(400):
+        row, one = codes.decode(vectors)
+        held += len(row)
+        found.append([set(x.tolist()) for x in np.split(one, np.cumsum(np.bincount(row, minlength=400))[:-1])])
+    shared = [bool(a & b) for a, b in zip(*found)]
+    assert np.mean(shared) >= 0.98 and 0.7 * filters < held / 800 < 1.4 * filters
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    codes = Codes(64)
+    x, y = (codes.sketches(v) for v in pairs_at_the_threshold(20000))
+    differ = np.bitwise_count(x ^ y).sum(1)
+    assert differ.max() <= sketch_radius(0.9)
+
+
+def test_single_precision_is_kept(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, math.sqrt(0.19)]), (3, [0.8999, math.sqrt(1 - 0.8999**2)])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    exact = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert sorted(tuple(r) for r in near_vectors(df).collect()) == slow(exact)
 
 
 def test_query_equals_brute_force(spark, sf_dir):
