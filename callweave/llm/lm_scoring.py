@@ -4,7 +4,10 @@ A target and a background n-gram model over bytes score every document: for each
 difference of the losses -log2 P(byte | three bytes before), and for the document their mean,
 which is low for text like the target. The target model counts the documents that the
 caller marks, the background model all documents. Both are matched: the same vocabulary of
-bytes, orders 1 to 4, smoothing and tables, so that only the counts differ.
+bytes, orders 1 to 4, smoothing and tables, so that only the counts differ. An order's
+probability is (n(context, byte) + SMOOTHING * lower order) / (n(context) + SMOOTHING), where
+n(context) counts the places at which a byte follows the context, so that the probabilities of all
+bytes after a context add up to 1.
 
 All orders are exact, and the table of n-grams grows with the corpus. Texts are dealt to blocks
 of about BLOCK_BYTES. A block lists each of its distinct n-grams once, as a row with both
@@ -34,8 +37,9 @@ AT_ONCE = 1 << 19
 BLOCK_BYTES, ROW_BYTES = 8 << 20, 32
 #: Parts to which the texts of one id are dealt.
 PARTS = 16
-#: What a key of the table counts: the leading bits of the key, before the bytes.
-TOTAL, UNI, FIRST, BI, TRI, QUAD = (k << 32 for k in range(6))
+#: What a key of the table counts: the leading bits of the key, before the bytes. TOTAL, FIRST,
+#: SECOND and THIRD are contexts of 0 to 3 bytes, the others a byte after such a context.
+TOTAL, UNI, FIRST, BI, SECOND, TRI, THIRD, QUAD = (k << 32 for k in range(8))
 #: Distinct n-grams that wait to be added up.
 HELD = 1 << 20
 
@@ -91,21 +95,22 @@ def count_quads(marked: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np
 
 def count_keys(quads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all orders that the losses of the quads need, and their counts here."""
-    q = quads.astype(np.int64)
-    counted = [QUAD | q, TRI | q & 0xFFFFFF, BI | q & 0xFFFF, FIRST | q >> 8 & 0xFF, UNI | q & 0xFF, TOTAL | q & 0]
-    asked = [TRI | q >> 8, BI | q >> 8 & 0xFFFF]  # may lie in START, and be counted elsewhere only
-    parts = [add_up([k], [counts]) for k in counted] + [add_up([k], [counts * 0]) for k in asked]
+    parts = [add_up([k], [counts]) for k in orders(quads)]
     return add_up([k for k, _ in parts], [n for _, n in parts])
 
 
+def orders(quads: np.ndarray) -> list[np.ndarray]:
+    """The keys of the contexts and of the last byte after them, lowest order first."""
+    q = quads.astype(np.int64)
+    return [TOTAL | q & 0, UNI | q & 0xFF, FIRST | q >> 8 & 0xFF, BI | q & 0xFFFF, SECOND | q >> 8 & 0xFFFF, TRI | q & 0xFFFFFF, THIRD | q >> 8, QUAD | q]
+
+
 def quad_bits(quads: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """(2, quad): the losses of the last byte after the three before it, from the sums of all blocks."""
-    q = quads.astype(np.int64)
-    of = lambda key: sums[:, np.searchsorted(keys, key)]
-    p = (of(UNI | q & 0xFF) + 1) / (of(TOTAL | q & 0) + 256)
-    p = (of(BI | q & 0xFFFF) + SMOOTHING * p) / (of(FIRST | q >> 8 & 0xFF) + SMOOTHING)
-    p = (of(TRI | q & 0xFFFFFF) + SMOOTHING * p) / (of(BI | q >> 8 & 0xFFFF) + SMOOTHING)
-    p = (of(QUAD | q) + SMOOTHING * p) / (of(TRI | q >> 8) + SMOOTHING)
+    total, uni, first, bi, second, tri, third, quad = (sums[:, np.searchsorted(keys, k)] for k in orders(quads))
+    p = (uni + 1) / (total + 256)
+    for context, after in ((first, bi), (second, tri), (third, quad)):
+        p = (after + SMOOTHING * p) / (context + SMOOTHING)
     return -np.log2(p)
 
 
