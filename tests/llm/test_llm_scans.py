@@ -9,40 +9,45 @@ from pyspark.sql import functions as F
 from callweave.llm import license_scan, lm_scoring, queries
 
 
-def slow_cells(text):
-    """Cells of the n-grams of every byte, one byte at a time."""
-    data = lm_scoring.START + text
-    made = []
-    for i in range(3, len(data)):
-        a, b, c, d = data[i - 3 : i + 1]
-        tri = lambda x, y, z: ((x << 16 | y << 8 | z) * 2654435761 % 2**32) >> 12
-        four = a << 24 | b << 16 | c << 8 | d
-        made.append((d, c << 8 | d, tri(b, c, d), ((four ^ four >> 15) * 2246822519 % 2**32) >> 12, b << 8 | c, tri(a, b, c)))
-    return made
-
-
 def slow_models(texts):
-    counts = [Counter() for _ in range(4)]
-    for t in texts:
-        for cell in slow_cells(t):
+    """For each order, how often a byte follows a context of so many bytes."""
+    counts = [{} for _ in range(4)]
+    for text in texts:
+        data = lm_scoring.START + text
+        for i in range(3, len(data)):
             for k in range(4):
-                counts[k][cell[k]] += 1
+                followers = counts[k].setdefault(data[i - k : i], Counter())
+                followers[data[i]] += 1
     return counts
 
 
+def slow_probability(counts, before, byte):
+    p = 1 / 256
+    for k, order in enumerate(counts):
+        followers = order.get(before[len(before) - k :], Counter())
+        weight = 256 if k == 0 else lm_scoring.SMOOTHING
+        p = (followers[byte] + weight * p) / (sum(followers.values()) + weight)
+    return p
+
+
 def slow_loss(text, counts):
-    one, two, three, four = counts
-    total, firsts, bits = sum(one.values()), Counter(), 0.0
-    for pair, n in two.items():
-        firsts[pair >> 8] += n
-    s = lm_scoring.SMOOTHING
-    for uni, bi, tri, quad, bi_before, tri_before in slow_cells(text):
-        p = (one[uni] + 1) / (total + 256)
-        p = (two[bi] + s * p) / (firsts[bi >> 8] + s)
-        p = (three[tri] + s * p) / (two[bi_before] + s)
-        p = (four[quad] + s * p) / (three[tri_before] + s)
-        bits -= math.log2(p)
-    return bits / max(len(text), 1)
+    data = lm_scoring.START + text
+    return sum(-math.log2(slow_probability(counts, data[i - 3 : i], data[i])) for i in range(3, len(data))) / max(len(text), 1)
+
+
+def test_probabilities_after_a_context_add_up_to_one(spark):
+    texts = [(r["text"] or "").encode() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(40).collect()]
+    quads, counts = lm_scoring.count_quads(texts[:15], texts[15:])
+    keys, sums = lm_scoring.count_keys(quads, counts)
+    ends = {t[-3:] for t in texts if len(t) > 3}
+    contexts = [lm_scoring.START, *sorted(ends)[:20], b"the", b"ing", texts[3][10:13]]
+    for context in contexts:
+        every = np.frombuffer(b"".join(bytes([b, *context[::-1]]) for b in range(256)), "<u4")
+        # Keys that no text has count 0.
+        missing = np.setdiff1d(np.concatenate(lm_scoring.orders(every)), keys)
+        known, held = lm_scoring.add_up([keys, missing], [sums, np.zeros((2, len(missing)), np.int64)])
+        probabilities = 2.0 ** -lm_scoring.quad_bits(every, known, held)
+        assert probabilities.sum(1) == pytest.approx([1, 1], abs=1e-9)
 
 
 def test_losses_equal_brute_force(spark, monkeypatch):
@@ -53,7 +58,7 @@ def test_losses_equal_brute_force(spark, monkeypatch):
     models = slow_models([data[0], data[3]]), slow_models(data)
     for r in lm_scoring.score_by_labels(df, labels).collect():
         want = [slow_loss(data[r["doc_id"]], m) for m in models] if data[r["doc_id"]] else [0.0, 0.0]
-        assert (r["loss_target"], r["loss_background"], r["loss_difference"]) == pytest.approx((*want, want[0] - want[1]), rel=1e-3, abs=1e-4)
+        assert (r["loss_target"], r["loss_background"], r["loss_difference"]) == pytest.approx((*want, want[0] - want[1]), rel=1e-9)
         assert r["n_tokens"] == len(data[r["doc_id"]])
 
 
@@ -63,20 +68,9 @@ def test_losses_are_exact_where_hash_buckets_would_be_shared(spark, monkeypatch)
     texts = [bytes(np.random.default_rng(k).choice(letters, 4000)) for k in range(30)]
     df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id bigint, text string")
     found = lm_scoring.score_by_labels(df, df.where("doc_id < 9").select("doc_id", F.lit(1).alias("quality"))).collect()
-    orders = [[Counter(t[i - n : i] for t in map(lm_scoring.START.__add__, part) for i in range(4, len(t) + 1)) for n in range(1, 5)] for part in (texts[:9], texts)]
     assert sorted(r["doc_id"] for r in found) == list(range(30))
-    for r in found:
-        for (one, two, three, four), name in zip(orders, ("loss_target", "loss_background")):
-            firsts, s, bits = Counter(), lm_scoring.SMOOTHING, 0.0
-            for pair, n in two.items():
-                firsts[pair[:1]] += n
-            t = lm_scoring.START + texts[r["doc_id"]]
-            for i in range(4, len(t) + 1):
-                p = (one[t[i - 1 : i]] + 1) / (sum(one.values()) + 256)
-                for n, counts, before in ((2, two, firsts), (3, three, two), (4, four, three)):
-                    p = (counts[t[i - n : i]] + s * p) / (before[t[i - n : i - 1]] + s)
-                bits -= math.log2(p)
-            assert r[name] == pytest.approx(bits / 4000, rel=1e-9)
+    for name, models in (("loss_target", slow_models(texts[:9])), ("loss_background", slow_models(texts))):
+        assert all(r[name] == pytest.approx(slow_loss(texts[r["doc_id"]], models), rel=1e-9) for r in found)
 
 
 def test_long_texts_are_read_in_pieces(monkeypatch):
@@ -105,25 +99,13 @@ def test_odd_documents_are_scored_and_scanned(spark):
     assert license_scan.scan_licenses(no_documents(spark)).count() == 0
 
 
-def slow_scan(text, threshold=0.8):
-    words, best = license_scan.normal_words(text), None
-    for t, (_, template) in enumerate(license_scan.TEMPLATES):
-        x = license_scan.normal_words(template.encode())
-        for start in range(max(1, len(words))):
-            part = words[start : start + len(x)]
-            found = license_scan.dice(Counter(zip(part, part[1:])), Counter(zip(x, x[1:])))
-            if found >= threshold and (best is None or (-found, t, start) < best):
-                best = (-found, t, start)
-    return best and license_scan.TEMPLATES[best[1]][0], -best[0] if best else 0.0
-
-
 def test_scans_equal_brute_force(spark):
     texts = ["Released under the MIT license", "x y. RELEASED UNDER THE MIT LICENSE!! more", "licensed under cc by-nc 4.0", "Licensed under CC BY 4.0 and more", "the license", "", "This work is licensed under the GNU General Public License, version 3. The end", "this work is licensed under a General Public License version 3"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = {r["doc_id"]: (r["license"], r["dice"]) for r in license_scan.scan_licenses(df).collect()}
     for i, text in enumerate(texts):
-        name, value = slow_scan(text.encode())
-        assert found[i][0] == name and found[i][1] == pytest.approx(value), text
+        want = every_stretch(text.encode(), license_scan.TEMPLATES)
+        assert found[i][0] == (want and license_scan.TEMPLATES[want[1]][0]) and found[i][1] == pytest.approx(want[0] if want else 0.0), text
 
 
 def every_stretch(text, templates, threshold=0.8):
@@ -132,13 +114,15 @@ def every_stretch(text, templates, threshold=0.8):
     for t, (_, template) in enumerate(templates):
         x = license_scan.normal_words(template.encode())
         bag = Counter(zip(x, x[1:]))
+        if bag.keys().isdisjoint(zip(words, words[1:])):
+            continue
         for start in range(2 - len(x), len(words)):
             part = words[max(start, 0) : start + len(x)]
             found = license_scan.dice(Counter(zip(part, part[1:])), bag)
-            key = (-found, t, max(start, 0))
+            key = (-found, -len(x), t, max(start, 0))
             if found >= threshold and (best is None or key < best):
                 best = key
-    return best and (-best[0], best[1], best[2])
+    return best and (-best[0], best[2], best[3])
 
 
 def test_reordered_and_scattered_edits_equal_brute_force():
@@ -168,9 +152,51 @@ def test_reordered_and_scattered_edits_equal_brute_force():
     assert scanner.scan(text) == every_stretch(text, templates) and scanner.scan(text)[0] >= 0.8
 
 
-def test_queries_equal_brute_force(spark, sf_dir):
+def test_whole_licences_are_found_and_edited_notices_equal_brute_force():
+    scanner, rng, matches = license_scan.Scanner(license_scan.TEMPLATES), np.random.default_rng(8), 0
+    for name, template in license_scan.TEMPLATES:
+        dice, t, start = scanner.scan(f"a file begins here\n\n{template}\n\nand then goes on".encode())
+        assert (dice, license_scan.TEMPLATES[t], start) == (1.0, (name, template), 4)
+    short = [x for _, x in license_scan.TEMPLATES if len(x.split()) < 20]
+    fill = "this our work is licensed under the public version of a license and post".split()
+    for _ in range(2000):
+        words = short[rng.integers(len(short))].split()
+        for _ in range(rng.integers(0, 4)):
+            at, word = rng.integers(len(words) + 1), fill[rng.integers(len(fill))]
+            words = words[:at] + [word] * int(rng.integers(0, 2)) + words[at + int(rng.integers(0, 2)) :]
+        text = " ".join([*rng.choice(fill, rng.integers(0, 6)), *words, *rng.choice(fill, rng.integers(0, 6))]).encode()
+        found = scanner.scan(text)
+        assert found == every_stretch(text, license_scan.TEMPLATES), text
+        matches += found is not None
+    assert matches > 1000
+
+
+def test_many_templates_are_scanned_in_parts(spark, monkeypatch):
+    texts = [t for _, t in license_scan.TEMPLATES] + ["nothing here", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "license bigint, dice string").select(F.col("license").alias("doc_id"), F.col("dice").alias("text"))
+    whole = sorted(map(tuple, license_scan.scan_licenses(df).collect()))
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 4)
+    assert sorted(map(tuple, license_scan.scan_licenses(df).collect())) == whole
+
+
+def test_license_query_equals_brute_force(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    for r in queries.op9_license_scan(spark, sf_dir).collect():
-        if "icense" in texts[r["doc_id"]] or r["license"]:
-            assert slow_scan(texts[r["doc_id"]].encode())[0] == r["license"]
-    assert queries.op4_lm_scoring(spark, sf_dir).count() == len(texts)
+    rows = queries.op9_license_scan(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = every_stretch((texts[r["doc_id"]] or "").encode(), license_scan.TEMPLATES)
+        assert (r["license"], r["dice"], r["first_word"]) == ((license_scan.TEMPLATES[want[1]][0], want[0], want[2]) if want else (None, 0.0, None))
+
+
+def test_scoring_query_equals_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").collect()}
+    target, background = slow_models([t for i, t in texts.items() if i in good]), slow_models(texts.values())
+    rows = queries.op4_lm_scoring(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["n_tokens"] == len(text)
+        if len(text) < 3000:
+            assert (r["loss_target"], r["loss_background"]) == pytest.approx((slow_loss(text, target), slow_loss(text, background)), rel=1e-9)
+            assert r["loss_difference"] == pytest.approx(r["loss_target"] - r["loss_background"], abs=1e-12)
