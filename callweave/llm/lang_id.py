@@ -12,8 +12,8 @@ language that has a text is learned, by one document at least.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; texts of any
 length are read to their end; with nothing to learn from every text is `und`; rows
-whose id is null are held out; repeated rows are judged one by one; an empty table
-gives an empty table; further columns are ignored.
+whose id is null are held out; repeated rows are judged one by one, and of rows that share an id
+and a language one is learned from; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -201,7 +201,8 @@ def document_probabilities(model, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[bytes]]]:
     """(language, windows) of the documents to learn from, the same for the same table."""
     raw = text_bytes(text_col)
-    langs = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(raw) > 0)).groupBy(F.col(lang_col).alias("c_lang")).agg(F.count("*").cast("double").alias("weight"))
+    # A language weighs by its ids and not by its rows, so that an id that repeats takes no share of the others.
+    langs = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(raw) > 0)).groupBy(F.col(lang_col).alias("c_lang")).agg(F.approx_count_distinct(id_col).cast("double").alias("weight"))
     counts = {r["c_lang"]: r["weight"] for r in langs.collect()}
     if not counts:
         return []
@@ -216,7 +217,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[t
     drawn = (
         # About three times the sample passes, whatever the number of rows, and only it is sorted.
         ranked.where(F.col("rank") < 3.0 * size / len(counts) * (1 << 30))
-        .select("s_lang", cuts, "rank", "s_id")
+        .groupBy("s_lang", "rank", "s_id")
+        .agg(F.min(F.struct(F.xxhash64("raw").alias("hash"), cuts)).alias("first"))
+        .select("s_lang", "first.cuts", "rank", "s_id")
         .orderBy("rank", "s_id")
         .limit(size)
         .collect()

@@ -12,8 +12,8 @@ passages of each, drawn by a fixed permutation. Scoring reads every passage of e
 
 Defined cases: null and empty texts are one empty passage and get a score; texts of any
 length are read to their end; without labels to learn from every score is 0.5; rows whose
-id is null are held out; repeated rows are judged one by one; an empty table gives an
-empty table; further columns are ignored.
+id is null are held out; repeated rows are judged one by one, and of rows that share an id one is
+learned from; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -190,12 +190,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         return describe
 
-    # At most SAMPLE_DOCS rows are broadcast.
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col)).join(F.broadcast(drawn), F.col("d_id") == F.col("s_id"))
-    held = map_column(rows, text_bytes(text_col), ["s_id", "y"], {"bag": "binary"}, start).orderBy("s_id").limit(2 * SAMPLE_DOCS).collect()
+    # At most SAMPLE_DOCS rows are broadcast. Of rows that share an id one is learned from, the one of the
+    # least hash of its text, so that a repeated id weighs no more than others.
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text")).join(F.broadcast(drawn), F.col("d_id") == F.col("s_id"))
+    one = rows.groupBy("s_id", "y").agg(F.min_by("d_text", F.xxhash64("d_text")).alias("s_text"))
+    held = map_column(one, text_bytes("s_text"), ["s_id", "y"], {"bag": "binary"}, start).collect()
     if len({r["y"] for r in held}) < 2:
         return None
-    held.sort(key=lambda r: (str(r["s_id"]), bytes(r["bag"])))
+    held.sort(key=lambda r: str(r["s_id"]))
     bags = [np.frombuffer(r["bag"], "<f2").reshape(-1, FEATURES).astype(np.float32) for r in held]
     return train(bags, [r["y"] for r in held])
 
