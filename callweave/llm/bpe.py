@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW, small_batches
+from .common import ARROW, checkpointed, small_batches
 
 #: A block is closed at this many distinct pre-tokens or pre-tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 200_000, 2_000_000
-#: Hash buckets of words; words a task remembers.
-WORD_BUCKETS, KNOWN_WORDS = 1024, 400_000
+#: Hash buckets of words: one for so many partitions of the texts, from the least to the most.
+PARTITIONS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 16, 1024, 65536
+#: Words of a bucket that a task remembers.
+KNOWN_WORDS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -205,18 +207,19 @@ def text_bodies(texts: DataFrame, pattern: str, kind: str) -> DataFrame:
 def encoded_packs(packs: DataFrame, ranks, width: str) -> DataFrame:
     """block, pack, check, with the ids of each word in the word's place.
 
-    All packs of a bucket meet in one task, which encodes each distinct word of its buckets
-    once; only a task that meets more than KNOWN_WORDS distinct words forgets and goes on.
+    All packs of a bucket meet in one task, one after the other, and each of its distinct words is
+    encoded once; only in a bucket of more than KNOWN_WORDS words they are forgotten on the way.
     """
 
     def run(batches):
-        table, known = ranks.value, {}
+        table, known, last = ranks.value, {}, None
         for batch in batches:
             made = []
-            for data in batch.column(1).to_pylist():
+            for data, bucket in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 at, words = unpack(data)
-                if len(known) > KNOWN_WORDS:
+                if bucket != last or len(known) > KNOWN_WORDS:
                     known.clear()
+                    last = bucket
                 ids = []
                 for word in words:
                     found = known.get(word)
@@ -226,22 +229,30 @@ def encoded_packs(packs: DataFrame, ranks, width: str) -> DataFrame:
                 made.append(pack(at, ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["block", "pack", "check"])
 
-    return packs.repartition("bucket").select("block", "pack", "check").mapInArrow(run, "block bigint, pack binary, check bigint")
+    dealt = packs.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.select("block", "pack", "check", "bucket").mapInArrow(run, "block bigint, pack binary, check bigint")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", work=None, outputs: str = "ids binary", word_buckets: int = WORD_BUCKETS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", work=None, outputs: str = "ids binary", stable: bool = False) -> DataFrame:
     """id and the ids of every text, as unsigned 32-bit little-endian integers.
 
     work maps the ids of one text to a tuple for the columns named in outputs, so that a
     caller which needs less than the ids need not move them. The texts are cut twice, once
-    for the words and once for the positions: this moves and stores less than keeping both.
-    word_buckets bounds the tasks that encode words; a larger cluster takes more.
+    for the words and once for the positions: this moves and stores less than keeping both. Both
+    times they must come in the same order, also after executors were lost. A caller says by
+    `stable` that they do, as those that are read from files and not shuffled since; other texts
+    are written to the checkpoint folder first.
     """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(ranks)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    # An id of any type travels as it is written; it is cast back in the end.
+    own = docs.schema[id_col].dataType.simpleString()
+    kind = own if own in ARROW else "string"
+    texts = docs.select(F.col(id_col).cast(kind), F.col(text_col).cast("string"))
+    if not stable:
+        texts = checkpointed(texts)
+    word_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, texts.rdd.getNumPartitions() // PARTITIONS_A_BUCKET))
     width = "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
     known = encoded_packs(word_packs(texts, pattern, word_buckets), shared, width)
     bodies = text_bodies(texts, pattern, kind)
@@ -272,7 +283,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip([keys, *columns], schema)], schema=schema)
 
     made = known.groupBy("block").cogroup(bodies.groupBy("block")).applyInArrow(assemble, f"id {kind}, {outputs}")
-    return made.withColumnRenamed("id", id_col)
+    return made.withColumn("id", F.col("id").cast(own)).withColumnRenamed("id", id_col)
 
 
 def token_table(ranks: dict[bytes, int]) -> list[bytes]:
@@ -287,10 +298,6 @@ def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids.tolist()))
 
 
-def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
-
-
 def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and the decoded bytes of rows of ids, by the broadcast table of token bytes."""
     shared = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
@@ -306,11 +313,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, and the hashes of the ids and of what they decode to."""
+def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False) -> DataFrame:
+    """id, n_tokens, and the hashes of the ids and of what they decode to. stable: as in encode."""
     shared = docs.sparkSession.sparkContext.broadcast(token_table(ranks))
 
     def work(ids):
         return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode_ids(ids, shared.value)).hexdigest()
 
-    return encode(docs, ranks, pattern, id_col, text_col, work, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, ranks, pattern, id_col, text_col, work, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", stable)

@@ -66,7 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, stable=True)
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe)}
