@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expr import checkpointed
+from ..functions.expr import checkpoint_folder, checkpointed
 
-__all__ = ["ARROW", "checkpointed", "crc_rest", "map_column", "small_batches", "table", "text_bytes"]
+__all__ = ["ARROW", "checkpointed", "crc_rest", "map_column", "remove_folder", "small_batches", "table", "text_bytes", "written"]
 
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch is bounded by both.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -80,3 +81,16 @@ ARROW = {
 def crc_rest(col: str, divisor: int) -> Column:
     """crc32 of an id written as text, modulo divisor."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(divisor))
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared checkpoint folder, and the folder of the table."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder wherever Spark keeps it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,8 +1,10 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 from cases import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from callweave.llm import lang_id, quality_mil, queries
 
@@ -104,3 +106,92 @@ def test_odd_documents(spark):
         found = quality_mil.score_quality(docs, known).collect()
         assert len(found) == 10 and all(0 <= r["score"] <= 1 for r in found)
     assert quality_mil.score_quality(no_documents(spark), labels).count() == 0
+
+
+def slow_language(model, text):
+    """Mean probabilities over all bytes, one byte of one window at a time."""
+    soft = lambda x: x / (1 + np.abs(x))
+    total = 0
+    for at in range(0, len(text), lang_id.WINDOW):
+        window, states = text[at : at + lang_id.WINDOW], {}
+        for side, order in (("f", range(len(window))), ("b", range(len(window) - 1, -1, -1))):
+            rows, turn, state = model["x" + side].astype(float), model["u" + side].astype(float), np.zeros(lang_id.HIDDEN)
+            for t in order:
+                keep, reset = (0.5 + 0.5 * soft(rows[k, window[t]] + state @ turn[k]) for k in (0, 1))
+                fresh = soft(rows[2, window[t]] + reset * (state @ turn[2]))
+                state = keep * state + (1 - keep) * fresh
+                states[side, t] = state
+        for t in range(len(window)):
+            logits = model["vf"] @ states["f", t] + model["vb"] @ states["b", t] + model["c"][:, 0]
+            total = total + np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+    return total / len(text)
+
+
+def test_language_query_equals_a_slow_forward_pass(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, model = lang_id.learn(docs.where(~lang_id.held_out("doc_id")))
+    texts, compared = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}, 0
+    for r in queries.op7_language_id(spark, sf_dir).collect():
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text.decode()):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif len(text) < 1500:
+            want = slow_language(model, text)
+            assert r["score"] == pytest.approx(want.max(), abs=1e-4) and want[langs.index(r["lang_pred"])] == pytest.approx(want.max(), abs=1e-4)
+            compared += 1
+    assert compared > 40
+
+
+def slow_quality(model, text):
+    """The score of a text, one passage at a time."""
+    data, size = text + b"\n", quality_mil.PASSAGE
+    kind = [int(k) for k in quality_mil.class_table()[list(data)]]
+    words, begin = [], None
+    for k in range(len(data)):
+        if kind[k] > 2 and begin is None:
+            begin = k
+        if kind[k] <= 2 and begin is not None:
+            words.append((begin, data[begin:k]))
+            begin = None
+    codes, weights = [], []
+    for at in range(0, len(data), size):
+        n, row = len(data[at : at + size]), np.zeros(quality_mil.FEATURES)
+        for k in range(at, at + n):
+            row[kind[k] * quality_mil.N + (kind[k + 1] if k + 1 < len(data) else 1)] += 1 / n
+        row[: quality_mil.N**2] **= 0.5
+        own = [k for k, (b, _) in enumerate(words) if at <= b < at + n]
+        some = max(1, len(own))
+        for lag in (1, 2, 3):
+            row[quality_mil.N**2 + lag - 1] = sum(k >= lag and words[k][1] == words[k - lag][1] for k in own) / some
+        row[quality_mil.N**2 + 3 :] = len({words[k][1] for k in own}) / some, sum(len(words[k][1]) for k in own) / some / 10, math.log1p(len(own)) / 5
+        code = np.tanh(((row - model["mean"]) / model["spread"]) @ model["e"] + model["d"])
+        codes.append(code)
+        weights.append((np.tanh(code @ model["v"]) / (1 + np.exp(-(code @ model["u"])))) @ model["w"])
+    attention = np.exp(np.array(weights) - max(weights))
+    bag = (attention / attention.sum()) @ np.array(codes)
+    return 1 / (1 + math.exp(-(bag @ model["o"] + model["b"][0])))
+
+
+def test_quality_query_equals_a_slow_forward_pass(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model, texts = quality_mil.learn(docs, labels), {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    rows = queries.op3_quality_classifier(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if len(texts[r["doc_id"]]) < 6000:
+            assert r["score"] == pytest.approx(slow_quality(model, texts[r["doc_id"]]), abs=1e-3)
+
+
+def test_an_id_that_repeats_does_not_fill_the_samples(spark):
+    rng = np.random.default_rng(3)
+    clean = lambda: " ".join(rng.choice(["river", "hill", "morning", "walked", "slowly", "over", "the"], 40))
+    junk = lambda: " ".join(rng.choice(["$$", "##", "|>", "99", "%%*"], 40))
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(str(i).encode()) % 3 != 1][:12]
+    rows = [(i, clean() if k % 2 else junk(), "en" if k % 2 else "xx") for k, i in enumerate(learned)]
+    docs = spark.createDataFrame(rows + [(learned[0], rows[0][1], "xx")] * 7000, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learned)], "doc_id bigint, quality int")
+    scores = {r["doc_id"]: r["score"] for r in quality_mil.score_quality(docs, labels).where("doc_id <> %d" % learned[0]).collect()}
+    assert min(scores[i] for i in learned[1::2]) > 0.5 > max(scores[i] for i in learned[2::2])
+    many = docs.unionByName(spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit("some text of a language").alias("text"), F.lit("xx").alias("lang")))
+    drawn = [lang for lang, _ in lang_id.sample(many, "doc_id", "text", "lang")]
+    assert drawn.count("xx") == 200 + 6 and drawn.count("en") == 6

@@ -1,10 +1,12 @@
+import math
 import random
 import re
+from collections import defaultdict
 
 from cases import no_documents, odd_documents
 
 from callweave.llm import queries
-from callweave.llm.quality_rules import filter_quality, quality_verdicts, repeated_words, text_counts
+from callweave.llm.quality_rules import MEASURES, MIN_GROUP, REACH, filter_quality, quality_verdicts, repeated_words, text_counts
 
 
 def slow_counts(text):
@@ -52,10 +54,34 @@ def test_thresholds_follow_the_source(spark):
     assert not kept[5000] and kept[5001] and all(v for k, v in kept.items() if k < 5000)
 
 
-def test_query_counts_equal_brute_force(spark, sf_dir):
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    for r in queries.op8_quality_rules(spark, sf_dir).collect():
-        counts = slow_counts(texts[r["doc_id"]])
-        assert tuple(r)[1:6] == counts
-        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-        assert r["base_failed"] == failed and not (failed and r["kept"])
+def slow_verdicts(docs):
+    """(counts, failed, kept) of each row (lang, source, text), from plain lists of values."""
+    made, values = [], defaultdict(lambda: defaultdict(list))
+    for lang, source, text in docs:
+        n, chars, symbols, dups, repeats = counts = slow_counts(text)
+        failed = n < 10 or 100 * repeats > 20 * n
+        mine = {"symbols": 1000 * symbols // n, "dup_lines": 1000 * dups // n, "word_length": int(max(0, 100 * chars / n - 400 / math.sqrt(n)))} if n else {}
+        made.append((lang, source, counts, failed, mine))
+        for m, v in () if failed else mine.items():
+            step = max(0, v.bit_length() - 6)
+            for key in ((lang, source), lang, "all"):
+                values[key][m].append(v >> step << step)
+    fences = {key: {m: sorted(v) for m, v in own.items()} for key, own in values.items()}
+
+    def fence(lang, source, m):
+        key = next((k for k in ((lang, source), lang) if len(fences.get(k, {}).get(m, ())) >= MIN_GROUP), "all")
+        held = fences[key][m]
+        q1, q3 = (held[math.ceil(q * len(held)) - 1] for q in (0.25, 0.75))
+        return q3 + REACH * (q3 - q1) + MEASURES[m][1]
+
+    return [(c, failed, not failed and all(v <= fence(lang, source, m) for m, v in mine.items())) for lang, source, c, failed, mine in made]
+
+
+def test_query_equals_brute_force(spark):
+    held = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{held}/documents.parquet").collect()
+    want = {r["doc_id"]: v for r, v in zip(docs, slow_verdicts([(r["lang"], r["source"], r["text"]) for r in docs]))}
+    rows = queries.op8_quality_rules(spark, held).collect()
+    assert len(rows) == len(want) and {(r["base_failed"], r["kept"]) for r in rows} == {(True, False), (False, False), (False, True)}
+    for r in rows:
+        assert (tuple(r)[1:6], r["base_failed"], r["kept"]) == want[r["doc_id"]]
