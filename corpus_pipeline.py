@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm.bpe import read_ranks, token_digests
+from callweave.llm.common import remove_folder, written
 from callweave.llm.lang_id import filter_languages
 from callweave.llm.mixing import take_documents
 from callweave.llm.quality_rules import filter_quality
@@ -31,7 +32,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_digests(docs, read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
+    # Rows come from Parquet files as the stage before left them, in the same order at each reading.
+    return token_digests(docs, read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN, stable=True)
 
 
 STAGES = [
@@ -47,7 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents.
+
+    What a stage keeps is written to the shared checkpoint folder and read again, so that no
+    stage runs twice and a lost executor costs its own tasks only. A table goes when the next one
+    is written; the last stage reads its input lazily, which stays with the session's checkpoints.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        docs, folder = written(stage(spark, docs, sf_dir), name)
+        if before:
+            remove_folder(spark, before)
+        before = folder
+    return STAGES[-1][1](spark, docs, sf_dir)
