@@ -31,9 +31,13 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / F.when(bottom != 0, bottom))
 
 
+#: The characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Text without Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def words(text: Column) -> Column:
@@ -56,10 +60,17 @@ def literal_map(values: dict) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of its own only where it names none."""
+    """The shared folder that the session names.
+
+    Only a local session that names none gets one of its own; on a cluster this is an error, since
+    executors would not see each other's files.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -69,11 +80,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds the position, from 0, of each row in its group, however large the group is.
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, written first, with a hint to broadcast it if it has at most so many rows."""
+    held = checkpointed(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds the position, from 0, of each row in its group, however large the group is; and the group's size, if named.
 
     Rows are dealt by range of (group, order); a row's position is its position within its
-    range plus the sizes of the ranges before.
+    range plus the sizes of the ranges before. The dealt rows are written whole, since rows have no
+    key by which a written position could be joined back to them.
     """
     keys = {f"_o{i}": o for i, o in enumerate(order)}
     dealt = df.withColumns(keys).repartitionByRange(*[F.col(c) for c in [*group, *keys]])
@@ -81,9 +99,11 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*keys)) - 1
     sizes = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), before.alias("_before"))
+    whole = F.sum("_n").over(Window.partitionBy(*group))
+    # A row for each group and range in which it lies: few, unless groups are.
+    offsets = broadcast_if_small(sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), before.alias("_before"), whole.alias("_size")))
     on = (F.col("_part") == F.col("_p"))
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     inside = parts.withColumn("_inside", within)
-    return inside.join(offsets, on).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+    return inside.join(offsets, on).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name), *[F.col("_size").alias(s) for s in (size,) if s])

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import ranked, ratio, seeded
+from ..functions.expr import class_id, ranked, ratio, seeded
+from .metrics import confusion_matrix
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -58,6 +59,12 @@ def agreement_with_truth(long: DataFrame, truth: str = "label_truth") -> DataFra
     return kappa(long, ["annotator"], truth, "label")
 
 
+def annotator_confusion(long: DataFrame, truth: str = "label_truth") -> DataFrame:
+    """annotator, truth, pred, n: the confusion counts of each annotator against the truth."""
+    ids = long.select("annotator", class_id(F.col(truth)).alias("truth"), class_id(F.col("label")).alias("pred"))
+    return confusion_matrix(ids.where("truth >= 0 AND pred >= 0"), ["annotator"])
+
+
 def pairwise_kappa(long: DataFrame, key: str = "audio_id") -> DataFrame:
     """annotator_a, annotator_b, n, accuracy, kappa of every pair on the items of both."""
     a = long.select(key, F.col("annotator").alias("annotator_a"), F.col("label").alias("la"), F.col("place").alias("pa"))

@@ -33,27 +33,35 @@ def count_modified(df: DataFrame, col: str = "text") -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(changed.cast("bigint")), F.lit(0)).alias("modified"))
 
 
-def reason(text: Column) -> Column:
-    """The first rule that a text fails, or ok."""
-    clean = strip(F.coalesce(text, F.lit("")))
-    n = F.size(words(clean))
-    low = F.lower(clean)
+#: Blocks of emoji, and the words that leak a label's axis into a text.
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}]"
+AXIS_LEAK = r"(?iU)\b(label|persona|style|cause|intensity)\b[: =]"
+
+
+def with_reason(df: DataFrame, col: str, name: str) -> DataFrame:
+    """Adds the first rule that a text fails, or ok.
+
+    The stripped text, its words and its lower case are columns of their own, which the rules share.
+    """
+    clean, n, low = F.col("_clean"), F.col("_words"), F.col("_low")
+    made = df.withColumn("_clean", strip(F.coalesce(F.col(col), F.lit("")))).withColumns({"_words": F.size(F.split(clean, r"(?U)\s+")), "_low": F.lower(clean)})
     quoted = lambda q: clean.startswith(q) & clean.endswith(q)
     out = (
         F.when(clean == "", "empty")
         .when(n < K.MIN_WORDS, F.format_string("too_short(%dw)", n))
         .when(n > K.MAX_WORDS, F.format_string("too_long(%dw)", n))
-        .when(clean.rlike(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}]"), "emoji")
+        .when(clean.rlike(EMOJI), "emoji")
         .when(quoted('"') | quoted("'"), "wrapped_in_quotes")
     )
     # One pass finds whether any phrase occurs; the list is gone through only then.
     any_phrase = low.rlike("|".join(re.escape(p) for p in K.BANNED_PHRASES))
     first = F.coalesce(*[F.when(low.contains(p), F.lit(f"banned_phrase('{p}')")) for p in K.BANNED_PHRASES])
-    return out.when(any_phrase, first).when(clean.rlike(r"(?iU)\b(label|persona|style|cause|intensity)\b[: =]"), "axis_leak").otherwise("ok")
+    whole = out.when(any_phrase, first).when(clean.rlike(AXIS_LEAK), "axis_leak").otherwise("ok")
+    return made.withColumn(name, whole).drop("_clean", "_words", "_low")
 
 
 def heuristic_reason(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn("reason", reason(F.col(col)))
+    return with_reason(df, col, "reason")
 
 
 JUDGED = "score double, intensity_obs double, natural boolean, reason string"
@@ -93,13 +101,15 @@ def judge_verdict(df: DataFrame, score: str = "score", observed: str = "intensit
 def apply_filter(df: DataFrame, verdicts: DataFrame | None = None, key: str = "id", col: str = "text", latest: str = "ts") -> DataFrame:
     """Adds kept, stage and reject_reason; with verdicts, the judge's columns too.
 
-    Only texts that pass the heuristics go to the judge; of several verdicts the latest counts.
+    Only texts that pass the heuristics go to the judge; of several verdicts the latest counts, and
+    of several at that time the one of the largest hash.
     """
-    checked = df.withColumn("_reason", reason(F.col(col)))
+    checked = with_reason(df, col, "_reason")
     passed = F.col("_reason") == "ok"
     if verdicts is None:
         return checked.select(*df.columns, passed.alias("kept"), F.when(~passed, "heuristic").alias("stage"), F.when(~passed, F.col("_reason")).alias("reject_reason"))
-    last = F.max_by(F.struct("ok", "fail_reason", "score", "intensity_obs", "natural"), F.col(latest))
+    verdict = ("ok", "fail_reason", "score", "intensity_obs", "natural")
+    last = F.max_by(F.struct(*verdict), F.struct(F.col(latest), F.xxhash64(*verdict)))
     judged = verdicts.groupBy(F.col(key).alias("_key")).agg(last.alias("_v"))
     joined = checked.join(judged, (F.col(key) == F.col("_key")) & passed, "left")
     why = F.when(~passed, F.col("_reason")).when(F.col("_v").isNull(), "judge_no_verdict").when(~F.col("_v.ok"), F.col("_v.fail_reason"))
@@ -124,8 +134,10 @@ def retention_report(filtered: DataFrame, label: str = "label") -> DataFrame:
     rows, kept = F.count("*"), F.sum(F.col("kept").cast("bigint"))
     past = F.sum((~F.coalesce(F.col("stage") == "heuristic", F.lit(False))).cast("bigint"))
     aggs = [rows.alias("rows"), past.alias("past_heuristics"), kept.alias("kept")]
-    whole = filtered.agg(*aggs).select(F.lit("all").alias("label"), "rows", "past_heuristics", "kept")
     parts = filtered.groupBy(F.col(label).cast("string").alias("label")).agg(*aggs)
+    # The whole is the sum of the parts: both read one shuffle, and the texts are judged once.
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    whole = parts.agg(total("rows"), total("past_heuristics"), total("kept")).select(F.lit("all").alias("label"), "rows", "past_heuristics", "kept")
     return whole.unionByName(parts).withColumn("kept_percent", 100 * ratio(F.col("kept"), F.col("rows")))
 
 
@@ -146,18 +158,15 @@ def text_profile(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def dedupe_text(df: DataFrame, order_by: str, keys: Sequence[str] = (), col: str = "text") -> DataFrame:
-    """The first row of each normalised text, and of each value of keys if given.
+    """One row of each normalised text, and of each value of keys if given: the first by order_by.
 
-    Only hashes are shuffled for the choice; a hash decides which row of a hot text stays by
-    partial aggregation, so that no task gathers the copies of a text.
+    Rows without order_by come last, and of rows that tie the one of the least hash stays. Each
+    task keeps one row of a text before the shuffle, so that no task gathers the copies of a text.
     """
-    hashed = F.sha2(F.lower(normalised(F.col(col))), 256)
-    tagged = df.withColumn("_h", hashed)
-    first = tagged.groupBy("_h", *[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(order_by).alias("_first"))
-    on = F.col("_h") == F.col("_h2")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return tagged.join(first.withColumnRenamed("_h", "_h2"), on & (F.col(order_by) == F.col("_first")), "left_semi").drop("_h")
+    order = F.struct(F.col(order_by).isNull(), F.col(order_by), F.xxhash64(*df.columns))
+    first = F.min_by(F.struct(*df.columns), order).alias("_row")
+    found = df.groupBy(F.sha2(normalised(F.col(col)), 256).alias("_h"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(first)
+    return found.select(*[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def peek(df: DataFrame, label: str, value, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

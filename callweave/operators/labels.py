@@ -92,12 +92,10 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], val_frac: f
 
     Sizes are rounded half to even.
     """
-    shuffled = ranked(df, [label], [seeded(seed, *[F.col(k) for k in keys]), *[F.col(k) for k in keys]], "_at")
-    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
+    shuffled = ranked(df, [label], [seeded(seed, *[F.col(k) for k in keys]), *[F.col(k) for k in keys]], "_at", "_n")
     part = lambda frac: F.bround(F.col("_n") * F.lit(float(frac)))
     split = F.when(F.col("_at") < part(test_frac), "test").when(F.col("_at") < part(test_frac) + part(val_frac), "val").otherwise("train")
-    joined = shuffled.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
-    return joined.select(*df.columns, split.alias("split"))
+    return shuffled.select(*df.columns, split.alias("split"))
 
 
 def combine_sources(real: DataFrame, synthetic: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -57,8 +57,8 @@ def predict(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("probs", padded).withColumn("pred", argmax(F.col("probs")))
 
 
-def train_meta(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = ("logistic", "perceptron", "trees")):
-    """(name, model, metrics): every candidate's metrics on val and test, and the best by val weighted F1."""
+def fit_candidates(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence[str], truth: str, names: Sequence[str]) -> tuple[dict, DataFrame]:
+    """The fitted models by name, and their metrics on val and test (model, split, ...)."""
     ready = {s: checkpointed(with_vectors(d, columns, truth)) for s, d in (("train", train), ("val", val), ("test", test))}
     made = candidates(ready["train"].count(), len(columns))
     fitted, parts = {}, []
@@ -70,49 +70,89 @@ def train_meta(train: DataFrame, val: DataFrame, test: DataFrame, columns: Seque
     whole = parts[0]
     for other in parts[1:]:
         whole = whole.unionByName(other)
-    metrics = checkpointed(evaluate(whole, ["model", "split"]))
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model"))
-    best = metrics.where(F.col("split") == "val").orderBy(F.desc("weighted_f1"), place).first()["model"]
+    return fitted, checkpointed(evaluate(whole, ["model", "split"]))
+
+
+def place_of(names: Sequence[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model"))
+
+
+def train_meta(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = ("logistic", "perceptron", "trees")):
+    """(name, model, metrics): every candidate's metrics on val and test, and the best by val weighted F1."""
+    fitted, metrics = fit_candidates(train, val, test, columns, truth, names)
+    best = metrics.where(F.col("split") == "val").orderBy(F.desc("weighted_f1"), place_of(names)).first()["model"]
     return best, fitted[best], metrics
 
 
-def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42, block: int = 2000) -> DataFrame:
+def train_balanced(train: DataFrame, val: DataFrame, test: DataFrame, key: str, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = ("logistic", "trees"), floor: float = 0.55, k: int = 5, seed: int = 42):
+    """(name, calibrated, metrics): training that favours frustration, as one operation.
+
+    SMOTE raises every class of train; the candidates are fitted on it; the best by frustration recall
+    above the floor of weighted F1 on val is taken and calibrated on val. calibrated: the rows of test
+    with probs, calibrated and pred, the largest calibrated class. metrics: all candidates on val and
+    test, and the calibrated model on test under the split `calibrated`.
+    """
+    raised = smote(train.where(F.col(truth).isNotNull()), columns, truth, key, k, seed)
+    rows = checkpointed(raised.select(F.col("label").alias(truth), *[F.get("features", i).alias(c) for i, c in enumerate(columns)]))
+    fitted, metrics = fit_candidates(rows, val, test, columns, truth, names)
+    summary = metrics.where(F.col("split") == "val").select(place_of(names).alias("place"), "model", "weighted_f1", "frustration_recall", "frustration_f1")
+    best = select_with_floor(summary, floor).first()["model"]
+    scored = [predict(fitted[best], with_vectors(d, columns, truth)).drop("rawPrediction", "probability", "prediction") for d in (val, test)]
+    calibrated = calibrate(scored[0], scored[1], "probs", truth).withColumn("pred", argmax(F.col("calibrated"))).drop("vector", "label", "weight")
+    final = evaluate(calibrated.select(F.lit(best).alias("model"), F.lit("calibrated").alias("split"), F.col(truth).alias("truth"), "pred"), ["model", "split"])
+    return best, calibrated, metrics.unionByName(final)
+
+
+def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int = 5, seed: int = 42, block: int = 5000) -> DataFrame:
     """key, label, features (array) of all rows, and of new ones that raise every class to the largest.
 
-    Rows of a class are dealt to blocks of about `block` rows by a seeded hash; a row's
-    neighbours are the k nearest in its block, so that no task holds a whole class. Each new row
-    lies on the way from a row to one of its neighbours.
+    Each new row lies on the way from a row to one of its k nearest in the whole class, both drawn by
+    seeded hashes. Rows of a class are dealt to blocks; those that need new rows are compared with
+    every block of their class, a pair of blocks to a task, which gives back k rows for each, and of
+    these the k nearest stay. Keys are unique; a class of one row is its own neighbour.
     """
     rows = feature_vector(df, columns, "features").select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label"), "features")
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    most = F.max("n").over(Window.partitionBy())
-    sizes = counts.select(F.col("label").alias("l"), "n", most.alias("most"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    numbered = ranked(rows, ["label"], [seeded(seed, F.col("key"))], "_at").join(F.broadcast(sizes), F.col("label") == F.col("l"))
+    numbered = ranked(rows, ["label"], [seeded(seed, F.col("key"))], "_at", "_n")
+    # One row is one class.
+    sizes = rows.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n")).select("l", F.max("n").over(Window.partitionBy()).alias("most"))
+    numbered = numbered.join(F.broadcast(sizes), F.col("label") == F.col("l"))
     # Row `at` gives the new rows at, at + n, at + 2n, ... below most - n.
-    missing = F.col("most") - F.col("n")
-    share = F.when(F.col("_at") < missing % F.col("n"), 1).otherwise(0) + F.floor(missing / F.col("n"))
-    dealt = numbered.select("key", "label", "features", share.cast("int").alias("share"), (F.col("_at") % F.col("blocks")).cast("int").alias("block"))
-
-    def interpolate(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["features"].to_numpy()).astype(np.float64)
-        label, at, share = int(group["label"].iloc[0]), np.arange(len(x)), group["share"].to_numpy()
-        new = np.repeat(at, share)
-        out = [group[["key", "label", "features"]]]
-        if len(new):
-            near = np.zeros((len(x), min(k, max(len(x) - 1, 1))), np.int64)
-            square = (x**2).sum(1)
+    missing = F.col("most") - F.col("_n")
+    share = F.when(F.col("_at") < missing % F.col("_n"), 1).otherwise(0) + F.floor(missing / F.col("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    held = checkpointed(numbered.select("key", "label", "features", share.cast("int").alias("share"), (missing > 0).alias("short"), blocks.alias("blocks"), (F.col("_at") % blocks).cast("int").alias("block")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asking = held.where("share > 0").select("label", F.col("block").alias("of"), every.alias("block"), "key", "features")
+    given = held.where("short").select("label", every.alias("of"), "block", "key", "features")
+
+    def nearest(asking: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asking) and len(given):
+            given = given.sort_values("key", kind="stable")
+            x, y = (np.stack(d["features"].to_numpy()).astype(np.float64) for d in (asking, given))
+            own, square = pd.Index(given["key"]).get_indexer(asking["key"]), (y**2).sum(1)
             for s in range(0, len(x), 512):
-                gap = square[s : s + 512, None] + square - 2 * x[s : s + 512] @ x.T
-                gap[np.arange(len(gap)), s + np.arange(len(gap))] = np.inf if len(x) > 1 else 0
-                near[s : s + 512] = np.argsort(gap, axis=1, kind="stable")[:, : near.shape[1]]
-            random = np.random.default_rng([seed, label, len(x)])
-            other = near[new, random.integers(0, near.shape[1], len(new))]
-            made = x[new] + random.random((len(new), 1)) * (x[other] - x[new])
-            keys = [f"{group['key'].iloc[i]}+{j}" for i, j in zip(new, np.arange(len(new)) - np.repeat(np.cumsum(share) - share, share))]
-            out.append(pd.DataFrame({"key": keys, "label": label, "features": list(made)}))
-        return pd.concat(out)
-
-    return dealt.groupBy("label", "block").applyInPandas(interpolate, "key string, label int, features array<double>")
+                part, mine = x[s : s + 512], own[s : s + 512]
+                gap = np.maximum((part**2).sum(1)[:, None] + square - 2 * part @ y.T, 0)
+                gap[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
+                at = np.argsort(gap, axis=1, kind="stable")[:, :k]
+                row, column = np.nonzero(np.isfinite(np.take_along_axis(gap, at, 1)))
+                found = at[row, column]
+                out.append(pd.DataFrame({"label": asking["label"].iloc[0], "key": asking["key"].to_numpy()[s + row], "gap": gap[row, found], "other": given["key"].to_numpy()[found]}))
+        return pd.concat(out) if out else pd.DataFrame({"label": [], "key": [], "gap": [], "other": []})
+
+    by = ["label", "of", "block"]
+    near = asking.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(nearest, "label int, key string, gap double, other string")
+    # At most k rows for each block of the class.
+    best = near.groupBy("label", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "other"))), 1, k).alias("near"))
+    new = held.where("share > 0").join(best, ["label", "key"], "left").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("share") - 1)))
+    pick = seeded_int(seed, F.col("key"), F.col("j"), F.lit("near")) % F.greatest(F.lit(1), F.size("near"))
+    way = seeded_int(seed, F.col("key"), F.col("j"), F.lit("way")) / F.lit(float(2**32))
+    drawn = new.select("label", "key", "features", "j", way.alias("way"), F.coalesce(F.get("near", pick.cast("int"))["other"], F.col("key")).alias("other"))
+    to = held.select(F.col("label").alias("to_label"), F.col("key").alias("to_key"), F.col("features").alias("to"))
+    joined = drawn.join(to, (F.col("label") == F.col("to_label")) & (F.col("other") == F.col("to_key")))
+    between = F.zip_with("features", "to", lambda a, b: a + F.col("way") * (b - a))
+    return held.select("key", "label", "features").unionByName(joined.select(F.concat("key", F.lit("+"), F.col("j").cast("string")).alias("key"), "label", between.alias("features")))
 
 
 def select_with_floor(summary: DataFrame, floor: float = 0.55) -> DataFrame:
@@ -160,14 +200,18 @@ def ablation_deltas(results: DataFrame, full: str = "Full") -> DataFrame:
 
 
 def balanced_resample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """About as many rows as df, drawn with replacement with weight 1 / rows of their class.
+    """As many rows as df, drawn with replacement with weight 1 / rows of their class; with draw, their number.
 
-    Row i of a class of n rows stands for the draws that fall on it when each class gets an
-    equal share: a whole number of copies, and one more with the remaining probability by hash.
+    Each draw names a class, all alike, and a place in it by seeded hashes. Rows are ranked within
+    their class and joined with the draws that name them. One row is one class.
     """
-    counts = df.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
-    sizes = counts.select("*", (F.sum("_n").over(Window.partitionBy()) / F.count("*").over(Window.partitionBy()) / F.col("_n")).alias("_mean"))
-    joined = df.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
-    extra = (seeded_int(seed, F.col(key)) / F.lit(float(2**32))) < F.col("_mean") - F.floor("_mean")
-    copies = (F.floor("_mean") + extra.cast("int")).cast("int")
-    return joined.where(copies > 0).withColumn("draw", F.explode(F.sequence(F.lit(1), copies))).select(*df.columns, "draw")
+    rows = ranked(df, [label], [F.col(key)], "_at", "_n")
+    rows = checkpointed(rows)
+    sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.max("_n").alias("_size"))
+    placed = checkpointed(sizes.withColumn("_place", F.row_number().over(Window.orderBy("_l")) - 1))
+    total = placed.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n"), F.count("*").alias("classes")).first()
+    bits = lambda what: F.conv(F.substring(seeded(seed, F.col("draw"), F.lit(what)), 1, 13), 16, 10).cast("bigint")
+    draws = df.sparkSession.range(total["n"]).select(F.col("id").alias("draw")).select("draw", (bits("class") % max(total["classes"], 1)).alias("_p"), (bits("row") / F.lit(float(2**52))).alias("_u"))
+    chosen = draws.join(F.broadcast(placed), F.col("_p") == F.col("_place")).select("draw", "_l", F.floor(F.col("_u") * F.col("_size")).alias("_to"))
+    joined = rows.join(chosen, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_at") == F.col("_to")))
+    return joined.select(*df.columns, "draw")

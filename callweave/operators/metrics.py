@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import class_name, ratio
+from ..functions.expr import broadcast_if_small, class_name, ratio
 
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -90,10 +90,10 @@ def sample_weights(df: DataFrame, label: str = "truth") -> DataFrame:
 
 
 def model_comparison(df: DataFrame, baseline: str, model: str = "model", truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """Metrics of every model, and how far its weighted F1 is from the baseline's."""
+    """Metrics of every model, best weighted F1 first, and how far it is from the baseline's."""
     made = evaluate(df, [model], truth, pred)
     base = F.max(F.when(F.col(model) == baseline, F.col("weighted_f1"))).over(Window.partitionBy())
-    return made.withColumn("delta_weighted_f1", F.col("weighted_f1") - base)
+    return made.withColumn("delta_weighted_f1", F.col("weighted_f1") - base).orderBy(F.desc("weighted_f1"), model)
 
 
 def condition_report(df: DataFrame, by: Sequence[str] = ("condition", "dataset"), truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -105,15 +105,20 @@ def condition_report(df: DataFrame, by: Sequence[str] = ("condition", "dataset")
 
 
 def score_histogram(df: DataFrame, col: str = "vader_compound", bins: int = 40, by: str = "true_label") -> DataFrame:
-    """by, bin, lower, n, density over equal bins between each group's least and largest score."""
+    """by, bin, lower, n, density of all equal bins between each group's least and largest score."""
     span = df.where(F.col(col).isNotNull()).groupBy(F.col(by).alias("_b")).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("total"))
     # A group of one value gets bins around it.
     one = F.col("lo") == F.col("hi")
     span = span.select("_b", F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), "total")
     place = F.least(F.lit(bins - 1), F.floor((F.col(col) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))).cast("int")
-    counts = df.where(F.col(col).isNotNull()).join(span, F.col(by).eqNullSafe(F.col("_b"))).groupBy(by, place.alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return counts.select(by, "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
+    span = broadcast_if_small(span)
+    joined = df.where(F.col(col).isNotNull()).join(span, F.col(by).eqNullSafe(F.col("_b")))
+    counts = joined.groupBy(F.col("_b").alias("_c"), place.alias("_bin")).agg(F.count("*").alias("n"))
+    # Bins without a row have n 0.
+    every = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    whole = every.join(counts, F.col("_b").eqNullSafe(F.col("_c")) & (F.col("bin") == F.col("_bin")), "left")
+    width, n = (F.col("hi") - F.col("lo")) / bins, F.coalesce("n", F.lit(0))
+    return whole.select(F.col("_b").alias(by), "bin", (F.col("lo") + F.col("bin") * width).alias("lower"), n.alias("n"), (n / (F.col("total") * width)).alias("density"))
 
 
 def best_epoch(history: DataFrame, patience: int, by: Sequence[str] = ("run",), epoch: str = "epoch", score: str = "val_wf1") -> DataFrame:

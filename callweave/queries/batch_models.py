@@ -11,6 +11,7 @@ from ..operators import fusion as U
 from ..operators import learning as A
 from ..operators import metrics as M
 from ..operators import projection as P
+from ..operators.prediction import predict_utterances
 from .registry import NAME, WITH_FUSED, WITH_PROBS, WITH_SCORES, WEIGHTS, confusion_sql, fused, probs, query, rounded, scores, six, table
 
 _ARGMAX = "list_position({0}, list_max({0})) - 1"
@@ -84,9 +85,14 @@ def f1_text_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(U.text_ensemble(probs(spark, sf_dir)), "fused", "audio_id", "pred")
 
 
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows on which weights are tuned and models ranked."""
+    return probs(spark, sf_dir).where("split = 'val'")
+
+
 def _grid_sql(points: str, vector: str, columns: str) -> str:
     return f"""{WITH_PROBS}, grid AS ({points}),
-tried AS (SELECT grid_id, truth, {vector} AS v FROM grid CROSS JOIN probs), guessed AS (SELECT grid_id, truth, {_ARGMAX.format("v")} AS pred FROM tried),
+tried AS (SELECT grid_id, truth, {vector} AS v FROM grid CROSS JOIN probs WHERE split = 'val'), guessed AS (SELECT grid_id, truth, {_ARGMAX.format("v")} AS pred FROM tried),
 {confusion_sql("guessed", "grid_id")} SELECT CAST(grid_id AS INT) AS grid_id, round(weighted_f1, 6) AS weighted_f1, {columns} FROM summary JOIN grid USING (grid_id) ORDER BY round(summary.weighted_f1, 12) DESC, grid_id LIMIT 1"""
 
 
@@ -96,7 +102,7 @@ _TEXT_VECTOR = "[" + ", ".join(f"alpha * text_probs[{k}] + beta * goemo_probs[{k
 
 @query(_grid_sql(f"SELECT * FROM ({_TEXT_GRID}) t(grid_id, alpha, beta, gamma)", _TEXT_VECTOR, "round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(gamma, 6) AS gamma"))
 def f2_tune_text_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(U.tune_text_weights(probs(spark, sf_dir)), "weighted_f1", "alpha", "beta", "gamma")
+    return rounded(U.tune_text_weights(validation(spark, sf_dir)), "weighted_f1", "alpha", "beta", "gamma")
 
 
 @query(f"{WITH_FUSED} SELECT audio_id, CAST(pred AS INT) AS pred, {spread_sql('fused')} FROM fused")
@@ -112,7 +118,7 @@ _LATE_VECTOR = "[" + ", ".join(f"w_text / total * text_probs[{k}] + w_goemo / to
 
 @query(_grid_sql(_LATE_GRID, _LATE_VECTOR, "w_text, w_goemo, w_lexicon, w_audio"))
 def f4_tune_late_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(U.tune_late_weights(probs(spark, sf_dir)), "weighted_f1")
+    return rounded(U.tune_late_weights(validation(spark, sf_dir)), "weighted_f1")
 
 
 _VOTES = "[" + ", ".join(_ARGMAX.format(f"{m}_probs") for m in K.MODELS) + "]"
@@ -127,12 +133,13 @@ def f5_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EACH = " UNION ALL ".join(f"SELECT '{m}' AS model, truth, {_ARGMAX.format(f'{m}_probs')} AS pred FROM probs" for m in K.MODELS)
+_EACH_VAL = _EACH.replace("FROM probs", "FROM probs WHERE split = 'val'")
 _PLACE = "CASE model WHEN 'text' THEN 1 WHEN 'goemo' THEN 2 WHEN 'lexicon' THEN 3 ELSE 4 END"
 
 
-@query(f"{WITH_PROBS}, each_model AS ({_EACH}), {confusion_sql('each_model', 'model')} SELECT model, round(weighted_f1, 6) AS weighted_f1, CAST(row_number() OVER (ORDER BY summary.weighted_f1 DESC, {_PLACE}) AS INT) AS rank FROM summary")
+@query(f"{WITH_PROBS}, each_model AS ({_EACH_VAL}), {confusion_sql('each_model', 'model')} SELECT model, round(weighted_f1, 6) AS weighted_f1, CAST(row_number() OVER (ORDER BY summary.weighted_f1 DESC, {_PLACE}) AS INT) AS rank FROM summary")
 def f6_rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(U.rank_models(probs(spark, sf_dir)), "weighted_f1")
+    return rounded(U.rank_models(validation(spark, sf_dir)), "weighted_f1")
 
 
 _SUMMARY = "n, round(accuracy, 6) AS accuracy, round(weighted_f1, 6) AS weighted_f1, round(macro_f1, 6) AS macro_f1, round(frustration_recall, 6) AS frustration_recall, round(frustration_f1, 6) AS frustration_f1"
@@ -196,8 +203,9 @@ def m6_condition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{WITH_SCORES}, s AS (SELECT true_label, min(vader_compound) AS lo, max(vader_compound) AS hi, count(*) AS total FROM scores GROUP BY 1), w AS (SELECT true_label, total, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM s),
-b AS (SELECT true_label, least(39, CAST(floor((vader_compound - lo) * 40 / (hi - lo)) AS INT)) AS bin, lo, hi, total FROM scores JOIN w USING (true_label))
-SELECT true_label, bin, round(lo + bin * ((hi - lo) / 40), 6) AS lower, count(*) AS n, round(count(*) / (total * ((hi - lo) / 40)), 6) AS density FROM b GROUP BY true_label, bin, lo, hi, total""")
+e AS (SELECT *, unnest(range(40)) AS bin FROM w),
+b AS (SELECT true_label, least(39, CAST(floor((vader_compound - lo) * 40 / (hi - lo)) AS INT)) AS bin, count(*) AS n FROM scores JOIN w USING (true_label) GROUP BY ALL)
+SELECT true_label, CAST(e.bin AS INT) AS bin, round(lo + e.bin * ((hi - lo) / 40), 6) AS lower, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * ((hi - lo) / 40)), 6) AS density FROM e LEFT JOIN b USING (true_label, bin)""")
 def m7_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.score_histogram(scores(spark, sf_dir)), "lower", "density")
 
@@ -214,11 +222,16 @@ def m8_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.best_epoch(history, patience=8).withColumn("stop_epoch", F.col("stop_epoch").cast("double")), "best_score")
 
 
-@query()
+#: A text without every third word is a subsequence of it, so as many edits part them as words were taken out.
+_WORDS = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+
+
+@query(f"""WITH t AS (SELECT coalesce(text, '') AS ref, string_split(coalesce(text, ''), ' ') AS l FROM conversations), p AS (SELECT ref, array_to_string([l[i] for i in range(1, len(l) + 1) if i % 3 <> 0], ' ') AS hyp FROM t),
+s AS (SELECT CAST(sum({_WORDS.format("ref")} - {_WORDS.format("hyp")}) AS BIGINT) AS edits, CAST(sum({_WORDS.format("ref")}) AS BIGINT) AS words FROM p) SELECT edits, words, round(edits / words, 6) AS wer, edits / words < 0.15 AS passed FROM s""")
 def m9_word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ")
     rows = table(spark, sf_dir, "conversations").select(F.col("text").alias("ref"), F.array_join(F.filter(words, lambda w, i: i % 3 != 2), " ").alias("hyp"))
-    return M.word_error_rate(rows)
+    return rounded(M.word_error_rate(rows), "wer")
 
 
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(max(value), 6) AS max, round(100 * avg(CASE WHEN value < 50 THEN 1.0 ELSE 0.0 END), 6) AS percent_under, avg(value) < 50 AS passed FROM events GROUP BY 1")
@@ -254,6 +267,24 @@ def f8_apply_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.apply_meta(feature_vector(parts["test"]), model).select("vec_id", "truth", "pred", "confidence")
 
 
+@query(f"""{WITH_FUSED} SELECT audio_id, text, {NAME.format('pred')} AS predicted_emotion, round(list_max(fused), 6) AS confidence, fused[1] + fused[2] > 0.6::DOUBLE AS should_handover, round(fused[1] + fused[2], 6) AS handover_score, 0.6::DOUBLE AS threshold,
+{", ".join(f"round(fused[{i + 1}], 6) AS meta_{c}" for i, c in enumerate(K.CLASSES))}, {", ".join(f"round({m}_probs[5], 6) AS {m}_satisfaction" for m in K.MODELS)} FROM fused""")
+def p9_predict_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all turns; the structs are spread, so that both engines give plain columns."""
+    made = predict_utterances(probs(spark, sf_dir), WEIGHTS, threshold=0.6, keys=["audio_id"])
+    meta = [F.col(f"meta_probs.{c}").alias(f"meta_{c}") for c in K.CLASSES]
+    details = [F.get(f"details.{m}_probs", 4).alias(f"{m}_satisfaction") for m in K.MODELS]
+    spread_out = made.drop("meta_probs", "details").columns
+    return rounded(made.select(*spread_out, *meta, *details), "confidence", "handover_score", *[f"meta_{c}" for c in K.CLASSES], *[f"{m}_satisfaction" for m in K.MODELS])
+
+
+@query()
+def a7_train_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = splits(spark, sf_dir)
+    best, _, metrics = A.train_balanced(parts["train"], parts["val"], parts["test"], "vec_id", names=("logistic",))
+    return metrics.withColumn("chosen", F.col("model") == best)
+
+
 @query()
 def a2_smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.smote(splits(spark, sf_dir)["train"].where("truth <> 1 OR vec_id % 20 < 8"), K.FEATURES, "truth", "vec_id")
@@ -294,6 +325,12 @@ def a6_ablation_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.ablation_deltas(results), "delta_weighted_f1", "delta_frustration_recall")
 
 
-@query()
+_BITS = "('0x' || substr(md5('42|' || draw || '|{}'), 1, 13))::BIGINT"
+
+
+@query(f"""{WITH_SCORES}, rows AS (SELECT audio_id, truth, row_number() OVER (PARTITION BY truth ORDER BY audio_id) - 1 AS at FROM scores),
+sizes AS (SELECT truth, count(*) AS n, row_number() OVER (ORDER BY truth) - 1 AS place FROM scores GROUP BY truth), draws AS (SELECT unnest(range(count(*))) AS draw FROM scores),
+drawn AS (SELECT draw, {_BITS.format("class")} % (SELECT count(*) FROM sizes) AS place, {_BITS.format("row")} / 4503599627370496::DOUBLE AS u FROM draws)
+SELECT audio_id, truth, draw FROM drawn JOIN sizes USING (place) JOIN rows USING (truth) WHERE rows.at = CAST(floor(u * n) AS BIGINT)""")
 def g10_balanced_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.balanced_resample(scores(spark, sf_dir).select("audio_id", "truth"), "truth", "audio_id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import agreement as V
 from ..operators import errors as E
 from ..operators import handover as H
-from .registry import NAME, WITH_FUSED, fused, query, rounded, table
+from .registry import NAME, WITH_FUSED, confusion_sql, fused, query, rounded, table
 from .streams import stream_triggers
 
 _REPORT = f"""{WITH_FUSED}, tiers AS (SELECT *, list_max(fused) AS confidence, fused[1] + fused[2] AS p_handover,
@@ -155,6 +156,14 @@ def v4_agreement_with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.agreement_with_truth(V.annotations_long(sheet(spark, sf_dir))), "accuracy", "kappa")
 
 
+_IDS = ", ".join(f"list_position({list(K.CLASSES)}, {c}) - 1 AS {n}" for c, n in (("label_truth", "truth"), ("label", "pred")))
+
+
+@query(f"{_LONG}, marked AS (SELECT annotator, {_IDS} FROM valid), {confusion_sql('marked', 'annotator')} SELECT annotator, CAST(truth AS INT) AS truth, CAST(pred AS INT) AS pred, n FROM cells")
+def v4_annotator_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.annotator_confusion(V.annotations_long(sheet(spark, sf_dir)))
+
+
 @query(f"{_LONG}, pairs AS (SELECT x.annotator AS annotator_a, y.annotator AS annotator_b, x.label AS a, y.label AS b FROM valid x JOIN valid y USING (audio_id) WHERE x.place < y.place), {_kappa_sql('pairs', 'annotator_a, annotator_b')}")
 def v5_pairwise_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(V.pairwise_kappa(V.annotations_long(sheet(spark, sf_dir))), "accuracy", "kappa")

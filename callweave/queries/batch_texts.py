@@ -82,7 +82,7 @@ def t9_text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.text_profile(plain_sentences(spark, sf_dir)), "mean_words")
 
 
-@query(f"{WITH_REASONS}, firsts AS (SELECT lower(plain) AS k, min(id) AS id FROM reasons GROUP BY ALL) SELECT s.id, s.text FROM sentences s JOIN firsts USING (id)")
+@query(f"{WITH_REASONS} SELECT id, text FROM reasons QUALIFY row_number() OVER (PARTITION BY plain ORDER BY id) = 1")
 def t10_dedupe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.dedupe_text(sentences(spark, sf_dir).select("id", "text"), "id")
 

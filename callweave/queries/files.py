@@ -13,7 +13,7 @@ from ..operators import errors as E
 from ..sources import io
 from .batch_labels import attached
 from .batch_reports import report
-from .registry import WITH_SCORES, query, rounded, scores, table
+from .registry import ORACLES, WITH_SCORES, query, rounded, scores, table
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -44,17 +44,17 @@ def io4_write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(folder).select("split", "audio_id", *K.FEATURES[:5]), *K.FEATURES[:5])
 
 
-@query()
+@query(f"SELECT threshold FROM ({ORACLES['e5_select_threshold']}) t")
 def io7_report_and_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     io.write_report(E.select_threshold(E.threshold_sweep(report(spark, sf_dir))), folder)
     return io.read_threshold(spark, folder)
 
 
-@query()
+@query("SELECT DISTINCT 'actor=' || CAST(doc_id % 91 AS VARCHAR) AS folder FROM documents")
 def io6_list_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per actor, written from the documents' clip names."""
+    """Folders of the files, one per actor, that are written from the documents' clip names."""
     folder = new_folder(spark)
     names = table(spark, sf_dir, "documents").select((F.col("doc_id") % 91).alias("actor"), F.lit("x").alias("value"))
     names.repartition("actor").write.partitionBy("actor").text(folder)
-    return io.list_clips(spark, folder, "*.txt").select("name")
+    return io.list_clips(spark, folder, "*.txt").select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()

@@ -3,7 +3,7 @@ from compare import assert_same, connect
 
 from callweave.queries import ORACLES, QUERIES
 
-FITS = {"a1_train_meta", "a5_ablation"}
+FITS = {"a1_train_meta", "a5_ablation", "a7_train_balanced"}  # fits: values are tested in test_learning.py
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

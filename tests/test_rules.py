@@ -187,6 +187,54 @@ def test_missing_text_columns_and_counts_are_errors(spark):
         features.attach_text_model(a, spark.createDataFrame([("train_1",)], "audio_id string"))
 
 
+def test_deduplication_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a b"), (1, "A b"), (None, "c d"), (7, "e"), (7, "e"), (3, " e "), (None, "e"), (2, "f"), (2, "f ")]
+    df = spark.createDataFrame(rows, "ts int, text string").repartition(4)
+    found = sorted(column(curation.dedupe_text(df, "ts"), "ts", "text"), key=str)
+    assert sorted(t.strip() for _, t in found) == ["A b", "a b", "c d", "e", "f"] and (3, " e ") in found and (None, "c d") in found
+    keyed = curation.dedupe_text(df.withColumn("k", F.when(F.col("ts") == 3, 1)), "ts", ["k"])
+    assert sorted(t.strip() for t in column(keyed, "text")) == ["A b", "a b", "c d", "e", "e", "f"]
+    assert curation.dedupe_text(df.limit(0), "ts").count() == 0
+
+
+def test_word_edits_equal_a_slow_recursion(spark):
+    import random
+
+    def slow(a, b):
+        if not a or not b:
+            return len(a) + len(b)
+        return min(slow(a[1:], b) + 1, slow(a, b[1:]) + 1, slow(a[1:], b[1:]) + (a[0] != b[0]))
+
+    rng = random.Random(5)
+    pairs = [[" ".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(2)] for _ in range(40)]
+    row = metrics.word_error_rate(spark.createDataFrame(pairs, "ref string, hyp string")).first()
+    edits, words = sum(slow(a.split(), b.split()) for a, b in pairs), sum(len(a.split()) for a, _ in pairs)
+    assert (row["edits"], row["words"]) == (edits, words) and row["wer"] == pytest.approx(edits / words)
+
+
+def test_histogram_has_every_bin(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.5), (None, 2.0), ("b", None)], "true_label string, vader_compound double")
+    made = metrics.score_histogram(df, bins=4).collect()
+    counts = {(r["true_label"], r["bin"]): r["n"] for r in made}
+    assert len(made) == 12 and sum(counts.values()) == 4
+    assert [counts["a", k] for k in range(4)] == [1, 0, 0, 1] and counts["b", 2] == 1
+
+
+def test_models_come_best_first(spark):
+    df = spark.createDataFrame([(m, t, t if m == "good" else 0) for m in ("bad", "good") for t in range(5)], "model string, truth int, pred int")
+    assert column(metrics.model_comparison(df, "bad"), "model") == ["good", "bad"]
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from callweave.functions.expr import checkpoint_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_word_error_rate(spark):
     df = spark.createDataFrame([("a b c d", "a x c"), ("e f", "e f"), (None, "x")], "ref string, hyp string")
     row = metrics.word_error_rate(df).first()
