@@ -9,6 +9,8 @@ from ..functions import constants as K
 from ..functions.expr import argmax, class_name, ratio
 
 NEGATIVE = (K.ANGER, K.FRUSTRATION, K.SADNESS)
+#: The names of the tiers of errors.
+CORRECT, MISSED_FRUSTRATION, FALSE_FRUSTRATION, AMONG_NEGATIVES, MISSED_NEGATIVE, OTHER = "correct", "A_FN_frustration", "B_FP_frustration", "C_confusion_negatives", "C_missed_negative_as_neutral", "other"
 
 
 def handover_score(probs: Column) -> Column:
@@ -20,12 +22,12 @@ def error_report(df: DataFrame, probs: str = "probs", truth: str = "truth") -> D
     """Adds pred, predicted_class, confidence, p_handover, severity and tier."""
     t, p = F.col(truth), F.col("pred")
     tier = (
-        F.when(t == p, "correct")
-        .when(t == K.FRUSTRATION, "A_FN_frustration")
-        .when(p == K.FRUSTRATION, "B_FP_frustration")
-        .when(t.isin(*NEGATIVE) & p.isin(*NEGATIVE), "C_confusion_negatives")
-        .when(t.isin(*NEGATIVE) & (p == K.NEUTRAL), "C_missed_negative_as_neutral")
-        .otherwise("other")
+        F.when(t == p, CORRECT)
+        .when(t == K.FRUSTRATION, MISSED_FRUSTRATION)
+        .when(p == K.FRUSTRATION, FALSE_FRUSTRATION)
+        .when(t.isin(*NEGATIVE) & p.isin(*NEGATIVE), AMONG_NEGATIVES)
+        .when(t.isin(*NEGATIVE) & (p == K.NEUTRAL), MISSED_NEGATIVE)
+        .otherwise(OTHER)
     )
     severity = F.when(F.col("tier").startswith("A_"), 3).when(F.col("tier").startswith("B_"), 2).when(F.col("tier").startswith("C_"), 1).otherwise(0)
     return (
@@ -44,7 +46,7 @@ def top_k_errors(report: DataFrame, k: int = 20, *keys: str) -> DataFrame:
 
 
 def tier_counts(report: DataFrame) -> DataFrame:
-    return report.where(F.col("tier") != "correct").groupBy("tier", "severity").agg(F.count("*").alias("n"))
+    return report.where(F.col("tier") != CORRECT).groupBy("tier", "severity").agg(F.count("*").alias("n"))
 
 
 def binary_metrics(counts: DataFrame) -> DataFrame:

@@ -73,8 +73,8 @@ def best_point(df: DataFrame, models: Sequence[str], grid: list[tuple[float, ...
     points = [tuple(w / sum(p) for w in p) for p in grid] if scale else grid
     counts = fill_cells(grid_counts(df, models, points, truth), ["grid_id"])
     scored = summary_metrics(counts, ["grid_id"]).select("grid_id", "weighted_f1")
-    listed = df.sparkSession.createDataFrame([(i, *map(float, p)) for i, p in enumerate(grid)], ", ".join(["grid_id int", *[f"{n} double" for n in names]]))
-    return scored.join(F.broadcast(listed), "grid_id").orderBy(F.desc(F.round("weighted_f1", 12)), "grid_id").limit(1)
+    best = scored.orderBy(F.desc(F.round("weighted_f1", 12)), "grid_id").limit(1)
+    return best.select("grid_id", "weighted_f1", *[F.get(F.lit([float(p[k]) for p in grid]), F.col("grid_id")).alias(n) for k, n in enumerate(names)])
 
 
 def text_grid() -> list[tuple[float, float, float]]:

@@ -60,7 +60,9 @@ def stream_handover(stream: DataFrame, t: float = 0.6, w: int = 3, idle_ms: int
     """dialogue_id, trigger_utt, trigger_reason: the first trigger of each dialogue, once.
 
     Utterances of a call are taken in order within a micro-batch and by arrival between
-    them. Needs the RocksDB state store.
+    them. The three numbers of each utterance that a call has in a micro-batch are in memory at once,
+    so a source with very long calls is read in bounded batches (maxFilesPerTrigger or
+    maxBytesPerTrigger). Needs the RocksDB state store.
     """
     checked(t, w)
     kind = stream.schema[dialogue].dataType.simpleString()
