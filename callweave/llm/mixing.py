@@ -9,7 +9,9 @@
    documents lie one after the other in a hashed order and are cut to blocks of equal tokens.
 
 No rank and no running sum is taken over a whole source: rows are dealt to chunks, sums of
-chunks are added up, and ranks are taken within a chunk.
+chunks are added up, and ranks are taken within a chunk. What one task sees whole is a row for each
+source (targets, names in order), so sources are meant to be thousands or a few millions, not a
+name for each document; and a row for each chunk of one source, its size over CHUNK_ROWS.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a source,
 which sorts last; ids that repeat are ordered by their text's hash and count one by one;
