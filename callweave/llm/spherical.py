@@ -44,7 +44,7 @@ THRESHOLD = 0.9
 ROTATIONS, CODE, FILTERS, GROWTH, TARGET, LEAST, SEED = 16, 64, 27, 1.45, 256, 8, 20240
 SKETCH, SLACK = 256, 6.0
 #: Members of a part of a bucket; what a block holds of its members is not small.
-PART_ROWS = 512
+PART_ROWS = 256
 #: Bits of the number of a filter in a bucket; the length of the vectors stands above them.
 FILTER_BITS = 40
 #: Vectors that are decoded together, and probes that set the bound.
