@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import broadcast_if_small
 from .common import checkpointed, small_batches
 
 #: Members of a part of a bucket; groups up to SMALL_GROUP rows are compared many at a time.
@@ -120,8 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
 def component_minima(members: DataFrame, parts: DataFrame, value: str, name: str) -> DataFrame:
     """node, `name`: the least `value` of the component of each node that has a component.
 
-    members: (node, value); parts: (node, component). The minima are written first, so that
-    the join with the nodes can split a component of very many nodes.
+    members: (node, value); parts: (node, component). The minima, a row for each component, are
+    written and counted first. Few are broadcast, so that nodes stay where they are; with many, the
+    join is one in which Spark can split a component of very many nodes.
     """
-    least = checkpointed(members.join(parts, "node").groupBy("component").agg(F.min(value).alias(name)))
+    least = broadcast_if_small(members.join(parts, "node").groupBy("component").agg(F.min(value).alias(name)))
     return parts.join(least, "component").select("node", name)
