@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +14,24 @@ from ..functions.expr import ratio, seeded, strip, words
 
 
 def normalised(text: Column) -> Column:
-    """Plain punctuation, single spaces, no white space at the ends; null becomes empty."""
+    """Plain punctuation, single spaces, no white space at the ends; null becomes empty.
+
+    Most texts are plain already, so a look at their length or for two blanks saves the costly steps.
+    """
     gone = [c for c, plain in K.PLAIN.items() if plain == ""]
     single = {c: plain for c, plain in K.PLAIN.items() if len(plain) == 1}
-    out = F.translate(F.coalesce(text, F.lit("")), "".join([*single, *gone]), "".join(single.values()))
+    whole = F.coalesce(text, F.lit(""))
+    out = F.translate(whole, "".join([*single, *gone]), "".join(single.values()))
     for c, plain in K.PLAIN.items():
         if len(plain) > 1:
             out = F.replace(out, F.lit(c), F.lit(plain))
-    return strip(F.regexp_replace(out, "[ \t]+", " "))
+    out = F.when(beyond_ascii(whole), out).otherwise(whole)
+    return strip(F.when(out.contains("\t") | out.contains("  "), F.regexp_replace(out, "[ \t]+", " ")).otherwise(out))
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Whether a text has characters of more than one byte; all that PLAIN replaces, and emoji, are such."""
+    return F.octet_length(text) > F.length(text)
 
 
 def normalise_text(df: DataFrame, col: str = "text") -> DataFrame:
@@ -35,7 +46,8 @@ def count_modified(df: DataFrame, col: str = "text") -> DataFrame:
 
 #: Blocks of emoji, and the words that leak a label's axis into a text.
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F000}-\x{1F2FF}]"
-AXIS_LEAK = r"(?iU)\b(label|persona|style|cause|intensity)\b[: =]"
+AXES = ("label", "persona", "style", "cause", "intensity")
+AXIS_LEAK = rf"(?iU)\b({'|'.join(AXES)})\b[: =]"
 
 
 def with_reason(df: DataFrame, col: str, name: str) -> DataFrame:
@@ -50,13 +62,15 @@ def with_reason(df: DataFrame, col: str, name: str) -> DataFrame:
         F.when(clean == "", "empty")
         .when(n < K.MIN_WORDS, F.format_string("too_short(%dw)", n))
         .when(n > K.MAX_WORDS, F.format_string("too_long(%dw)", n))
-        .when(clean.rlike(EMOJI), "emoji")
+        .when(beyond_ascii(clean) & clean.rlike(EMOJI), "emoji")
         .when(quoted('"') | quoted("'"), "wrapped_in_quotes")
     )
-    # One pass finds whether any phrase occurs; the list is gone through only then.
-    any_phrase = low.rlike("|".join(re.escape(p) for p in K.BANNED_PHRASES))
+    # A search for each phrase is much cheaper than one pattern of all; so is one for the leaking words,
+    # which only the long s can spell otherwise.
+    any_phrase = reduce(or_, [low.contains(p) for p in K.BANNED_PHRASES])
+    any_axis = reduce(or_, [low.contains(w) for w in (*AXES, "\u017f")])
     first = F.coalesce(*[F.when(low.contains(p), F.lit(f"banned_phrase('{p}')")) for p in K.BANNED_PHRASES])
-    whole = out.when(any_phrase, first).when(clean.rlike(AXIS_LEAK), "axis_leak").otherwise("ok")
+    whole = out.when(any_phrase, first).when(any_axis & clean.rlike(AXIS_LEAK), "axis_leak").otherwise("ok")
     return made.withColumn(name, whole).drop("_clean", "_words", "_low")
 
 
