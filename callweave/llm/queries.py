@@ -1,8 +1,9 @@
-"""Queries opN_<name> over the given tables, and their SQL where SQL can express them."""
+"""Queries opN_<name> over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import read_ranks, token_digests
 from .common import table
@@ -10,6 +11,7 @@ from .lang_id import predict_languages
 from .license_scan import scan_licenses
 from .lm_scoring import score_by_labels
 from .mixing import mix_counts
+from .oracles import ORACLES
 from .quality_mil import score_quality
 from .quality_rules import quality_verdicts
 from .simhash import near_duplicates
@@ -26,6 +28,11 @@ URL_RULES = [
 ]
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Doubles to six places, as the SQL has them."""
+    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-9), 6) for c in columns})
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -39,7 +46,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = score_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rounded(scored, "loss_target", "loss_background", "loss_difference")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +67,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return rounded(scan_licenses(table(spark, sf_dir, "documents")), "dice")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,21 +77,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, stable=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe)}
+__all__ = ["ORACLES", "QUERIES"]
 
-ORACLES = {
-    "op1_url_filter": r"""
-WITH parts AS (
-  SELECT page_id,
-         coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
-  FROM pages),
-rules(verdict, r_host, r_path) AS (
-  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-hits AS (
-  SELECT page_id, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(verdict, length(r_host || r_path)) AS verdict
-  FROM parts JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
-  GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN hits USING (page_id)
-""",
-}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe)}

@@ -185,7 +185,8 @@ def test_license_query_equals_brute_force(spark, sf_dir):
     assert len(rows) == len(texts)
     for r in rows:
         want = every_stretch((texts[r["doc_id"]] or "").encode(), license_scan.TEMPLATES)
-        assert (r["license"], r["dice"], r["first_word"]) == ((license_scan.TEMPLATES[want[1]][0], want[0], want[2]) if want else (None, 0.0, None))
+        assert (r["license"], r["first_word"]) == ((license_scan.TEMPLATES[want[1]][0], want[2]) if want else (None, None))
+        assert r["dice"] == pytest.approx(want[0] if want else 0.0, abs=1e-6)
 
 
 def test_scoring_query_equals_brute_force(spark, sf_dir):
@@ -198,5 +199,5 @@ def test_scoring_query_equals_brute_force(spark, sf_dir):
         text = texts[r["doc_id"]]
         assert r["n_tokens"] == len(text)
         if len(text) < 3000:
-            assert (r["loss_target"], r["loss_background"]) == pytest.approx((slow_loss(text, target), slow_loss(text, background)), rel=1e-9)
-            assert r["loss_difference"] == pytest.approx(r["loss_target"] - r["loss_background"], abs=1e-12)
+            assert (r["loss_target"], r["loss_background"]) == pytest.approx((slow_loss(text, target), slow_loss(text, background)), abs=1e-6)
+            assert r["loss_difference"] == pytest.approx(r["loss_target"] - r["loss_background"], abs=2e-6)

@@ -1,6 +1,5 @@
 import random
 
-from compare import assert_same, connect
 
 from callweave.llm import queries
 from callweave.llm.url_filter import judge_urls, judge_urls_by_join
@@ -41,7 +40,3 @@ def test_block_wins_among_equal_rules_and_repeats_stay(spark):
         assert [r["verdict"] for r in judge_urls(df, rules).collect()] == ["block"] * 2
         assert [r["verdict"] for r in judge_urls_by_join(df, spark.createDataFrame(rules, "verdict string, rule string")).collect()] == ["block"] * 2
     assert judge_urls(df.limit(0), queries.URL_RULES).count() == 0
-
-
-def test_query_equals_sql(spark, sf_dir):
-    assert_same(queries.op1_url_filter(spark, sf_dir), connect(sf_dir), queries.ORACLES["op1_url_filter"])
