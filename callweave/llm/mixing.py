@@ -28,6 +28,8 @@ from .common import checkpointed
 #: Tokens of a slot; the rows that one chunk may hold, about.
 BLOCK_TOKENS, CHUNK_ROWS = 64, 4096
 PHI = 0.6180339887498949
+#: Bits of the hash that orders the documents of a source.
+ORDER_BITS = 60
 #: Equal parts of [0, 1) by which slots find their source.
 BINS = 1024
 
@@ -86,7 +88,7 @@ def documents_with_sizes(docs: DataFrame, id_col: str, text_col: str, source_col
         (F.col(row_col) if row_col else F.lit(0).cast("bigint")).alias("m_row"),
         F.col(source_col).cast("string").alias("m_source"),
         word_count(text).alias("size"),
-        F.xxhash64(F.col(id_col), F.col(source_col), text).alias("order"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col(source_col).cast("string"), text)), 1, ORDER_BITS // 4), 16, 10).cast("bigint").alias("order"),
     )
 
 
@@ -113,11 +115,12 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats
     keyed = sized.join(sources.select("m_key", "n_docs", F.col("m_source").alias("k_source")), F.col("m_source").eqNullSafe(F.col("k_source"))).drop("k_source")
     chunks = F.greatest(F.lit(1), F.col("n_docs") / CHUNK_ROWS).cast("bigint")
     # The leading bits of the hash name the chunk, so chunk and hash order agree.
-    dealt = keyed.withColumn("chunk", F.shiftrightunsigned("order", 32) * chunks / F.lit(2**32)).withColumn("chunk", F.floor("chunk"))
+    dealt = keyed.withColumn("chunk", F.floor(F.shiftright("order", ORDER_BITS - 32) * chunks / F.lit(2**32)))
     documents = running(dealt.select("m_id", "m_row", "m_source", "m_key", "size", "order", "chunk"), "chunk", "size", ["order", "m_id", "m_row"])
 
     # Slots: one row each, mapped to a source through the bins that its interval meets.
-    n_slots = sources.agg(F.ceil(F.coalesce(F.sum("target"), F.lit(0.0)) / block_tokens).cast("bigint").alias("n")).first()["n"]
+    whole = F.coalesce(F.sum("target"), F.lit(0.0)) / block_tokens
+    n_slots = sources.agg(F.ceil(F.round(whole, 6)).cast("bigint").alias("n")).first()["n"]
     spark = docs.sparkSession
     point = (F.col("i") + 1) * F.lit(PHI)
     slots = spark.range(n_slots).select(F.col("id").alias("i")).select("i", (point - F.floor(point)).alias("u"))

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, written from their definitions and not from the operators.
 
-Networks (op3, op7), schedules and hashes of Spark (op5), XXH64 (op6) and merges of tokens (op10) are
-beyond it; tests compare those with slow versions.
+Networks (op3, op7), XXH64 (op6) and merges of tokens (op10) are beyond it; tests compare those with
+slow versions.
 """
 
 from __future__ import annotations
@@ -41,6 +41,29 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM unit JOIN reach ON reach.x = unit.r LEFT JOIN counts ON counts.x = unit.r
 """
 
+#: The level at which sources are not full, slots by the golden ratio, and the words of each block of 64.
+OP5 = r"""
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(concat_ws('|', doc_id, source, text)), 1, 15))::BIGINT AS ord
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM docs GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][(place - 1) % 3 + 1]::DOUBLE AS weight, 2 * source_size::DOUBLE AS most FROM sizes),
+levels AS (
+  SELECT a.most / a.weight AS fill, ((SELECT 1.5::DOUBLE * sum(source_size) FROM sizes) - coalesce(sum(b.most) FILTER (b.most / b.weight < a.most / a.weight), 0)) / sum(b.weight) FILTER (b.most / b.weight >= a.most / a.weight) AS level
+  FROM weighed a CROSS JOIN weighed b GROUP BY a.place, a.most, a.weight),
+targets AS (SELECT source, source_size, place, least(most, weight * coalesce((SELECT arg_min(level, fill) FROM levels WHERE fill >= level), 1e300)) AS target FROM weighed),
+spans AS (SELECT *, sum(target) OVER (ORDER BY place) AS upper, sum(target) OVER () AS total, ceil(source_size / 64)::BIGINT AS blocks FROM targets),
+slots AS (SELECT i, (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range((SELECT ceil(round(max(total) / 64, 6))::BIGINT FROM spans))) AS i)),
+ranked AS (SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS n FROM slots JOIN spans ON target > 0 AND u >= (upper - target) / total AND u < CASE WHEN place = (SELECT max(place) FROM spans WHERE target > 0) THEN 1 ELSE upper / total END),
+uses AS (SELECT place, n % blocks AS block, count(*) AS uses FROM ranked WHERE n // blocks < 2 GROUP BY ALL),
+laid AS (
+  SELECT doc_id, size, source_size, target, place, coalesce(sum(size) OVER (PARTITION BY place ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin, row_number() OVER () AS r
+  FROM docs JOIN spans ON docs.source IS NOT DISTINCT FROM spans.source),
+parts AS (SELECT r, place, unnest(range(begin // 64, (begin + size - 1) // 64 + 1)) AS block, begin, size FROM laid WHERE size > 0),
+taken AS (SELECT r, sum((least(begin + size, 64 * block + 64) - greatest(begin, 64 * block)) * uses)::BIGINT AS taken FROM parts JOIN uses USING (place, block) GROUP BY r)
+SELECT doc_id, size, source_size, round(target + 1e-9::DOUBLE, 6) AS target, coalesce(taken, 0) AS taken FROM laid LEFT JOIN taken USING (r)
+"""
+
 #: Counts of every order are sums over the distinct quads of bytes, in hexadecimal digits.
 _QUAD_PARTS = {
     "total": "''",
@@ -132,4 +155,4 @@ SELECT doc_id, name AS license, round(coalesce(dice, 0) + 1e-9::DOUBLE, 6) AS di
 FROM docs LEFT JOIN best USING (r) LEFT JOIN sizes USING (t)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_embedding_near_dedup": OP2, "op4_lm_scoring": OP4, "op8_quality_rules": OP8, "op9_license_scan": OP9}
+ORACLES = {"op1_url_filter": OP1, "op2_embedding_near_dedup": OP2, "op4_lm_scoring": OP4, "op5_source_mix": OP5, "op8_quality_rules": OP8, "op9_license_scan": OP9}

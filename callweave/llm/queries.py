@@ -51,7 +51,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_counts(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_repeats=2)
+    return rounded(mix_counts(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, max_repeats=2), "target")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
