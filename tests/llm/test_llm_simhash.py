@@ -5,7 +5,7 @@ from cases import no_documents, odd_documents
 
 from callweave.llm import queries
 from callweave.llm.links import components
-from callweave.llm.simhash import drop_near_duplicates, linked_fingerprints, near_duplicates
+from callweave.llm.simhash import drop_near_duplicates, linked_fingerprints, near_duplicates, segment_masks
 
 
 def slow_fingerprint(text):
@@ -50,6 +50,16 @@ def test_odd_documents(spark):
     assert near_duplicates(odd_documents(spark)).count() == 10
 
 
+def test_every_number_of_segments_loses_no_pair():
+    rng = random.Random(7)
+    for count in (10, 1 << 24, 1 << 30, 1 << 36):
+        masks = segment_masks(count)
+        assert all(1 << bin(m).count("1") >= count / 8 for m in masks)
+        for _ in range(300):
+            differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+            assert any(differ & m == 0 for m in masks)
+
+
 def test_chains_and_large_buckets_lose_no_link(spark):
     rng = random.Random(2)
     prints = [rng.getrandbits(64) for _ in range(100)]
