@@ -129,3 +129,11 @@ def test_records_hold_scores_and_decision(spark):
 
 def test_argmax_of_calibrated_ties_is_the_first(spark):
     assert spark.createDataFrame([([0.5, 0.5, 0.0],)], "p array<double>").select(argmax(F.col("p"))).first()[0] == 0
+
+
+def test_smote_needs_few_rows_of_a_large_class(spark):
+    df = spark.createDataFrame([(i, 0 if i < 40 else 1, float(i)) for i in range(70)], "id int, y int, x double")
+    made = learning.smote(df, ["x"], "y", "id", k=2, block=4).collect()
+    new = [r for r in made if "+" in r["key"]]
+    assert len(made) == 80 and len(new) == 10 and all(r["label"] == 1 and r["key"].endswith("+0") for r in new)
+    assert all(abs(r["features"][0] - int(r["key"].split("+")[0])) <= 2 for r in new)
