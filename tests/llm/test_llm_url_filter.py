@@ -1,6 +1,5 @@
 import random
 
-
 from callweave.llm import queries
 from callweave.llm.url_filter import judge_urls, judge_urls_by_join
 
