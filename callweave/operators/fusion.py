@@ -106,10 +106,10 @@ def model_predictions(df: DataFrame, models: Sequence[str] = K.MODELS, truth: st
 
 
 def rank_models(df: DataFrame, models: Sequence[str] = K.MODELS, truth: str = "truth") -> DataFrame:
-    """model, weighted_f1, rank: models by weighted F1, in their own order on ties."""
+    """model, weighted_f1, rank: models by weighted F1 to 12 places, in their own order on ties."""
     own = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model"))
     scored = evaluate(model_predictions(df, models, truth), ["model"])
-    return scored.select("model", "weighted_f1", F.row_number().over(Window.orderBy(F.desc("weighted_f1"), own)).alias("rank"))
+    return scored.select("model", "weighted_f1", F.row_number().over(Window.orderBy(F.desc(F.round("weighted_f1", 12)), own)).alias("rank"))
 
 
 def compare_strategies(strategies: dict[str, DataFrame], truth: str = "truth", pred: str = "pred") -> DataFrame:

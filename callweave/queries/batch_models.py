@@ -137,7 +137,7 @@ _EACH_VAL = _EACH.replace("FROM probs", "FROM probs WHERE split = 'val'")
 _PLACE = "CASE model WHEN 'text' THEN 1 WHEN 'goemo' THEN 2 WHEN 'lexicon' THEN 3 ELSE 4 END"
 
 
-@query(f"{WITH_PROBS}, each_model AS ({_EACH_VAL}), {confusion_sql('each_model', 'model')} SELECT model, round(weighted_f1, 6) AS weighted_f1, CAST(row_number() OVER (ORDER BY summary.weighted_f1 DESC, {_PLACE}) AS INT) AS rank FROM summary")
+@query(f"{WITH_PROBS}, each_model AS ({_EACH_VAL}), {confusion_sql('each_model', 'model')} SELECT model, round(weighted_f1, 6) AS weighted_f1, CAST(row_number() OVER (ORDER BY round(summary.weighted_f1, 12) DESC, {_PLACE}) AS INT) AS rank FROM summary")
 def f6_rank_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(U.rank_models(validation(spark, sf_dir)), "weighted_f1")
 
