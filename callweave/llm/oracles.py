@@ -155,4 +155,74 @@ SELECT doc_id, name AS license, round(coalesce(dice, 0) + 1e-9::DOUBLE, 6) AS di
 FROM docs LEFT JOIN best USING (r) LEFT JOIN sizes USING (t)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_embedding_near_dedup": OP2, "op4_lm_scoring": OP4, "op5_source_mix": OP5, "op8_quality_rules": OP8, "op9_license_scan": OP9}
+#: CRC32 has no function in DuckDB: its table of 256 entries by its rule, then one entry for each byte.
+_CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list(x ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))) AS x FROM range(256) r(i)))"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the CRC32 of a text, where crc_table is joined."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || hex(encode({text}))[2 * k + 1 : 2 * k + 2])::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda x, y: xor(x >> 8, tab[xor(x & 255, y) + 1])), 4294967295)"
+
+
+#: Near words share what is left of them after a deletion at the same place, or one is what is left of the other.
+OP11 = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT w, s, count(*) AS m FROM (
+    SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents))
+  GROUP BY ALL),
+hashed AS (SELECT w, m, {_crc32("s")} AS h FROM runs, crc_table),
+slips AS (SELECT m, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM slips WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+cut AS (SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS k FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word),
+near AS (SELECT a, count(*) AS n_near, arg_min(b, struct_pack(x := -n, y := encode(b))) AS b FROM pairs JOIN words ON b = word GROUP BY a),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 5 * w.n THEN f.word END AS form, CASE WHEN f.n >= 5 * w.n THEN f.n END AS form_n
+  FROM words w LEFT JOIN near ON a = w.word LEFT JOIN words f ON f.word = b),
+walk(word, reached) AS (SELECT word, word FROM formed UNION ALL SELECT walk.word, form FROM walk JOIN formed ON formed.word = walk.reached WHERE form IS NOT NULL)
+SELECT formed.word, formed.n, formed.n_near, formed.form, formed.form_n, walk.reached AS root
+FROM formed JOIN walk ON walk.word = formed.word JOIN formed l ON l.word = walk.reached AND l.form IS NULL
+"""
+
+_TURN = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+#: Every node is an ancestor of itself; ancestors are the prefixes of its smallest member.
+OP12 = rf"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS pos, {_TURN} AS turn, length(coalesce(text, '')) AS tokens FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT c, CAST(c AS VARCHAR) AS s, count(*) AS n FROM turns GROUP BY c),
+convs AS (SELECT c, n, c - c % 100 AS base, {_crc32("s")} % 6 AS h FROM counts, crc_table),
+rebuilt AS (
+  SELECT v.c, t.pos AS depth, turn, tokens FROM convs v JOIN turns t ON t.c = v.base AND t.pos <= h
+  UNION ALL SELECT v.c, least(v.h, coalesce(b.n, 0)) + t.pos - v.h, turn, tokens FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h LEFT JOIN convs b ON b.c = v.base),
+paths AS (
+  SELECT c, depth, tokens, md5(string_agg(turn, ',') OVER (PARTITION BY c ORDER BY depth)) AS node FROM rebuilt
+  UNION ALL SELECT c, 0, 0, 'root' FROM convs),
+nodes AS (SELECT depth, node, min(c) AS owner, count(*) AS n_convs, max(tokens) AS tokens FROM paths GROUP BY ALL),
+edges AS (SELECT DISTINCT a.node, b.node AS parent FROM paths a JOIN paths b ON a.c = b.c AND b.depth = a.depth - 1),
+children AS (SELECT parent, count(*) AS n_children FROM edges GROUP BY parent),
+valued AS (SELECT depth, node, owner, n_convs, coalesce(n_children, 0) AS n_children, (n_convs - 1) * tokens AS saved FROM nodes LEFT JOIN children ON parent = node),
+sums AS (
+  SELECT p.node, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM valued v JOIN paths p ON p.c = v.owner AND p.depth <= v.depth GROUP BY p.node),
+ends AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM (SELECT c, arg_max(node, depth) AS node FROM paths GROUP BY c) GROUP BY node)
+SELECT v.owner AS conv_id, CAST(v.depth AS BIGINT) AS depth, p.owner AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) AS ends_sha256
+FROM valued v JOIN sums USING (node) LEFT JOIN ends USING (node) LEFT JOIN edges USING (node) LEFT JOIN nodes p ON p.node = edges.parent
+"""
+
+#: All pairs of a query with a row.
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT q.r, q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.r <> v.r AND len(q.e) = len(v.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM pairs
+QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_embedding_near_dedup": OP2, "op4_lm_scoring": OP4, "op5_source_mix": OP5, "op8_quality_rules": OP8, "op9_license_scan": OP9, "op11_spelling_variants": OP11, "op12_prefix_trie": OP12, "op13_nearest_neighbours": OP13}

@@ -12,9 +12,12 @@ from .license_scan import scan_licenses
 from .lm_scoring import score_by_labels
 from .mixing import mix_counts
 from .oracles import ORACLES
+from .prefix_trie import prefix_trie
 from .quality_mil import score_quality
 from .quality_rules import quality_verdicts
+from .rotated_codes import nearest_vectors
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .spherical import near_vectors
 from .url_filter import judge_urls
 
@@ -77,6 +80,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, stable=True)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_near_dedup, op3_quality_classifier, op4_lm_scoring, op5_source_mix, op6_simhash_near_dedup, op7_language_id, op8_quality_rules, op9_license_scan, op10_byte_bpe, op11_spelling_variants, op12_prefix_trie, op13_nearest_neighbours)}
