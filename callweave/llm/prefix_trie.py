@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import broadcast_if_small, ranked
-from .common import checkpointed, crc_rest, small_batches
+from .common import checkpointed, crc_rest, small_batches, written
 
 #: Weight of a component that a task decomposes by itself; bytes of one piece of a list of ids.
 BLOCK_WEIGHT, PIECE_BYTES = 8192, 1 << 16
@@ -61,7 +61,7 @@ def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = checkpointed(sizes.select("c", "own", h.alias("h"), (F.col("c") - F.col("c") % HUNDRED).alias("base")))
     bases = asked.where(F.col("c") == F.col("base")).select(F.col("c").alias("b"), F.col("own").alias("b_own"))
     # Ids are distinct here, so a base meets its own hundred only.
-    taken = F.coalesce(F.least("h", "b_own"), F.lit(0))
+    taken = F.when(F.col("b_own").isNotNull(), F.least("h", "b_own")).otherwise(0)
     convs = asked.join(bases, F.col("base") == F.col("b"), "left").select("c", "h", "base", taken.alias("taken"), (taken + F.greatest(F.col("own") - F.col("h"), F.lit(0))).alias("size"))
     convs = broadcast_if_small(convs)
     heads = turns.where((F.col("pos") < HEADS) & (F.col("c") % HUNDRED == 0)).withColumnRenamed("c", "b")
@@ -188,7 +188,8 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: dict[str, Column],
     now = nodes.select("node", "parent", "depth", "owner", "n_convs", "weight", F.lit(one).alias("comp"), *[v.cast("bigint").alias(n) for n, v in values.items()], *[F.lit(0).cast("bigint").alias(a) for a in added])
     done = []
     while True:
-        now = checkpointed(now)
+        # A written table: a checkpoint hands the constraints of its plan on, and those of many rounds grow without end.
+        now = written(now, "components")[0]
         totals = now.groupBy("comp").agg(F.max("weight").alias("total"), F.min("depth").alias("top_depth"), F.count("*").alias("n")).select(F.col("comp").alias("whole"), "total", "top_depth", ((F.col("total") > block_weight) & (F.col("n") > 1)).alias("large"))
         totals = broadcast_if_small(totals)
         large = broadcast_if_small(totals.where("large"))

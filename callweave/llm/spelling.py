@@ -161,9 +161,8 @@ def near_in_block(own: pa.Table, asked: pa.Table, letters: list[str]) -> pa.Tabl
             i, r = q[k : k + step], order[at[k : k + step]]
             shared = (theirs.start[i] != mine.start[r]).argmax(1) + (theirs.end[i] != mine.end[r]).argmax(1)
             size, other = theirs.length[i], mine.length[r]
-            # Equal words share twice their length, others less than the longer one has.
-            near = (shared >= np.maximum(size, other) - 1) & (shared <= np.maximum(size, other))
-            near &= ~((size == other) & (shared == 2 * size)) & (np.abs(size - other) <= 1)
+            # One edit parts a common start from a common end; equal words share both whole.
+            near = (shared >= np.maximum(size, other) - 1) & (np.abs(size - other) <= 1) & ~((size == other) & (shared == 2 * size))
             i, r = i[near], r[near]
             found += np.bincount(i, minlength=len(found))
             np.minimum.at(first, i, best[r])
