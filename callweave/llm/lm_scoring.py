@@ -9,34 +9,34 @@ probability is (n(context, byte) + SMOOTHING * lower order) / (n(context) + SMOO
 n(context) counts the places at which a byte follows the context, so that the probabilities of all
 bytes after a context add up to 1.
 
-All orders are exact, and the table of n-grams grows with the corpus. Texts are dealt to blocks
+All orders are exact, and the table of n-grams grows with the corpus. Distinct texts are dealt to blocks
 of about BLOCK_BYTES. A block lists each of its distinct n-grams once, as a row with both
 counts; the rows are added up by n-gram in Spark, the sums go back to the blocks that hold
 the n-gram, and each block scores its texts. An n-gram has one row for each block at most, so
 frequent ones weigh no more than others, and nothing is gathered on the driver.
 
 Defined cases: null and empty texts have no tokens, losses 0 and difference 0; without a marked
-document the target model is uniform; repeated rows count and are scored one by one (equal
-rows share a block); an empty table gives an empty table; further columns are ignored.
+document the target model is uniform; repeated rows count one by one: equal texts, told by their MD5, are counted and
+scored once with the number of their rows; a text of any length is in one block, by itself if it is longer
+than one; a document is marked by its id, so all rows of an id are; an empty table gives an empty table;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import checkpointed, small_batches, text_bytes
 
 SMOOTHING, START = 4.0, b"\n\n\n"
 #: Bytes that are looked at together.
 AT_ONCE = 1 << 19
 #: Bytes of the texts of a block, about, and what a row counts for besides its text.
 BLOCK_BYTES, ROW_BYTES = 8 << 20, 32
-#: Parts to which the texts of one id are dealt.
-PARTS = 16
+LOSSES = ("n_tokens", "loss_target", "loss_background", "loss_difference")
 #: What a key of the table counts: the leading bits of the key, before the bytes. TOTAL, FIRST,
 #: SECOND and THIRD are contexts of 0 to 3 bytes, the others a byte after such a context.
 TOTAL, UNI, FIRST, BI, SECOND, TRI, THIRD, QUAD = (k << 32 for k in range(8))
@@ -78,14 +78,14 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return found, np.stack([np.bincount(place, row, len(found)).astype(np.int64) for row in both])
 
 
-def count_quads(marked: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct quads, and their counts (2, quad) in the marked texts and in all."""
+def count_weighted(groups: list[tuple[list[bytes], int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct quads, and their counts (2, quad), from texts that each count so often in the target and in all."""
     keys, counts, held = [np.zeros(0, np.uint32)], [np.zeros((2, 0), np.int64)], 0
-    for texts, weight in ((marked, [[1], [1]]), (other, [[0], [1]])):
+    for texts, target, every in groups:
         for _, quad in ngrams(texts):
             found, n = np.unique(quad, return_counts=True)
             keys.append(found)
-            counts.append(n * np.array(weight))
+            counts.append(n * np.array([[target], [every]]))
             held += len(found)
             if held > HELD:
                 found, both = add_up(keys, counts)
@@ -93,6 +93,11 @@ def count_quads(marked: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np
     return add_up(keys, counts)
 
 
+def count_quads(marked: list[bytes], other: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct quads, and their counts (2, quad) in the marked texts and in all."""
+    return count_weighted([(marked, 1, 1), (other, 0, 1)])
+
+
 def count_keys(quads: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all orders that the losses of the quads need, and their counts here."""
     parts = [add_up([k], [counts]) for k in orders(quads)]
@@ -162,35 +167,39 @@ def score_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(ROW_BYTES)).cast("bigint").alias("n")).first()["n"] or 0
-    n_blocks = F.lit(size // BLOCK_BYTES + 1)
-    # Labels and texts of an id meet in the same blocks; rows without an id have no label.
-    block = lambda part: F.pmod(F.xxhash64("id", part), n_blocks)
-    part = F.pmod(F.xxhash64("text"), F.when(F.col("id").isNull(), F.lit(1 << 40)).otherwise(F.lit(PARTS)))
-    texts = rows.select(block(part).alias("block"), "id", "text")
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("id")).distinct()
-    good = good.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")))).select(block(F.col("part")).alias("block"), "id")
-
-    def count(key, good: pa.Table, texts: pa.Table) -> pa.Table:
-        held = texts["text"].to_pylist()
-        marks = pc.is_in(texts["id"], value_set=good["id"].combine_chunks()).to_pylist()
-        keys, counts = count_keys(*count_quads([t for t, m in zip(held, marks) if t and m], [t for t, m in zip(held, marks) if t and not m]))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text")).withColumn("h", F.md5("text"))
+    # Ids and hashes are written, so that the joins below are ones in which Spark can split a hot id or text.
+    keyed = checkpointed(rows.select("id", "h"))
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("g")).distinct()
+    marked = keyed.join(good, F.col("id") == F.col("g"), "left")
+    times = marked.groupBy("h").agg(F.count("g").alias("n_target"), F.count("*").alias("n_all"))
+    # Equal texts are one, of which each task sends one copy.
+    once = checkpointed(rows.groupBy("h").agg(F.first("text").alias("text")).join(times, "h"))
+    size = once.agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES)).cast("bigint").alias("n")).first()["n"] or 0
+    texts = once.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(size // BLOCK_BYTES + 1)))
+
+    def count(key, texts):
+        alike: dict[tuple[int, int], list[bytes]] = {}
+        for text, target, every in zip(texts["text"].to_pylist(), texts["n_target"].to_pylist(), texts["n_all"].to_pylist()):
+            if text:
+                alike.setdefault((target, every), []).append(text)
+        keys, counts = count_keys(*count_weighted([(held, *n) for n, held in alike.items()]))
         return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py())), "gram": pa.array(keys), "n_target": pa.array(counts[0]), "n_all": pa.array(counts[1])})
 
     def score(known: pa.Table, texts: pa.Table) -> pa.Table:
-        held = [t or b"" for t in texts["text"].to_pylist()]
+        held = texts["text"].to_pylist()
         order = np.argsort(known["gram"].to_numpy())
         keys = known["gram"].to_numpy()[order]
         sums = np.stack([known[c].to_numpy()[order] for c in ("n_target", "n_all")])
         quads = (keys[keys >= QUAD] & 0xFFFFFFFF).astype(np.uint32)
         n = np.array([len(t) for t in held], np.int64)
         mean = losses(held, quads, quad_bits(quads, keys, sums)) / np.maximum(n, 1)
-        columns = [texts["id"], pa.array(n), *map(pa.array, (mean[0], mean[1], mean[0] - mean[1]))]
-        return pa.table(columns, names=["id", "n_tokens", "loss_target", "loss_background", "loss_difference"])
+        columns = [texts["h"], pa.array(n), *map(pa.array, (mean[0], mean[1], mean[0] - mean[1]))]
+        return pa.table(columns, names=["h", *LOSSES])
 
-    counted = good.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(count, "block bigint, gram bigint, n_target bigint, n_all bigint")
+    counted = texts.groupBy("block").applyInArrow(count, "block bigint, gram bigint, n_target bigint, n_all bigint")
     everywhere = Window.partitionBy("gram")
     known = counted.select("block", "gram", *[F.sum(c).over(everywhere).alias(c) for c in ("n_target", "n_all")])
-    scored = known.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(score, f"id {kind}, n_tokens bigint, loss_target double, loss_background double, loss_difference double")
-    return scored.withColumnRenamed("id", id_col)
+    scored = known.groupBy("block").cogroup(texts.select(F.col("block").alias("of"), "h", "text").groupBy("of")).applyInArrow(score, "h string, n_tokens bigint, loss_target double, loss_background double, loss_difference double")
+    scored = checkpointed(scored.select(F.col("h").alias("s"), *LOSSES))
+    return keyed.join(scored, F.col("h") == F.col("s")).select(F.col("id").alias(id_col), *LOSSES)

@@ -4,7 +4,8 @@
    times its own size; what lies above is shared again by weight until none is above.
 2. The mix is a row of slots of block_tokens tokens. Slot i has the golden-ratio point
    frac((i + 1) * phi), which the cumulative targets map to a source, so that every
-   stretch of the mix holds each source in its share to within a few slots.
+   stretch of the mix holds each source in its share to within a few slots. Points are whole
+   multiples modulo 2^62, distinct for any number of slots, and so are the bounds of sources.
 3. The slots of a source are ranked. Slot of rank r takes block r mod n of the source, whose
    documents lie one after the other in a hashed order and are cut to blocks of equal tokens.
 
@@ -14,8 +15,9 @@ source (targets, names in order), so sources are meant to be thousands or a few
 name for each document; and a row for each chunk of one source, its size over CHUNK_ROWS.
 
 Defined cases: null texts have size 0 and are taken 0 times; a null source is a source,
-which sorts last; ids that repeat are ordered by their text's hash and count one by one;
-an empty table gives an empty table; further columns are ignored.
+which sorts last; ids that repeat are ordered by their text's hash and count one by one; long texts
+are cut to blocks like others; equal rows are told apart by a row key where there is one, and take their places in
+turn where not; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +29,23 @@ from .common import checkpointed
 
 #: Tokens of a slot; the rows that one chunk may hold, about.
 BLOCK_TOKENS, CHUNK_ROWS = 64, 4096
-PHI = 0.6180339887498949
+#: The golden ratio in 62 bits, odd, so that no two multiples below 2^62 are equal.
+POINT_BITS = 62
+PHI = 2850178704830799621
 #: Bits of the hash that orders the documents of a source.
 ORDER_BITS = 60
-#: Equal parts of [0, 1) by which slots find their source.
-BINS = 1024
+#: Equal parts of [0, 1) by which slots find their source: so many bits at least, two more than the sources have, so
+#: many at most.
+BIN_BITS, MOST_BIN_BITS = 10, 20
+
+
+def point(slot: Column) -> Column:
+    """The golden-ratio point of a slot, as a whole number below 2^62, from products of 31 bits."""
+    half, low = POINT_BITS // 2, (1 << POINT_BITS // 2) - 1
+    n1, n0 = F.shiftright(slot + 1, half), (slot + 1).bitwiseAND(F.lit(low))
+    a1, a0 = PHI >> half, PHI & low
+    upper = F.pmod(n1 * a0 + n0 * a1, F.lit(1 << half))
+    return (n0 * a0 + F.shiftleft(upper, half)).bitwiseAND(F.lit((1 << POINT_BITS) - 1))
 
 
 def word_count(text: Column) -> Column:
@@ -120,18 +134,19 @@ def mixed(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats
 
     # Slots: one row each, mapped to a source through the bins that its interval meets.
     whole = F.coalesce(F.sum("target"), F.lit(0.0)) / block_tokens
-    n_slots = sources.agg(F.ceil(F.round(whole, 6)).cast("bigint").alias("n")).first()["n"]
-    spark = docs.sparkSession
-    point = (F.col("i") + 1) * F.lit(PHI)
-    slots = spark.range(n_slots).select(F.col("id").alias("i")).select("i", (point - F.floor(point)).alias("u"))
-    slots = slots.withColumn("bin", F.floor(F.col("u") * BINS).cast("int"))
+    found = sources.agg(F.ceil(F.round(whole, 6)).cast("bigint").alias("n"), F.count("*").alias("sources")).first()
+    bin_bits = min(MOST_BIN_BITS, max(BIN_BITS, found["sources"].bit_length() + 2))
+    spark, bin_of = docs.sparkSession, lambda p: F.shiftright(p, POINT_BITS - bin_bits).cast("int")
+    slots = spark.range(found["n"]).select(F.col("id").alias("i"), point(F.col("id")).alias("u")).withColumn("bin", bin_of(F.col("u")))
+    # Neighbouring spans share their bounds, since one's upper bound is the next one's lower.
+    by_key = Window.orderBy("m_key")
     spans = (
         sources.where("target > 0")
-        .select("m_key", "source_size", ((F.col("upper") - F.col("target")) / F.col("total")).alias("lo"), (F.col("upper") / F.col("total")).alias("hi"))
-        .withColumn("hi", F.when(F.col("hi") == F.max("hi").over(Window.partitionBy()), F.lit(1.0)).otherwise(F.col("hi")))
-        .withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * BINS).cast("int"), F.least(F.lit(BINS - 1), F.floor(F.col("hi") * BINS)).cast("int"))))
+        .withColumn("hi", F.when(F.lead("m_key").over(by_key).isNull(), F.lit(1 << POINT_BITS)).otherwise(F.floor(F.col("upper") / F.col("total") * F.lit(float(1 << POINT_BITS))).cast("bigint")))
+        .select("m_key", "source_size", F.coalesce(F.lag("hi").over(by_key), F.lit(0).cast("bigint")).alias("lo"), "hi")
+        .where("lo < hi")
+        .withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi") - 1))))
     )
-    # Neighbouring spans share their bounds through the cumulative sum.
     placed = slots.join(spans, "bin").where("u >= lo AND u < hi")
     placed = placed.select("i", "m_key", "source_size", F.floor(F.col("i") / CHUNK_ROWS).alias("chunk"), F.lit(1).cast("bigint").alias("one"))
     ranked = running(placed, "chunk", "one", ["i"])

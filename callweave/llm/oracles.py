@@ -53,8 +53,10 @@ levels AS (
   FROM weighed a CROSS JOIN weighed b GROUP BY a.place, a.most, a.weight),
 targets AS (SELECT source, source_size, place, least(most, weight * coalesce((SELECT arg_min(level, fill) FROM levels WHERE fill >= level), 1e300)) AS target FROM weighed),
 spans AS (SELECT *, sum(target) OVER (ORDER BY place) AS upper, sum(target) OVER () AS total, ceil(source_size / 64)::BIGINT AS blocks FROM targets),
-slots AS (SELECT i, (i + 1) * 0.6180339887498949::DOUBLE - floor((i + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range((SELECT ceil(round(max(total) / 64, 6))::BIGINT FROM spans))) AS i)),
-ranked AS (SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS n FROM slots JOIN spans ON target > 0 AND u >= (upper - target) / total AND u < CASE WHEN place = (SELECT max(place) FROM spans WHERE target > 0) THEN 1 ELSE upper / total END),
+slots AS (SELECT i, ((i + 1)::HUGEINT * 2850178704830799621) % 4611686018427387904 AS u FROM (SELECT unnest(range((SELECT ceil(round(max(total) / 64, 6))::BIGINT FROM spans))) AS i)),
+bounds AS (SELECT place, blocks, CASE WHEN place = max(place) OVER () THEN 4611686018427387904::HUGEINT ELSE floor(upper / total * 4611686018427387904::DOUBLE)::HUGEINT END AS hi FROM spans WHERE target > 0),
+pieces AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY place), 0) AS lo FROM bounds),
+ranked AS (SELECT place, blocks, row_number() OVER (PARTITION BY place ORDER BY i) - 1 AS n FROM slots JOIN pieces ON u >= lo AND u < hi),
 uses AS (SELECT place, n % blocks AS block, count(*) AS uses FROM ranked WHERE n // blocks < 2 GROUP BY ALL),
 laid AS (
   SELECT doc_id, size, source_size, target, place, coalesce(sum(size) OVER (PARTITION BY place ORDER BY ord, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin, row_number() OVER () AS r

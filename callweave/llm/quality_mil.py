@@ -12,8 +12,8 @@ passages of each, drawn by a fixed permutation. Scoring reads every passage of e
 
 Defined cases: null and empty texts are one empty passage and get a score; texts of any
 length are read to their end; without labels to learn from every score is 0.5; rows whose
-id is null are held out; repeated rows are judged one by one, and of rows that share an id one is
-learned from; an empty table gives an empty table; further columns are ignored.
+id is null are held out; labels of ids that no document has are not drawn, and an id with both labels counts as 1; repeated rows are judged one by one, and of rows that share an id one is
+learned from; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, map_column, text_bytes
+from .common import checkpointed, crc_rest, map_column, text_bytes
 
 PASSAGE = 512
 SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 16
@@ -169,7 +169,10 @@ def held_out(id_col: str):
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"):
     """The model, from documents with labels 0 or 1 that are not held out; None without both labels."""
+    there = docs.select(F.col(id_col).alias("t_id")).distinct()
+    # Only labels of documents that there are: others would use up the sample.
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("s_id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = checkpointed(known.join(there, F.col("s_id") == F.col("t_id"), "left_semi"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None

@@ -5,7 +5,7 @@ from cases import no_documents, odd_documents
 from pyspark.sql import functions as F
 
 from callweave.llm import queries
-from callweave.llm.mixing import mix_counts, mixed, take_documents
+from callweave.llm.mixing import PHI, POINT_BITS, mix_counts, mixed, point, take_documents
 
 
 def slow_targets(sizes, weights, share, most):
@@ -81,3 +81,21 @@ def test_rows_without_an_id_of_their_own_are_taken(spark):
     taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.col("row") % 50 + 1).alias("n")).collect()}
     for source, wanted in target.items():
         assert abs(taken[source] - wanted) <= 0.1 * wanted, source
+
+
+def test_points_stay_distinct_far_out(spark):
+    far = spark.range(10**11, 10**11 + 200_000).select(point(F.col("id")).alias("p"))
+    assert far.distinct().count() == 200_000
+    some = [0, 1, 2, 10**6, 10**11, 10**15, 2**61]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in some], "i bigint").select(point(F.col("i"))).collect()]
+    assert got == [(i + 1) * PHI % (1 << POINT_BITS) for i in some]
+    cells = spark.range(10**11, 10**11 + 6400).groupBy(F.shiftright(point(F.col("id")), POINT_BITS - 6).alias("cell")).count().collect()
+    assert len(cells) == 64 and all(98 <= r["count"] <= 102 for r in cells)  # low discrepancy there too
+
+
+def test_many_sources_keep_their_share(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 * 800).cast("int")).alias("text"), (F.col("id") % 1500).cast("string").alias("source"))
+    rows = mix_counts(docs, [3, 1, 2]).groupBy("size", "source_size", "target").agg(F.max("taken").alias("most"))
+    assert rows.where("most > 2 * size").count() == 0
+    whole = mix_counts(docs, [3, 1, 2]).agg(F.sum("taken"), F.sum("size")).first()
+    assert abs(whole[0] - 1.5 * whole[1]) < 0.05 * whole[1]

@@ -195,3 +195,17 @@ def test_an_id_that_repeats_does_not_fill_the_samples(spark):
     many = docs.unionByName(spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit("some text of a language").alias("text"), F.lit("xx").alias("lang")))
     drawn = [lang for lang, _ in lang_id.sample(many, "doc_id", "text", "lang")]
     assert drawn.count("xx") == 200 + 6 and drawn.count("en") == 6
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark):
+    texts = [("good words of a calm and even tale " * 6, 1), ("$$$ ### click click click $$$ " * 8, 0)]
+    docs = spark.createDataFrame([(i, f"{texts[i % 2][0]} {i}") for i in range(400)], "doc_id bigint, text string")
+    own = spark.range(400).select(F.col("id").alias("doc_id"), (1 - F.col("id") % 2).cast("int").alias("quality"))
+    foreign = spark.range(10**6, 10**6 + 400_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"))
+    scored = quality_mil.score_quality(docs, own.unionByName(foreign)).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in scored)
+    # An id with both labels counts as 1.
+    both = own.unionByName(own.withColumn("quality", F.lit(0)))
+    assert all(r["y"] == 1 - r["s_id"] % 2 for r in both.groupBy(F.col("doc_id").alias("s_id")).agg(F.max("quality").alias("y")).collect())
+    again = quality_mil.score_quality(docs, both).collect()
+    assert all((r["score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in again)

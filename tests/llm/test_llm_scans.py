@@ -201,3 +201,20 @@ def test_scoring_query_equals_brute_force(spark, sf_dir):
         if len(text) < 3000:
             assert (r["loss_target"], r["loss_background"]) == pytest.approx((slow_loss(text, target), slow_loss(text, background)), abs=1e-6)
             assert r["loss_difference"] == pytest.approx(r["loss_target"] - r["loss_background"], abs=2e-6)
+
+
+def test_equal_texts_are_one_with_and_without_ids(spark):
+    """A text of 10^5 rows goes to one block once, and weighs as often as it occurs."""
+    hot = "the same text again and again"
+    rows = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit(hot).alias("text"))
+    few = spark.createDataFrame([(200_001, "another text"), (200_003, hot + "!")], "doc_id bigint, text string")
+    labels = spark.range(0, 1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    found = lm_scoring.score_by_labels(rows.unionByName(few), labels)
+    held = found.groupBy("loss_target", "loss_background", "n_tokens").count().collect()
+    assert sorted(r["count"] for r in held) == [1, 1, 100_000]
+    rows_of = lambda text, n: [text.encode()] * n
+    models = slow_models(rows_of(hot, 500)), slow_models(rows_of(hot, 2000) + rows_of("another text", 1))
+    one = next(r for r in held if r["count"] == 100_000)
+    assert one["loss_target"] == pytest.approx(slow_loss(hot.encode(), models[0]), rel=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # nothing but the join is left to do: the blocks are written
