@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,6 +60,20 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
+def own_prefix(columns: list[str]) -> str:
+    """A prefix for columns that an operator adds for itself, which none of the given columns has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def vector_of(scores: list[Column]) -> Column:
+    """Scores as one vector: a missing one counts 0, and a vector without any score is null."""
+    doubles = [s.cast("double") for s in scores]
+    return F.when(F.coalesce(*doubles).isNotNull(), F.array(*[F.coalesce(d, F.lit(0.0)) for d in doubles]))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder that the session names.
 
@@ -68,7 +83,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.startswith("local["):
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
@@ -80,6 +95,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a table in that folder, read again.
+
+    For loops: a checkpoint hands on the constraints of its plan, and those of many rounds grow without end.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, written first, with a hint to broadcast it if it has at most so many rows."""
     held = checkpointed(df)
@@ -93,17 +118,19 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "ra
     range plus the sizes of the ranges before. The dealt rows are written whole, since rows have no
     key by which a written position could be joined back to them.
     """
-    keys = {f"_o{i}": o for i, o in enumerate(order)}
+    p = own_prefix(df.columns)
+    part, n, at = f"{p}part", f"{p}n", f"{p}inside"
+    keys = {f"{p}o{i}": o for i, o in enumerate(order)}
     dealt = df.withColumns(keys).repartitionByRange(*[F.col(c) for c in [*group, *keys]])
-    parts = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
-    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*keys)) - 1
-    sizes = parts.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("_n").over(Window.partitionBy(*group))
+    parts = checkpointed(dealt.withColumn(part, F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy(*group, part).orderBy(*keys)) - 1
+    sizes = parts.groupBy(*group, part).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum(n).over(Window.partitionBy(*group))
     # A row for each group and range in which it lies: few, unless groups are.
-    offsets = broadcast_if_small(sizes.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), before.alias("_before"), whole.alias("_size")))
-    on = (F.col("_part") == F.col("_p"))
+    offsets = broadcast_if_small(sizes.select(*[F.col(g).alias(f"{p}g{i}") for i, g in enumerate(group)], F.col(part).alias(f"{p}p"), before.alias(f"{p}before"), whole.alias(f"{p}size")))
+    on = (F.col(part) == F.col(f"{p}p"))
     for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    inside = parts.withColumn("_inside", within)
-    return inside.join(offsets, on).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name), *[F.col("_size").alias(s) for s in (size,) if s])
+        on = on & F.col(g).eqNullSafe(F.col(f"{p}g{i}"))
+    inside = parts.withColumn(at, within)
+    return inside.join(offsets, on).select(*df.columns, (F.col(at) + F.col(f"{p}before")).alias(name), *[F.col(f"{p}size").alias(s) for s in (size,) if s])

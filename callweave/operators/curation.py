@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import ratio, seeded, strip, words
+from ..functions.expr import own_prefix, ratio, seeded, strip, words
 
 
 def normalised(text: Column) -> Column:
@@ -55,8 +55,9 @@ def with_reason(df: DataFrame, col: str, name: str) -> DataFrame:
 
     The stripped text, its words and its lower case are columns of their own, which the rules share.
     """
-    clean, n, low = F.col("_clean"), F.col("_words"), F.col("_low")
-    made = df.withColumn("_clean", strip(F.coalesce(F.col(col), F.lit("")))).withColumns({"_words": F.size(F.split(clean, r"(?U)\s+")), "_low": F.lower(clean)})
+    p = own_prefix(df.columns)
+    clean, n, low = (F.col(f"{p}{c}") for c in ("clean", "words", "low"))
+    made = df.withColumn(f"{p}clean", strip(F.coalesce(F.col(col), F.lit("")))).withColumns({f"{p}words": F.size(F.split(clean, r"(?U)\s+")), f"{p}low": F.lower(clean)})
     quoted = lambda q: clean.startswith(q) & clean.endswith(q)
     out = (
         F.when(clean == "", "empty")
@@ -71,37 +72,47 @@ def with_reason(df: DataFrame, col: str, name: str) -> DataFrame:
     any_axis = reduce(or_, [low.contains(w) for w in (*AXES, "\u017f")])
     first = F.coalesce(*[F.when(low.contains(p), F.lit(f"banned_phrase('{p}')")) for p in K.BANNED_PHRASES])
     whole = out.when(any_phrase, first).when(any_axis & clean.rlike(AXIS_LEAK), "axis_leak").otherwise("ok")
-    return made.withColumn(name, whole).drop("_clean", "_words", "_low")
+    return made.withColumn(name, whole).drop(f"{p}clean", f"{p}words", f"{p}low")
 
 
 def heuristic_reason(df: DataFrame, col: str = "text") -> DataFrame:
     return with_reason(df, col, "reason")
 
 
-JUDGED = "score double, intensity_obs double, natural boolean, reason string"
-
-
 def parse_judge_json(df: DataFrame, col: str = "response") -> DataFrame:
     """Adds parsed, score, intensity_obs, natural and reason from a judge's answer.
 
-    Code fences are taken off; an answer that is no JSON object is searched for one.
+    Code fences are taken off; an answer that is no JSON object is searched for one. An empty object
+    and one that names a field twice are no answer. Fields are read whatever their type is: a number
+    is cut to an integer, text of an integer is that integer, true is 1, and what is missing or
+    unreadable is 0; natural is what counts as true (a number but 0, a text, list or object with
+    content), true when it is missing; the reason is cut to 200 characters.
     """
     text = strip(F.coalesce(F.col(col), F.lit("")))
     bare = F.when(text.startswith("```"), F.regexp_replace(F.regexp_replace(text, r"^```(json)?\s*", ""), r"\s*```$", "")).otherwise(text)
-    whole = F.when(bare.rlike(r"(?s)^\s*\{.*\}\s*$"), bare)
     block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"}
-    read = lambda c: F.from_json(c, JUDGED + ", bad string", options)
-    good = lambda c: F.when(c["bad"].isNull() & F.coalesce(c["score"], c["intensity_obs"], c["natural"].cast("double"), F.when(c["reason"].isNotNull(), 1.0)).isNotNull(), c)
-    out = df.withColumn("_j", F.coalesce(good(read(whole)), good(read(block))))
-    return (
-        out.withColumn("parsed", F.col("_j").isNotNull())
-        .withColumn("score", F.when(F.col("parsed"), F.coalesce(F.col("_j.score").cast("int"), F.lit(0))))
-        .withColumn("intensity_obs", F.when(F.col("parsed"), F.coalesce(F.col("_j.intensity_obs").cast("int"), F.lit(0))))
-        .withColumn("natural", F.when(F.col("parsed"), F.coalesce("_j.natural", F.lit(True))))
-        .withColumn("reason", F.when(F.col("parsed"), F.substring(F.coalesce("_j.reason", F.lit("")), 1, 200)))
-        .drop("_j")
-    )
+    read = lambda c: F.try_parse_json(c)
+    kind = lambda v: F.schema_of_variant(v)
+    filled = lambda v: F.when(kind(v).startswith("OBJECT<") & (kind(v) != "OBJECT<>"), v)
+    p = own_prefix(df.columns)
+    answer, types = F.col(f"{p}answer"), {f: F.col(f"{p}{f}") for f in ("score", "intensity_obs", "natural", "reason")}
+    out = df.withColumn(f"{p}answer", F.coalesce(filled(read(bare)), filled(read(block))))
+    out = out.withColumns({f"{p}{f}": kind(F.try_variant_get(answer, f"$.{f}", "variant")) for f in types})
+
+    def number(field: str) -> Column:
+        said, whole = F.try_variant_get(answer, f"$.{field}", "string"), F.try_variant_get(answer, f"$.{field}", "double")
+        of_text = F.when(said.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(said).try_cast("int"))
+        n = F.when(types[field] == "STRING", of_text).when(types[field] == "BOOLEAN", (said == "true").cast("int")).otherwise(whole.try_cast("int"))
+        return F.when(answer.isNotNull(), F.coalesce(n, F.lit(0)))
+
+    said, of = F.try_variant_get(answer, "$.natural", "string"), types["natural"]
+    true = F.when(of.isNull(), True).when(of == "BOOLEAN", said == "true").when(of == "STRING", said != "").when(of == "VOID", False)
+    true = true.when(of.startswith("ARRAY") | of.startswith("OBJECT"), ~said.isin("[]", "{}")).otherwise(F.try_variant_get(answer, "$.natural", "double") != 0)
+    why = F.try_variant_get(answer, "$.reason", "string")
+    reason = F.when(types["reason"] == "VOID", "None").when(types["reason"] == "BOOLEAN", F.initcap(why)).otherwise(F.coalesce(why, F.lit("")))
+    values = {"score": number("score"), "intensity_obs": number("intensity_obs"), "natural": F.when(answer.isNotNull(), true), "reason": F.when(answer.isNotNull(), F.substring(reason, 1, 200))}
+    kept = [c for c in df.columns if c not in (*values, "parsed")]
+    return out.select(*kept, answer.isNotNull().alias("parsed"), *[v.alias(c) for c, v in values.items()])
 
 
 def judge_verdict(df: DataFrame, score: str = "score", observed: str = "intensity_obs", claimed: str = "intensity") -> DataFrame:

@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import argmax, class_name, ratio
+from .handover import mass
 
 NEGATIVE = (K.ANGER, K.FRUSTRATION, K.SADNESS)
 #: The names of the tiers of errors.
 CORRECT, MISSED_FRUSTRATION, FALSE_FRUSTRATION, AMONG_NEGATIVES, MISSED_NEGATIVE, OTHER = "correct", "A_FN_frustration", "B_FP_frustration", "C_confusion_negatives", "C_missed_negative_as_neutral", "other"
 
 
-def handover_score(probs: Column) -> Column:
-    """P(anger) + P(frustration)."""
-    return F.get(probs, K.ANGER) + F.get(probs, K.FRUSTRATION)
-
-
 def error_report(df: DataFrame, probs: str = "probs", truth: str = "truth") -> DataFrame:
-    """Adds pred, predicted_class, confidence, p_handover, severity and tier."""
+    """Adds pred, predicted_class, confidence, p_handover, severity and tier.
+
+    p_handover is the handover score of the live decision, so missing scores count 0. A truth without a
+    prediction is an error like any other: frustration is missed, other classes are `other`.
+    """
     t, p = F.col(truth), F.col("pred")
     tier = (
         F.when(t == p, CORRECT)
@@ -34,7 +34,7 @@ def error_report(df: DataFrame, probs: str = "probs", truth: str = "truth") -> D
         df.withColumn("pred", argmax(F.col(probs)))
         .withColumn("predicted_class", class_name(F.col("pred")))
         .withColumn("confidence", F.array_max(probs))
-        .withColumn("p_handover", handover_score(F.col(probs)))
+        .withColumn("p_handover", mass(probs, K.ANGER, K.FRUSTRATION))
         .withColumn("tier", tier)
         .withColumn("severity", severity)
     )
@@ -69,7 +69,8 @@ def threshold_sweep(df: DataFrame, lo: float = 0.30, hi: float = 0.70, step: flo
     """The binary metrics of every threshold.
 
     A row counts as positive below as many thresholds as its score exceeds. Rows are counted
-    once by that number, and the counts are added up from the top.
+    once by that number, and the counts are added up from the top. A score that is null or NaN
+    exceeds none.
     """
     n = round((hi - lo) / step) + 1
     grid = [round(lo + i * step, 4) for i in range(n)]
@@ -77,7 +78,8 @@ def threshold_sweep(df: DataFrame, lo: float = 0.30, hi: float = 0.70, step: flo
     levels = F.array(*[F.lit(t) for t in grid])
     guess = F.greatest(F.lit(0), F.least(F.lit(n), F.ceil((F.col(score) - lo) / step).cast("int")))
     fixed = F.when((guess < n) & (F.get(levels, guess) < F.col(score)), guess + 1).when((guess > 0) & (F.get(levels, guess - 1) >= F.col(score)), guess - 1).otherwise(guess)
-    rows = df.where(F.col(truth).isNotNull()).select(F.coalesce(fixed, F.lit(0)).alias("passed"), F.col(truth).isin(K.ANGER, K.FRUSTRATION).alias("pos"), (F.col(truth) == K.FRUSTRATION).alias("frust"))
+    given = F.col(score).isNotNull() & ~F.isnan(score)
+    rows = df.where(F.col(truth).isNotNull()).select(F.when(given, fixed).otherwise(0).alias("passed"), F.col(truth).isin(K.ANGER, K.FRUSTRATION).alias("pos"), (F.col(truth) == K.FRUSTRATION).alias("frust"))
     count = lambda c: F.sum(c.cast("bigint"))
     held = rows.groupBy("passed").agg(count(F.col("pos")).alias("pos"), count(~F.col("pos")).alias("neg"), count(F.col("frust")).alias("frust"))
     every = df.sparkSession.range(n + 1).select(F.col("id").cast("int").alias("passed")).join(held, "passed", "left").fillna(0)
@@ -105,8 +107,8 @@ def select_threshold(sweep: DataFrame, min_precision: float = 0.5) -> DataFrame:
 
 
 def evaluate_threshold(df: DataFrame, t: float, score: str = "p_handover", truth: str = "truth") -> DataFrame:
-    """The binary metrics of one threshold."""
-    pos, says = F.col(truth).isin(K.ANGER, K.FRUSTRATION), F.coalesce(F.col(score) > t, F.lit(False))
+    """The binary metrics of one threshold; a score that is null or NaN does not exceed it."""
+    pos, says = F.col(truth).isin(K.ANGER, K.FRUSTRATION), F.coalesce((F.col(score) > t) & ~F.isnan(score), F.lit(False))
     frust = F.col(truth) == K.FRUSTRATION
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
     counts = df.where(F.col(truth).isNotNull()).agg(

@@ -33,8 +33,9 @@ def attach_text_model(aligned: DataFrame, preds: DataFrame, key: str = "audio_id
     missing = [c for c in K.TEXT_COLUMNS if c not in preds.columns]
     if missing:
         raise KeyError(f"missing columns: {missing}")
-    own, theirs = (split_from_id(d.select(key), key).groupBy("split").agg(F.count("*").alias(n)) for d, n in ((aligned, "a"), (preds, "b")))
-    differing = own.join(theirs, "split", "full").where("NOT a <=> b").limit(3).collect()
+    own, theirs = (split_from_id(d.select(key), key).select("split", F.lit(n).alias("side")) for d, n in ((aligned, "a"), (preds, "b")))
+    counts = own.unionByName(theirs).groupBy("split").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    differing = counts.where("a <> b").limit(3).collect()
     if differing:
         raise ValueError(f"row counts differ: {[tuple(r) for r in differing]}")
     joined = aligned.join(preds.select(key, *K.TEXT_COLUMNS), key)
@@ -65,8 +66,8 @@ def join_on_text(base: DataFrame, *others: DataFrame, key: str, keys: Sequence[s
         for k in keys:
             first = first.withColumnRenamed(k, f"_{k}{n}")
         on = (out["_h"] == first["_h"])
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"_{k}{n}"))
+        for k in keys:  # rows without a text or a label match those without, as in a merge of tables
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}{n}"))
         out = out.join(first, on).select(out["*"], *[F.col(f"_o{n}.{c}").alias(c) for c in rest])
     return out.drop("_h")
 

@@ -15,15 +15,27 @@ from ..functions.expr import argmax
 from .metrics import evaluate, fill_cells, summary_metrics
 
 
+def filled(vector: Column) -> Column:
+    """A vector of the five classes with 0 for what is missing, elements or all of it."""
+    zeros = F.array(*[F.lit(0.0)] * len(K.CLASSES))
+    return F.transform(F.slice(F.concat(F.coalesce(vector, zeros), zeros), 1, len(K.CLASSES)), lambda p: F.coalesce(F.nanvl(p.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
 def weighted(vectors: Sequence[Column], weights: Sequence[float]) -> Column:
-    """The weighted sum of probability vectors, class by class, models in order."""
+    """The weighted sum of probability vectors, class by class, models in order.
+
+    A missing score, alone or with its whole vector, counts 0; without any vector there is no sum.
+    """
+    given = F.coalesce(*vectors).isNotNull()
+    vectors = [filled(v) for v in vectors]
+
     def plus(weight: float):
         return lambda total, p: total + F.lit(float(weight)) * p
 
     out = F.transform(vectors[0], lambda p: F.lit(float(weights[0])) * p)
     for vector, weight in zip(vectors[1:], weights[1:]):
         out = F.zip_with(out, vector, plus(weight))
-    return out
+    return F.when(given, out)
 
 
 def text_ensemble(df: DataFrame, alpha: float = 0.5, beta: float = 0.3, gamma: float = 0.2) -> DataFrame:
@@ -45,7 +57,8 @@ def grid_counts(df: DataFrame, models: Sequence[str], grid: list[tuple[float, ..
     """grid_id, truth, pred, n: confusion counts of every grid point.
 
     A task counts all grid points over its rows and gives back the counts alone, so what is
-    shuffled does not grow with the rows.
+    shuffled does not grow with the rows. Missing scores count 0; rows without any vector, or whose
+    truth is no class, do not count.
     """
     points = np.array(grid, np.float64)
     size = len(K.CLASSES)
@@ -63,7 +76,8 @@ def grid_counts(df: DataFrame, models: Sequence[str], grid: list[tuple[float, ..
         g, t, p = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(t, pa.int32()), pa.array(p, pa.int32()), pa.array(counts[g, t, p], pa.int64())], names=["grid_id", "truth", "pred", "n"])
 
-    rows = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("int").alias("truth"), *[F.col(f"{m}_probs").cast("array<double>") for m in models])
+    whole = F.col(truth).cast("int").between(0, size - 1) & F.coalesce(*[F.col(f"{m}_probs") for m in models]).isNotNull()
+    rows = df.where(whole).select(F.col(truth).cast("int").alias("truth"), *[filled(F.col(f"{m}_probs")).alias(f"{m}_probs") for m in models])
     made = rows.mapInArrow(run, "grid_id int, truth int, pred int, n bigint")
     return made.groupBy("grid_id", "truth", "pred").agg(F.sum("n").alias("n"))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import broadcast_if_small, class_name, ratio
+from ..functions.quantiles import percentiles
 
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred") -> DataFrame:
@@ -134,18 +136,69 @@ def best_epoch(history: DataFrame, patience: int, by: Sequence[str] = ("run",),
     return ran.groupBy(*by).agg(F.max("_last").alias("best_epoch"), F.max("_stop").alias("stop_epoch"), F.max(score).alias("best_score"))
 
 
+def column_step(plus, minus, same, full):
+    """The next column of the table of edit distances, as bits where it rises and falls by one.
+
+    The bits of a column are its differences from row to row; `same` has the rows whose word equals the
+    column's. Works on whole numbers of any length, and on arrays of 64 bits, many pairs at once.
+    """
+    diagonal = (((same & plus) + plus) ^ plus) | same | minus
+    rise, fall = minus | (full & ~(diagonal | plus)), diagonal & plus
+    rise, fall = (rise << 1) | 1, fall << 1
+    return (fall | (full & ~(diagonal | rise))) & full, rise & diagonal & full
+
+
+def long_distance(ref: np.ndarray, hyp: np.ndarray) -> int:
+    """Edits between two texts of any number of words, given as word ids."""
+    rows: dict[int, int] = {}
+    for i, w in enumerate(ref.tolist()):
+        rows[w] = rows.get(w, 0) | 1 << i
+    full = (1 << len(ref)) - 1
+    plus, minus = full, 0
+    for w in hyp.tolist():
+        plus, minus = column_step(plus, minus, rows.get(w, 0), full)
+    return len(hyp) + plus.bit_count() - minus.bit_count()
+
+
+def short_distances(refs: list[np.ndarray], hyps: list[np.ndarray]) -> np.ndarray:
+    """Edits of many pairs at once, the shorter text of each with 64 words at most."""
+    height, width = np.array([len(r) for r in refs], np.uint64), np.array([len(h) for h in hyps], np.int64)
+    order = np.argsort(-width, kind="stable")
+    table = np.full((len(refs), 64), -1, np.int64)
+    for row, k in enumerate(order):
+        table[row, : len(refs[k])] = refs[k]
+    size = height[order]
+    full = np.where(size == 0, np.uint64(0), ~np.uint64(0) >> (np.uint64(64) - np.maximum(size, np.uint64(1))))
+    plus, minus = full.copy(), np.zeros_like(full)
+    # Longest first, so that the pairs that still have words are the leading ones.
+    going = np.searchsorted(-width[order], -np.arange(1, int(width.max(initial=0)) + 1), side="right")
+    for j, n in enumerate(going.tolist()):
+        word = np.array([hyps[k][j] for k in order[:n]])
+        same = np.packbits(table[:n] == word[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        plus[:n], minus[:n] = column_step(plus[:n], minus[:n], same & full[:n], full[:n])
+    out = np.empty(len(refs), np.int64)
+    out[order] = width[order] + np.bitwise_count(plus).astype(np.int64) - np.bitwise_count(minus).astype(np.int64)
+    return out
+
+
 def edit_distances(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    """Edits and reference words of each pair of texts, by words."""
-    rows = []
-    for ref, hyp in zip(refs.fillna(""), hyps.fillna("")):
-        a, b = ref.split(), hyp.split()
-        line = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            corner, line[0] = line[0], i
-            for j, y in enumerate(b, 1):
-                corner, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, corner + (x != y))
-        rows.append((line[-1], len(a)))
-    return pd.DataFrame(rows, columns=["edits", "words"])
+    """Edits and reference words of each pair of texts, by words; null is an empty text.
+
+    Columns of the table of distances are bits (64 rows of a pair in one step), so no pair of words is
+    looked at by itself.
+    """
+    sides = [[x.split() for x in side.fillna("")] for side in (refs, hyps)]
+    lengths = [[len(x) for x in side] for side in sides]
+    ids = pd.factorize(np.array([w for side in sides for x in side for w in x], object))[0] if any(map(any, lengths)) else np.zeros(0, np.int64)
+    parts = np.split(ids, np.cumsum(lengths[0] + lengths[1])[:-1]) if len(refs) else []
+    pairs = [sorted(p, key=len) for p in zip(parts[: len(refs)], parts[len(refs) :])]  # the distance is the same both ways
+    edits = np.zeros(len(pairs), np.int64)
+    short = [k for k, p in enumerate(pairs) if len(p[0]) <= 64]
+    if short:
+        edits[short] = short_distances([pairs[k][0] for k in short], [pairs[k][1] for k in short])
+    for k in set(range(len(pairs))) - set(short):
+        edits[k] = long_distance(*pairs[k])
+    return pd.DataFrame({"edits": edits, "words": np.array(lengths[0], np.int64)})
 
 
 def word_error_rate(df: DataFrame, ref: str = "ref", hyp: str = "hyp", target: float = 0.15) -> DataFrame:
@@ -156,13 +209,20 @@ def word_error_rate(df: DataFrame, ref: str = "ref", hyp: str = "hyp", target: f
 
 
 def latency_summary(df: DataFrame, target_ms: float = 2000.0, col: str = "latency_ms", by: Sequence[str] = ("stage",)) -> DataFrame:
-    """n, mean, median, p90, max and the share under the target, per stage."""
-    return df.where(F.col(col).isNotNull()).groupBy(*by).agg(
+    """n, mean, median, p90, max and the share under the target, per stage.
+
+    Median and p90 are exact, by distributed selection: no task holds the values of a stage. Null and NaN do not count.
+    """
+    timed = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+    sums = timed.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.avg(col).alias("mean"),
-        F.percentile(col, 0.5).alias("median"),
-        F.percentile(col, 0.9).alias("p90"),
         F.max(col).alias("max"),
         (100 * F.avg((F.col(col) < target_ms).cast("double"))).alias("percent_under"),
         (F.avg(col) < target_ms).alias("passed"),
     )
+    exact = percentiles(timed, col, {"median": 0.5, "p90": 0.9}, by).select(*[F.col(g).alias(f"q_{g}") for g in by], "median", "p90")
+    on = F.lit(True)
+    for g in by:
+        on = on & F.col(g).eqNullSafe(F.col(f"q_{g}"))
+    return sums.join(exact, on).select(*by, "n", "mean", "median", "p90", "max", "percent_under", "passed")

@@ -151,12 +151,12 @@ def attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.attach_text_model(J.align_predictions(*three_tables(spark, sf_dir)), s.select("audio_id", *K.TEXT_COLUMNS))
 
 
-@query(f"{WITH_SCORES} SELECT audio_id, text, true_label, CAST(truth AS INT) AS true_label_id, split, {_NUMBERS} FROM scores WHERE {_ALIGNED}")
+@query(f"{WITH_SCORES} SELECT audio_id, text, true_label, CAST(coalesce(truth, -1) AS INT) AS true_label_id, split, {_NUMBERS} FROM scores WHERE {_ALIGNED}")
 def j2_attach_text_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(attached(spark, sf_dir), *K.FEATURES)
 
 
-@query(f"{WITH_SCORES} SELECT audio_id, {', '.join(f'round(CASE WHEN utterance_id % 3 = 0 THEN 0.0 ELSE {c} END, 6) AS f{i}' if c == 'sb_ang' else f'round({c}, 6) AS f{i}' for i, c in enumerate(J.feature_columns(('audio', 'text'))))} FROM scores")
+@query(f"{WITH_SCORES} SELECT audio_id, {', '.join(f'round(CASE WHEN utterance_id % 3 = 0 THEN 0.0 ELSE {c} END, 6) AS f{i}' if c == 'sb_ang' else f'round(coalesce({c}, 0), 6) AS f{i}' for i, c in enumerate(J.feature_columns(('audio', 'text'))))} FROM scores")
 def j3_feature_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir).withColumn("sb_ang", F.when(F.col("utterance_id") % 3 != 0, F.col("sb_ang")))
     columns = J.feature_columns(("audio", "text"))

@@ -12,7 +12,7 @@ from ..operators import learning as A
 from ..operators import metrics as M
 from ..operators import projection as P
 from ..operators.prediction import predict_utterances
-from .registry import NAME, WITH_FUSED, WITH_PROBS, WITH_SCORES, WEIGHTS, confusion_sql, fused, probs, query, rounded, scores, six, table
+from .registry import NAME, at, WITH_FUSED, WITH_PROBS, WITH_SCORES, WEIGHTS, confusion_sql, fused, probs, query, rounded, scores, six, table
 
 _ARGMAX = "list_position({0}, list_max({0})) - 1"
 
@@ -26,7 +26,7 @@ def spread_sql(col: str) -> str:
     return ", ".join(f"round({col}[{k + 1}], 6) AS p{k}" for k in range(5))
 
 
-_HARD = "CASE WHEN vader_compound < -0.3::DOUBLE THEN 'anger' WHEN vader_compound <= -0.05::DOUBLE THEN 'sadness' WHEN vader_compound <= 0.3::DOUBLE THEN 'neutral' ELSE 'satisfaction' END"
+_HARD = "CASE WHEN vader_compound IS NULL THEN NULL WHEN vader_compound < -0.3::DOUBLE THEN 'anger' WHEN vader_compound <= -0.05::DOUBLE THEN 'sadness' WHEN vader_compound <= 0.3::DOUBLE THEN 'neutral' ELSE 'satisfaction' END"
 
 
 @query(f"{WITH_SCORES} SELECT audio_id, {_HARD} AS predicted_class FROM scores")
@@ -44,7 +44,7 @@ def p3_goemo_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(probs(spark, sf_dir), "goemo_probs", "audio_id")
 
 
-_GOEMO7 = "[goemo_anger, goemo_disgust + goemo_fear, goemo_sadness, goemo_neutral + goemo_surprise, goemo_joy]"
+_GOEMO7 = "[goemo_anger, goemo_disgust + coalesce(goemo_fear, 0), goemo_sadness, goemo_neutral + goemo_surprise, goemo_joy]"
 
 
 @query(f"{WITH_SCORES}, g AS (SELECT audio_id, {_GOEMO7} AS v FROM scores) SELECT audio_id, {NAME.format(_ARGMAX.format('v'))} AS predicted_class FROM g")
@@ -52,7 +52,7 @@ def p4_goemo_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.goemo_class(scores(spark, sf_dir)).select("audio_id", "predicted_class")
 
 
-@query(f"{WITH_PROBS}, g AS (SELECT *, [sb_neu, sb_hap, sb_ang, sb_sad] AS v FROM probs) SELECT audio_id, {spread_sql('audio_probs')}, ['neutral', 'satisfaction', 'anger', 'sadness'][{_ARGMAX.format('v')} + 1] AS predicted_class FROM g")
+@query(f"{WITH_PROBS}, g AS (SELECT *, [sb_neu, sb_hap, sb_ang, coalesce(sb_sad, 0)] AS v FROM probs) SELECT audio_id, {spread_sql('audio_probs')}, ['neutral', 'satisfaction', 'anger', 'sadness'][{_ARGMAX.format('v')} + 1] AS predicted_class FROM g")
 def p5_audio_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(P.audio_class(P.audio_probs(scores(spark, sf_dir))), "audio_probs", "audio_id", "predicted_class")
 
@@ -77,7 +77,7 @@ def p8_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.score_table(rows, length_scorer, "n_chars bigint, n_spaces bigint")
 
 
-_ENSEMBLE = ", ".join(f"0.5::DOUBLE * text_probs[{k}] + 0.3::DOUBLE * goemo_probs[{k}] + 0.2::DOUBLE * lexicon_probs[{k}]" for k in range(1, 6))
+_ENSEMBLE = ", ".join(f"0.5::DOUBLE * {at('text_probs', k)} + 0.3::DOUBLE * {at('goemo_probs', k)} + 0.2::DOUBLE * {at('lexicon_probs', k)}" for k in range(1, 6))
 
 
 @query(f"{WITH_PROBS}, e AS (SELECT audio_id, [{_ENSEMBLE}] AS v FROM probs) SELECT audio_id, CAST({_ARGMAX.format('v')} AS INT) AS pred, {spread_sql('v')} FROM e")
@@ -97,7 +97,7 @@ tried AS (SELECT grid_id, truth, {vector} AS v FROM grid CROSS JOIN probs WHERE
 
 
 _TEXT_GRID = "VALUES " + ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {g!r}::DOUBLE)" for i, (a, b, g) in enumerate(U.text_grid()))
-_TEXT_VECTOR = "[" + ", ".join(f"alpha * text_probs[{k}] + beta * goemo_probs[{k}] + gamma * lexicon_probs[{k}]" for k in range(1, 6)) + "]"
+_TEXT_VECTOR = "[" + ", ".join(f"alpha * {at('text_probs', k)} + beta * {at('goemo_probs', k)} + gamma * {at('lexicon_probs', k)}" for k in range(1, 6)) + "]"
 
 
 @query(_grid_sql(f"SELECT * FROM ({_TEXT_GRID}) t(grid_id, alpha, beta, gamma)", _TEXT_VECTOR, "round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(gamma, 6) AS gamma"))
@@ -113,7 +113,7 @@ def f3_late_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEVELS = "(VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE), (2, 0.5::DOUBLE), (3, 0.7::DOUBLE))"
 _LATE_GRID = f"""SELECT a.i * 64 + b.i * 16 + c.i * 4 + d.i AS grid_id, a.w AS w_text, b.w AS w_goemo, c.w AS w_lexicon, d.w AS w_audio, a.w + b.w + c.w + d.w AS total
   FROM {_LEVELS} a(i, w), {_LEVELS} b(i, w), {_LEVELS} c(i, w), {_LEVELS} d(i, w)"""
-_LATE_VECTOR = "[" + ", ".join(f"w_text / total * text_probs[{k}] + w_goemo / total * goemo_probs[{k}] + w_lexicon / total * lexicon_probs[{k}] + w_audio / total * audio_probs[{k}]" for k in range(1, 6)) + "]"
+_LATE_VECTOR = "[" + ", ".join(" + ".join(f"w_{m} / total * {at(f'{m}_probs', k)}" for m in K.MODELS) for k in range(1, 6)) + "]"
 
 
 @query(_grid_sql(_LATE_GRID, _LATE_VECTOR, "w_text, w_goemo, w_lexicon, w_audio"))
@@ -123,7 +123,7 @@ def f4_tune_late_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VOTES = "[" + ", ".join(_ARGMAX.format(f"{m}_probs") for m in K.MODELS) + "]"
 _WITH_VOTES = f"""{WITH_PROBS}, votes AS (SELECT audio_id, truth, unnest({_VOTES}) AS v, generate_subscripts({_VOTES}, 1) AS place FROM probs),
-tally AS (SELECT audio_id, truth, v, count(*) AS n, min(place) AS first FROM votes GROUP BY ALL),
+tally AS (SELECT audio_id, truth, v, count(*) AS n, min(place) AS first FROM votes WHERE v IS NOT NULL GROUP BY ALL),
 winner AS (SELECT audio_id, any_value(truth) AS truth, CAST(arg_max(v, n * 10 - first) AS INT) AS pred FROM tally GROUP BY audio_id)"""
 
 
@@ -182,7 +182,7 @@ def m4_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.class_weights(scores(spark, sf_dir)), "weight", "sampler_weight")
 
 
-@query(f"{WITH_SCORES} SELECT audio_id, round(count(*) OVER () / (5 * count(*) OVER (PARTITION BY truth)), 6) AS weight FROM scores")
+@query(f"{WITH_SCORES} SELECT audio_id, CASE WHEN truth >= 0 THEN round(count(*) FILTER (truth >= 0) OVER () / (5 * count(*) OVER (PARTITION BY truth)), 6) END AS weight FROM scores")
 def m4_sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.sample_weights(scores(spark, sf_dir)).select("audio_id", "weight"), "weight")
 
@@ -202,10 +202,10 @@ def m6_condition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.condition_report(rows), "weighted_f1", "macro_f1", *[f"recall_{c}" for c in K.CLASSES])
 
 
-@query(f"""{WITH_SCORES}, s AS (SELECT true_label, min(vader_compound) AS lo, max(vader_compound) AS hi, count(*) AS total FROM scores GROUP BY 1), w AS (SELECT true_label, total, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM s),
+@query(f"""{WITH_SCORES}, s AS (SELECT true_label, min(vader_compound) AS lo, max(vader_compound) AS hi, count(*) AS total FROM scores WHERE vader_compound IS NOT NULL GROUP BY 1), w AS (SELECT true_label, total, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi FROM s),
 e AS (SELECT *, unnest(range(40)) AS bin FROM w),
-b AS (SELECT true_label, least(39, CAST(floor((vader_compound - lo) * 40 / (hi - lo)) AS INT)) AS bin, count(*) AS n FROM scores JOIN w USING (true_label) GROUP BY ALL)
-SELECT true_label, CAST(e.bin AS INT) AS bin, round(lo + e.bin * ((hi - lo) / 40), 6) AS lower, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * ((hi - lo) / 40)), 6) AS density FROM e LEFT JOIN b USING (true_label, bin)""")
+b AS (SELECT w.true_label, least(39, CAST(floor((vader_compound - lo) * 40 / (hi - lo)) AS INT)) AS bin, count(*) AS n FROM scores s JOIN w ON s.true_label IS NOT DISTINCT FROM w.true_label WHERE vader_compound IS NOT NULL GROUP BY ALL)
+SELECT e.true_label, CAST(e.bin AS INT) AS bin, round(lo + e.bin * ((hi - lo) / 40), 6) AS lower, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * ((hi - lo) / 40)), 6) AS density FROM e LEFT JOIN b ON e.true_label IS NOT DISTINCT FROM b.true_label AND e.bin = b.bin""")
 def m7_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(M.score_histogram(scores(spark, sf_dir)), "lower", "density")
 

@@ -10,7 +10,7 @@ from ..operators import agreement as V
 from ..operators import errors as E
 from ..operators import handover as H
 from .registry import NAME, WITH_FUSED, confusion_sql, fused, query, rounded, table
-from .streams import stream_triggers
+from .streams import late_triggers, stream_triggers
 
 _REPORT = f"""{WITH_FUSED}, tiers AS (SELECT *, list_max(fused) AS confidence, fused[1] + fused[2] AS p_handover,
   CASE WHEN truth = pred THEN 'correct' WHEN truth = 1 THEN 'A_FN_frustration' WHEN pred = 1 THEN 'B_FP_frustration' WHEN truth IN (0, 1, 2) AND pred IN (0, 1, 2) THEN 'C_confusion_negatives' WHEN truth IN (0, 1, 2) AND pred = 3 THEN 'C_missed_negative_as_neutral' ELSE 'other' END AS tier FROM fused),
@@ -116,6 +116,12 @@ def h8_stream_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_triggers(spark, sf_dir, T, W)
 
 
+@query(f"{_EVENTS} SELECT dialogue_id, CAST(trigger_utt AS BIGINT) AS trigger_utt, trigger_reason FROM replay WHERE trigger_utt >= 0")
+def h8_stream_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in any order over several micro-batches, after a history in a batch table."""
+    return late_triggers(spark, sf_dir, T, W)
+
+
 _SHEET = f"""SELECT doc_id AS audio_id, {NAME.format("doc_id % 5")} AS label_truth, """ + ", ".join(
     f"CASE WHEN (doc_id + {k}) % 11 <> 0 THEN {NAME.format(f'CASE WHEN (doc_id * {k}) % 10 < 3 THEN (doc_id % 5 + 1) % 5 ELSE doc_id % 5 END')} END AS annotator_{n}" for n, k in (("ana", 3), ("bea", 7), ("cai", 9))
 )

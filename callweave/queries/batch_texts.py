@@ -26,12 +26,16 @@ def t3_heuristic_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.heuristic_reason(plain_sentences(spark, sf_dir)).select("id", "reason")
 
 
-_ANSWERS = """SELECT id, CASE id % 5 WHEN 0 THEN '{"score": ' || score || ', "intensity_obs": ' || intensity_obs || ', "natural": false, "reason": "r' || id || '"}'
-  WHEN 1 THEN '```json ' || '{"score": ' || score || '}' || ' ```' WHEN 2 THEN 'Verdict: {"score": ' || score || ', "reason": "x"} done' WHEN 3 THEN 'no verdict' ELSE '{"score": ' END AS response, score, intensity_obs FROM {sentences}"""
+_ANSWERS = """SELECT id, CASE WHEN id % 35 = 5 THEN '{"score": "' || score || '", "intensity_obs": 3.7}' WHEN id % 35 = 15 THEN '{"score": ' || score || ', "natural": "yes", "intensity_obs": null}'
+  WHEN id % 35 = 25 THEN '{"verdict": 1, "natural": 0, "reason": [1, "a"]}' WHEN id % 35 = 30 THEN '{}' ELSE CASE id % 5 WHEN 0 THEN '{"score": ' || score || ', "intensity_obs": ' || intensity_obs || ', "natural": false, "reason": "r' || id || '"}'
+  WHEN 1 THEN '```json ' || '{"score": ' || score || '}' || ' ```' WHEN 2 THEN 'Verdict: {"score": ' || score || ', "reason": "x"} done' WHEN 3 THEN 'no verdict' ELSE '{"score": ' END END AS response, score, intensity_obs FROM {sentences}"""
 
 
-@query(f"""{WITH_SENTENCES} SELECT id, id % 5 < 3 AS parsed, CASE WHEN id % 5 < 3 THEN score::DOUBLE END AS score, CASE WHEN id % 5 = 0 THEN intensity_obs::DOUBLE WHEN id % 5 < 3 THEN 0::DOUBLE END AS intensity_obs,
-  CASE WHEN id % 5 = 0 THEN 'false' WHEN id % 5 < 3 THEN 'true' END AS "natural", CASE id % 5 WHEN 0 THEN 'r' || id WHEN 1 THEN '' WHEN 2 THEN 'x' END AS reason FROM sentences""")
+#: Answers of other types than usual: text of a number, a text for natural, no field that is known, an empty object.
+@query(f"""{WITH_SENTENCES} SELECT id, id % 5 < 3 AND id % 35 <> 30 AS parsed, CASE WHEN id % 35 = 25 THEN 0::DOUBLE WHEN id % 35 <> 30 AND id % 5 < 3 THEN score::DOUBLE END AS score,
+  CASE id % 35 WHEN 5 THEN 3::DOUBLE WHEN 15 THEN 0::DOUBLE WHEN 25 THEN 0::DOUBLE WHEN 30 THEN NULL ELSE CASE WHEN id % 5 = 0 THEN intensity_obs::DOUBLE WHEN id % 5 < 3 THEN 0::DOUBLE END END AS intensity_obs,
+  CASE id % 35 WHEN 5 THEN 'true' WHEN 15 THEN 'true' WHEN 25 THEN 'false' WHEN 30 THEN NULL ELSE CASE WHEN id % 5 = 0 THEN 'false' WHEN id % 5 < 3 THEN 'true' END END AS "natural",
+  CASE id % 35 WHEN 5 THEN '' WHEN 15 THEN '' WHEN 25 THEN '[1,"a"]' WHEN 30 THEN NULL ELSE CASE id % 5 WHEN 0 THEN 'r' || id WHEN 1 THEN '' WHEN 2 THEN 'x' END END AS reason FROM sentences""")
 def t4_parse_judge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences(spark, sf_dir)
     answer = F.expr(_ANSWERS.split("SELECT id, ")[1].split(" AS response")[0])

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.expr import checkpoint_folder
 from ..operators import errors as E
+from ..operators import features as J
 from ..sources import io
-from .batch_labels import attached
+from .batch_labels import _ALIGNED, attached, three_tables
 from .batch_reports import report
 from .registry import ORACLES, WITH_SCORES, query, rounded, scores, table
 
@@ -34,7 +35,7 @@ def io2_read_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def io3_read_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)
     scores(spark, sf_dir).select("audio_id", "text", "true_label", "vader_compound").write.option("header", True).option("escape", '"').csv(folder)
-    return io.read_predictions(spark, folder, "audio_id string, text string, true_label string, vader_compound double")
+    return io.read_predictions(spark, folder, "audio_id string, text string, true_label string, vader_compound double", multi_line=True)
 
 
 @query(f"{WITH_SCORES} SELECT split, audio_id, {', '.join(f'round({c}, 6) AS {c}' for c in K.FEATURES[:5])} FROM scores WHERE dialogue_id % 17 <> 0 AND utterance_id % 11 <> 5")
@@ -44,6 +45,36 @@ def io4_write_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(folder).select("split", "audio_id", *K.FEATURES[:5]), *K.FEATURES[:5])
 
 
+def bucketed_features(spark: SparkSession, sf_dir: str, buckets: int = 8) -> DataFrame:
+    """The feature rows from four bucketed tables."""
+    folder = new_folder(spark)
+    given = [*three_tables(spark, sf_dir), scores(spark, sf_dir).where(_ALIGNED).select("audio_id", *K.TEXT_COLUMNS)]
+    held = [io.write_bucketed(d, f"{n}_{folder[-32:]}", "audio_id", buckets, f"{folder}/{n}") for d, n in zip(given, K.MODELS)]
+    return J.attach_text_model(J.align_predictions(*held[:3]), held[3])
+
+
+@query(f"{WITH_SCORES} SELECT split, audio_id, CAST(coalesce(truth, -1) AS INT) AS true_label_id, {', '.join(f'round({c}, 6) AS {c}' for c in K.FEATURES)} FROM scores WHERE {_ALIGNED}")
+def j2_bucketed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score tables written in buckets and joined without a shuffle."""
+    made = bucketed_features(spark, sf_dir)
+    return rounded(made.select("split", "audio_id", "true_label_id", *K.FEATURES), *K.FEATURES)
+
+
+@query("SELECT conv_id, turn, length(text) AS n FROM conversations")
+def io5_resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns worked off as a stream, of which one micro-batch is repeated, then what is still pending."""
+    folder = new_folder(spark)
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    turns = io.read_utterances(spark, f"{sf_dir}/conversations.parquet*", schema=schema, stream=True)
+    work = lambda d: d.where("conv_id % 4 <> 0").select("conv_id", "turn", F.length("text").alias("n"))
+    for _ in range(2):  # the second time starts without the first one's acknowledgements
+        io.append_stream(turns, f"{folder}/out", f"{folder}/{uuid.uuid4().hex}", work).awaitTermination()
+    done = io.read_done(spark, f"{folder}/out", "conv_id bigint, turn bigint, n int")
+    left = io.pending(table(spark, sf_dir, "conversations"), done, "conv_id").select("conv_id", "turn", F.length("text").alias("n"))
+    io.append_done(left, f"{folder}/out", "rest")
+    return io.read_done(spark, f"{folder}/out", "conv_id bigint, turn bigint, n int")
+
+
 @query(f"SELECT threshold FROM ({ORACLES['e5_select_threshold']}) t")
 def io7_report_and_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark)

@@ -46,20 +46,34 @@ _TEXT = _shares(0, ["prob_anger", "prob_frust", "prob_sadne", "prob_neutr", "pro
 _GOEMO = _shares(1, [f"goemo_{e}" for e in ("anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise")], [0, 1, 1, 4, 3, 2, 3])
 _AUDIO = _shares(3, ["sb_ang", "sb_hap", "sb_sad", "sb_neu"], [0, 4, 2, 3])
 
-#: One row per turn of conversations: keys, truth, split, and the scores of four models.
+def _gap(kind: int, value: str) -> str:
+    return f"CASE WHEN gap = {kind} THEN NULL ELSE {value} END"
+
+
+#: A score and its column name, with the gaps of its kind.
+_LACKS = {**dict.fromkeys(["prob_anger", "prob_sadne", "prob_neutr", "prob_satis"], "gap = 0"), "prob_frust": "gap IN (0, 1)", "goemo_fear": "gap = 1", "sb_sad": "gap = 1"}
+
+
+def _with_gaps(shares: str) -> str:
+    parts = [p.rsplit(" AS ", 1) for p in shares.split(", ")]
+    return ", ".join(f"CASE WHEN {_LACKS[n]} THEN NULL ELSE {x} END AS {n}" if n in _LACKS else f"{x} AS {n}" for x, n in parts)
+
+
+#: One row per turn of conversations: keys, truth, split, and the scores of four models. One row in 13 has a
+#: gap: no vector of the text model, single scores, no compound score, or a truth that is missing or none of the classes.
 SCORES = f"""
 SELECT id AS dialogue_id, pos AS utterance_id, text, truth, {NAME.format("truth")} AS true_label,
        CASE WHEN (id * 7 + pos) % 10 < 8 THEN 'train' WHEN (id * 7 + pos) % 10 = 8 THEN 'val' ELSE 'test' END AS split,
        CASE WHEN (id * 7 + pos) % 10 < 8 THEN 'train' WHEN (id * 7 + pos) % 10 = 8 THEN 'val' ELSE 'test' END || '_' || CAST(id * 1000 + pos AS STRING) AS audio_id,
        CASE WHEN pos % 2 = 0 THEN 'Data/Dia' ELSE 'data/dia' END || CAST(id AS STRING) || '_utt' || CAST(pos AS STRING) || '.flac' AS path,
        CASE (id * 7 + pos * 3 + len) % 7 WHEN 0 THEN ' Anger' WHEN 1 THEN 'disgust ' WHEN 2 THEN 'FEAR' WHEN 3 THEN 'joy' WHEN 4 THEN 'neutral' WHEN 5 THEN 'sadness' ELSE 'surprise' END AS emotion,
-       CAST((id * 1009 + pos * 917 + len * 7) % 2001 - 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS vader_compound,
+       {_gap(2, "CAST((id * 1009 + pos * 917 + len * 7) % 2001 - 1000 AS DOUBLE) / CAST(1000 AS DOUBLE)")} AS vader_compound,
        CAST((id * 3 + pos * 5 + len) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS vader_pos,
        CAST((id * 5 + pos * 7 + len) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS vader_neg,
        CAST((id * 7 + pos * 11 + len) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS vader_neu,
-       {_TEXT[1]}, {_GOEMO[1]}, {_AUDIO[1]}
-FROM (SELECT *, CASE WHEN (id + pos) % 4 = 0 THEN (c + 1) % 5 ELSE c END AS truth, {_TEXT[0]}, {_GOEMO[0]}, {_AUDIO[0]}
-      FROM (SELECT *, CASE WHEN h < 3 THEN h WHEN h < 8 THEN 3 ELSE 4 END AS c
+       {_with_gaps(_TEXT[1])}, {_with_gaps(_GOEMO[1])}, {_with_gaps(_AUDIO[1])}
+FROM (SELECT *, CASE WHEN gap = 3 THEN CASE WHEN pos % 2 = 0 THEN -1 END WHEN (id + pos) % 4 = 0 THEN (c + 1) % 5 ELSE c END AS truth, {_TEXT[0]}, {_GOEMO[0]}, {_AUDIO[0]}
+      FROM (SELECT *, CASE WHEN h < 3 THEN h WHEN h < 8 THEN 3 ELSE 4 END AS c, CASE WHEN (id * 3 + pos) % 13 = 0 THEN (id + pos) % 4 ELSE -1 END AS gap
             FROM (SELECT id, pos, len, text, (id * 31 + pos * 17 + len * 13) % 11 AS h
                   FROM (SELECT conv_id AS id, turn AS pos, length(coalesce(text, '')) AS len, text FROM {{conversations}}) t0) t1) t2) t3
 """
@@ -73,17 +87,29 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 WEIGHTS = {"text": 0.5, "goemo": 0.5, "lexicon": 0.3, "audio": 0.5}
 _SCALED = [w / sum(WEIGHTS.values()) for w in WEIGHTS.values()]
 
-_LEXICON_SQL = """CASE WHEN vader_compound < -0.3::DOUBLE THEN [0.5, 0.3, 0.15, 0.05, 0.0]::DOUBLE[] WHEN vader_compound < -0.05::DOUBLE THEN [0.15, 0.25, 0.4, 0.2, 0.0]::DOUBLE[]
+_LEXICON_SQL = """CASE WHEN vader_compound IS NULL THEN NULL WHEN vader_compound < -0.3::DOUBLE THEN [0.5, 0.3, 0.15, 0.05, 0.0]::DOUBLE[] WHEN vader_compound < -0.05::DOUBLE THEN [0.15, 0.25, 0.4, 0.2, 0.0]::DOUBLE[]
   WHEN vader_compound <= 0.1::DOUBLE THEN [0.0, 0.1, 0.15, 0.6, 0.15]::DOUBLE[] WHEN vader_compound <= 0.3::DOUBLE THEN [0.1, 0.0, 0.1, 0.35, 0.45]::DOUBLE[] ELSE [0.05, 0.0, 0.1, 0.25, 0.6]::DOUBLE[] END"""
-_GOEMO_TOTAL = "(goemo_anger + (goemo_disgust + goemo_fear) + goemo_sadness + goemo_neutral + goemo_joy)"
-_FUSED = ", ".join(" + ".join(f"{w!r}::DOUBLE * {v}[{k}]" for w, v in zip(_SCALED, ("text_probs", "goemo_probs", "lexicon_probs", "audio_probs"))) for k in range(1, 6))
+_GOEMO_TOTAL = "(goemo_anger + (goemo_disgust + coalesce(goemo_fear, 0)) + goemo_sadness + goemo_neutral + goemo_joy)"
+
+
+def vector_sql(names: list[str]) -> str:
+    """A list of scores with 0 for missing ones, null without any."""
+    return f"CASE WHEN coalesce({', '.join(n for n in names if n)}) IS NOT NULL THEN [{', '.join(f'coalesce({n}, 0.0::DOUBLE)' if n else '0.0::DOUBLE' for n in names)}] END"
+
+
+def at(vector: str, k: int) -> str:
+    """An element, from 1, or 0 where it is missing."""
+    return f"coalesce({vector}[{k}], 0.0::DOUBLE)"
+
+
+_FUSED = ", ".join(" + ".join(f"{w!r}::DOUBLE * {at(v, k)}" for w, v in zip(_SCALED, ("text_probs", "goemo_probs", "lexicon_probs", "audio_probs"))) for k in range(1, 6))
 
 #: DuckDB: scores; probs with the four vectors; fused with the late fusion of them.
 WITH_SCORES = f"WITH scores AS ({SCORES.format(conversations='conversations')})"
 WITH_PROBS = f"""{WITH_SCORES}, probs AS (
-  SELECT *, [prob_anger, prob_frust, prob_sadne, prob_neutr, prob_satis] AS text_probs,
-         [goemo_anger / {_GOEMO_TOTAL}, (goemo_disgust + goemo_fear) / {_GOEMO_TOTAL}, goemo_sadness / {_GOEMO_TOTAL}, goemo_neutral / {_GOEMO_TOTAL}, goemo_joy / {_GOEMO_TOTAL}] AS goemo_probs,
-         {_LEXICON_SQL} AS lexicon_probs, [sb_ang, 0.0::DOUBLE, sb_sad, sb_neu, sb_hap] AS audio_probs
+  SELECT *, {vector_sql(K.TEXT_COLUMNS)} AS text_probs,
+         [goemo_anger / {_GOEMO_TOTAL}, (goemo_disgust + coalesce(goemo_fear, 0)) / {_GOEMO_TOTAL}, goemo_sadness / {_GOEMO_TOTAL}, goemo_neutral / {_GOEMO_TOTAL}, goemo_joy / {_GOEMO_TOTAL}] AS goemo_probs,
+         {_LEXICON_SQL} AS lexicon_probs, {vector_sql(["sb_ang", None, "sb_sad", "sb_neu", "sb_hap"])} AS audio_probs
   FROM scores)"""
 WITH_FUSED = f"""{WITH_PROBS}, fused0 AS (SELECT *, [{_FUSED}] AS fused FROM probs),
 fused AS (SELECT *, list_position(fused, list_max(fused)) - 1 AS pred FROM fused0)"""
