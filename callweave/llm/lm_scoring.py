@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import broadcast_if_small
 from .common import checkpointed, small_batches, text_bytes
 
 SMOOTHING, START = 4.0, b"\n\n\n"
@@ -36,6 +37,8 @@ SMOOTHING, START = 4.0, b"\n\n\n"
 AT_ONCE = 1 << 19
 #: Bytes of the texts of a block, about, and what a row counts for besides its text.
 BLOCK_BYTES, ROW_BYTES = 8 << 20, 32
+#: Bytes of equal texts together from which they are made one before they go to their block.
+HOT_BYTES = BLOCK_BYTES // 8
 LOSSES = ("n_tokens", "loss_target", "loss_background", "loss_difference")
 #: What a key of the table counts: the leading bits of the key, before the bytes. TOTAL, FIRST,
 #: SECOND and THIRD are contexts of 0 to 3 bytes, the others a byte after such a context.
@@ -169,37 +172,44 @@ def score_by_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text")).withColumn("h", F.md5("text"))
     # Ids and hashes are written, so that the joins below are ones in which Spark can split a hot id or text.
-    keyed = checkpointed(rows.select("id", "h"))
+    keyed = checkpointed(rows.select("id", "h", F.octet_length("text").alias("n")))
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("g")).distinct()
     marked = keyed.join(good, F.col("id") == F.col("g"), "left")
-    times = marked.groupBy("h").agg(F.count("g").alias("n_target"), F.count("*").alias("n_all"))
-    # Equal texts are one, of which each task sends one copy.
-    once = checkpointed(rows.groupBy("h").agg(F.first("text").alias("text")).join(times, "h"))
-    size = once.agg(F.sum(F.octet_length("text") + F.lit(ROW_BYTES)).cast("bigint").alias("n")).first()["n"] or 0
-    texts = once.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(size // BLOCK_BYTES + 1)))
-
-    def count(key, texts):
+    times = checkpointed(marked.groupBy("h").agg(F.count("g").alias("n_target"), F.count("*").alias("n_all"), F.max("n").alias("n")))
+    size = times.agg(F.sum(F.col("n") + F.lit(ROW_BYTES)).cast("bigint").alias("n")).first()["n"] or 0
+    block = F.pmod(F.xxhash64("h"), F.lit(size // BLOCK_BYTES + 1)).alias("block")
+    # A text whose copies would fill a good part of a block goes there once: each task sends one copy, and one of
+    # these stays. There are a few such texts for each block at most. Other copies meet in their block.
+    large = (F.col("n_all") > 1) & (F.col("n_all") * (F.col("n") + F.lit(ROW_BYTES)) > HOT_BYTES)
+    hot = broadcast_if_small(times.where(large).select(F.col("h").alias("hot")))
+    few = rows.join(hot, F.col("h") == F.col("hot"), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    texts = rows.join(hot, F.col("h") == F.col("hot"), "left_anti").select("h", "text").unionByName(few).select(block, "h", "text")
+    times = times.select(block.alias("of"), F.col("h").alias("key"), "n_target", "n_all")
+
+    def count(key, times: pa.Table, texts: pa.Table) -> pa.Table:
+        held = dict(zip(texts["h"].to_pylist(), texts["text"].to_pylist()))
         alike: dict[tuple[int, int], list[bytes]] = {}
-        for text, target, every in zip(texts["text"].to_pylist(), texts["n_target"].to_pylist(), texts["n_all"].to_pylist()):
-            if text:
-                alike.setdefault((target, every), []).append(text)
+        for h, target, every in zip(times["key"].to_pylist(), times["n_target"].to_pylist(), times["n_all"].to_pylist()):
+            if held[h]:
+                alike.setdefault((target, every), []).append(held[h])
         keys, counts = count_keys(*count_weighted([(held, *n) for n, held in alike.items()]))
         return pa.table({"block": pa.array(np.full(len(keys), key[0].as_py())), "gram": pa.array(keys), "n_target": pa.array(counts[0]), "n_all": pa.array(counts[1])})
 
     def score(known: pa.Table, texts: pa.Table) -> pa.Table:
-        held = texts["text"].to_pylist()
+        distinct = dict(zip(texts["h"].to_pylist(), texts["text"].to_pylist()))
+        held = list(distinct.values())
         order = np.argsort(known["gram"].to_numpy())
         keys = known["gram"].to_numpy()[order]
         sums = np.stack([known[c].to_numpy()[order] for c in ("n_target", "n_all")])
         quads = (keys[keys >= QUAD] & 0xFFFFFFFF).astype(np.uint32)
         n = np.array([len(t) for t in held], np.int64)
         mean = losses(held, quads, quad_bits(quads, keys, sums)) / np.maximum(n, 1)
-        columns = [texts["h"], pa.array(n), *map(pa.array, (mean[0], mean[1], mean[0] - mean[1]))]
+        columns = [pa.array(list(distinct), pa.string()), pa.array(n), *map(pa.array, (mean[0], mean[1], mean[0] - mean[1]))]
         return pa.table(columns, names=["h", *LOSSES])
 
-    counted = texts.groupBy("block").applyInArrow(count, "block bigint, gram bigint, n_target bigint, n_all bigint")
+    counted = times.groupBy("of").cogroup(texts.groupBy("block")).applyInArrow(count, "block bigint, gram bigint, n_target bigint, n_all bigint")
     everywhere = Window.partitionBy("gram")
     known = counted.select("block", "gram", *[F.sum(c).over(everywhere).alias(c) for c in ("n_target", "n_all")])
-    scored = known.groupBy("block").cogroup(texts.select(F.col("block").alias("of"), "h", "text").groupBy("of")).applyInArrow(score, "h string, n_tokens bigint, loss_target double, loss_background double, loss_difference double")
+    scored = known.groupBy("block").cogroup(texts.select(F.col("block").alias("at"), "h", "text").groupBy("at")).applyInArrow(score, "h string, n_tokens bigint, loss_target double, loss_background double, loss_difference double")
     scored = checkpointed(scored.select(F.col("h").alias("s"), *LOSSES))
     return keyed.join(scored, F.col("h") == F.col("s")).select(F.col("id").alias(id_col), *LOSSES)
