@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.expr import argmax, checkpointed, ranked, seeded, seeded_int
+from .boosting import Boosted, Perceptron, apply_probabilities, fit_boosted, fit_perceptron
 from .features import feature_columns, feature_vector
 from .metrics import evaluate, sample_weights
+from .neighbours import nearest_in_class
 
 #: Component subsets of the ablation.
 ABLATIONS = {
@@ -42,16 +42,27 @@ def logistic(rows: int) -> LogisticRegression:
     return LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", standardization=False, regParam=1.0 / max(rows, 1), maxIter=200)
 
 
+CANDIDATES = ("logistic", "boosted", "perceptron", "trees")
+
+
 def candidates(rows: int, width: int, seed: int = 42) -> dict:
+    """For each name a function from prepared rows to a fitted model.
+
+    Regression, boosting and forest are balanced over classes; the perceptron takes rows as they come.
+    """
+    arrays = lambda d, weight: d.select(vector_to_array("vector").alias("features"), F.col("label").cast("int").alias("label"), weight.alias("weight"))
     return {
-        "logistic": logistic(rows),
-        "perceptron": MultilayerPerceptronClassifier(featuresCol="vector", labelCol="label", layers=[width, 64, 32, len(K.CLASSES)], maxIter=100, seed=seed),
-        "trees": RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=60, maxDepth=8, seed=seed),
+        "logistic": logistic(rows).fit,
+        "boosted": lambda d: fit_boosted(arrays(d, F.col("weight")), width),
+        "perceptron": lambda d: fit_perceptron(arrays(d, F.lit(1.0)), width, seed=seed)[0],
+        "trees": RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=60, maxDepth=8, seed=seed).fit,
     }
 
 
 def predict(model, df: DataFrame) -> DataFrame:
     """Adds probs and pred; classes that a model did not see have probability 0."""
+    if isinstance(model, (Boosted, Perceptron)):
+        return apply_probabilities(df.withColumn("features", vector_to_array("vector")), model).drop("features")
     probs = vector_to_array("probability")
     padded = F.slice(F.concat(probs, F.array_repeat(F.lit(0.0), len(K.CLASSES))), 1, len(K.CLASSES))
     return model.transform(df).withColumn("probs", padded).withColumn("pred", argmax(F.col("probs")))
@@ -63,7 +74,7 @@ def fit_candidates(train: DataFrame, val: DataFrame, test: DataFrame, columns: S
     made = candidates(ready["train"].count(), len(columns))
     fitted, parts = {}, []
     for name in names:
-        fitted[name] = made[name].fit(ready["train"])
+        fitted[name] = made[name](ready["train"])
         for split in ("val", "test"):
             scored = predict(fitted[name], ready[split])
             parts.append(scored.select(F.lit(name).alias("model"), F.lit(split).alias("split"), F.col(truth).alias("truth"), "pred"))
@@ -77,14 +88,14 @@ def place_of(names: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in names]), F.col("model"))
 
 
-def train_meta(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = ("logistic", "perceptron", "trees")):
+def train_meta(train: DataFrame, val: DataFrame, test: DataFrame, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = CANDIDATES):
     """(name, model, metrics): every candidate's metrics on val and test, and the best by val weighted F1."""
     fitted, metrics = fit_candidates(train, val, test, columns, truth, names)
     best = metrics.where(F.col("split") == "val").orderBy(F.desc("weighted_f1"), place_of(names)).first()["model"]
     return best, fitted[best], metrics
 
 
-def train_balanced(train: DataFrame, val: DataFrame, test: DataFrame, key: str, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = ("logistic", "trees"), floor: float = 0.55, k: int = 5, seed: int = 42):
+def train_balanced(train: DataFrame, val: DataFrame, test: DataFrame, key: str, columns: Sequence[str] = K.FEATURES, truth: str = "truth", names: Sequence[str] = CANDIDATES[:3], floor: float = 0.55, k: int = 5, seed: int = 42):
     """(name, calibrated, metrics): training that favours frustration, as one operation.
 
     SMOTE raises every class of train; the candidates are fitted on it; the best by frustration recall
@@ -107,9 +118,8 @@ def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
     """key, label, features (array) of all rows, and of new ones that raise every class to the largest.
 
     Each new row lies on the way from a row to one of its k nearest in the whole class, both drawn by
-    seeded hashes. Rows of a class are dealt to blocks; those that need new rows are compared with
-    every block of their class, a pair of blocks to a task, which gives back k rows for each, and of
-    these the k nearest stay. Keys are unique; a class of one row is its own neighbour.
+    seeded hashes. The nearest are exact, in cells of about `block` rows, of which those that cannot hold a
+    neighbour are skipped. Keys are unique; a class of one row is its own neighbour.
     """
     rows = feature_vector(df, columns, "features").select(F.col(key).cast("string").alias("key"), F.col(label).cast("int").alias("label"), "features")
     numbered = ranked(rows, ["label"], [seeded(seed, F.col("key"))], "_at", "_n")
@@ -119,32 +129,8 @@ def smote(df: DataFrame, columns: Sequence[str], label: str, key: str, k: int =
     # Row `at` gives the new rows at, at + n, at + 2n, ... below most - n.
     missing = F.col("most") - F.col("_n")
     share = F.when(F.col("_at") < missing % F.col("_n"), 1).otherwise(0) + F.floor(missing / F.col("_n"))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    held = checkpointed(numbered.select("key", "label", "features", share.cast("int").alias("share"), (missing > 0).alias("short"), blocks.alias("blocks"), (F.col("_at") % blocks).cast("int").alias("block")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asking = held.where("share > 0").select("label", F.col("block").alias("of"), every.alias("block"), "key", "features")
-    given = held.where("short").select("label", every.alias("of"), "block", "key", "features")
-
-    def nearest(asking: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asking) and len(given):
-            given = given.sort_values("key", kind="stable")
-            x, y = (np.stack(d["features"].to_numpy()).astype(np.float64) for d in (asking, given))
-            own, square = pd.Index(given["key"]).get_indexer(asking["key"]), (y**2).sum(1)
-            for s in range(0, len(x), 512):
-                part, mine = x[s : s + 512], own[s : s + 512]
-                gap = np.maximum((part**2).sum(1)[:, None] + square - 2 * part @ y.T, 0)
-                gap[np.flatnonzero(mine >= 0), mine[mine >= 0]] = np.inf
-                at = np.argsort(gap, axis=1, kind="stable")[:, :k]
-                row, column = np.nonzero(np.isfinite(np.take_along_axis(gap, at, 1)))
-                found = at[row, column]
-                out.append(pd.DataFrame({"label": asking["label"].iloc[0], "key": asking["key"].to_numpy()[s + row], "gap": gap[row, found], "other": given["key"].to_numpy()[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"label": [], "key": [], "gap": [], "other": []})
-
-    by = ["label", "of", "block"]
-    near = asking.groupBy(*by).cogroup(given.groupBy(*by)).applyInPandas(nearest, "label int, key string, gap double, other string")
-    # At most k rows for each block of the class.
-    best = near.groupBy("label", "key").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "other"))), 1, k).alias("near"))
+    held = checkpointed(numbered.select("key", "label", "features", share.cast("int").alias("share"), (missing > 0).alias("short"), F.col("_at").alias("at"), F.col("_n").alias("n")))
+    best, _ = nearest_in_class(held.where("short").select("label", "key", "features", "at", "n", (F.col("share") > 0).alias("asks")), k, block)
     new = held.where("share > 0").join(best, ["label", "key"], "left").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("share") - 1)))
     pick = seeded_int(seed, F.col("key"), F.col("j"), F.lit("near")) % F.greatest(F.lit(1), F.size("near"))
     way = seeded_int(seed, F.col("key"), F.col("j"), F.lit("way")) / F.lit(float(2**32))

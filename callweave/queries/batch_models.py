@@ -281,7 +281,7 @@ def p9_predict_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a7_train_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = splits(spark, sf_dir)
-    best, _, metrics = A.train_balanced(parts["train"], parts["val"], parts["test"], "vec_id", names=("logistic",))
+    best, _, metrics = A.train_balanced(parts["train"], parts["val"], parts["test"], "vec_id")
     return metrics.withColumn("chosen", F.col("model") == best)
 
 

@@ -29,10 +29,10 @@ def parts(spark):
 def test_every_candidate_learns_a_separable_table(parts):
     best, model, table = learning.train_meta(*parts)
     found = {(r["model"], r["split"]): r for r in table.collect()}
-    assert len(found) == 6 and all(r["n"] == 60 for r in found.values())
+    assert len(found) == 8 and all(r["n"] == 60 for r in found.values())
     assert all(found["logistic", s]["weighted_f1"] == pytest.approx(1.0) and found["trees", s]["weighted_f1"] > 0.9 for s in ("val", "test"))
     top = max(r["weighted_f1"] for (m, s), r in found.items() if s == "val")
-    assert best == next(m for m in ("logistic", "perceptron", "trees") if found[m, "val"]["weighted_f1"] == top)
+    assert best == next(m for m in ("logistic", "boosted", "perceptron", "trees") if found[m, "val"]["weighted_f1"] == top)
     again = learning.predict(model, learning.with_vectors(parts[2]))
     assert metrics.evaluate(again).first()["weighted_f1"] == pytest.approx(1.0)
 
@@ -64,7 +64,7 @@ def test_balanced_training_raises_the_rare_class(spark, parts):
     train = parts[0].where("truth <> 1 OR vec_id < 30")
     best, calibrated, table = learning.train_balanced(train, parts[1], parts[2], "vec_id")
     found = {(r["model"], r["split"]): r for r in table.collect()}
-    assert set(found) == {(m, s) for m in ("logistic", "trees") for s in ("val", "test")} | {(best, "calibrated")}
+    assert set(found) == {(m, s) for m in ("logistic", "boosted", "perceptron") for s in ("val", "test")} | {(best, "calibrated")}
     assert all(r["weighted_f1"] > 0.95 and r["frustration_recall"] > 0.9 for r in found.values())
     rows = calibrated.collect()
     assert len(rows) == 60 and all(sum(r["calibrated"]) == pytest.approx(1) for r in rows)
