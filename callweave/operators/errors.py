@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import argmax, class_name, ratio
+from ..functions.expr import argmax, class_name, own_prefix, ratio
 from .handover import mass
 
 NEGATIVE = (K.ANGER, K.FRUSTRATION, K.SADNESS)
@@ -20,23 +20,31 @@ def error_report(df: DataFrame, probs: str = "probs", truth: str = "truth") -> D
     p_handover is the handover score of the live decision, so missing scores count 0. A truth without a
     prediction is an error like any other: frustration is missed, other classes are `other`.
     """
-    t, p = F.col(truth), F.col("pred")
-    tier = (
-        F.when(t == p, CORRECT)
-        .when(t == K.FRUSTRATION, MISSED_FRUSTRATION)
-        .when(p == K.FRUSTRATION, FALSE_FRUSTRATION)
-        .when(t.isin(*NEGATIVE) & p.isin(*NEGATIVE), AMONG_NEGATIVES)
-        .when(t.isin(*NEGATIVE) & (p == K.NEUTRAL), MISSED_NEGATIVE)
-        .otherwise(OTHER)
-    )
-    severity = F.when(F.col("tier").startswith("A_"), 3).when(F.col("tier").startswith("B_"), 2).when(F.col("tier").startswith("C_"), 1).otherwise(0)
+    t = F.col(truth)
+
+    def judged(p: Column) -> Column:
+        """The prediction with the first tier that fits, and its severity."""
+        cases = [
+            (t == p, CORRECT, 0),
+            (t == K.FRUSTRATION, MISSED_FRUSTRATION, 3),
+            (p == K.FRUSTRATION, FALSE_FRUSTRATION, 2),
+            (t.isin(*NEGATIVE) & p.isin(*NEGATIVE), AMONG_NEGATIVES, 1),
+            (t.isin(*NEGATIVE) & (p == K.NEUTRAL), MISSED_NEGATIVE, 1),
+        ]
+        return F.coalesce(*[F.when(case, F.struct(F.lit(tier).alias("tier"), F.lit(severity).alias("severity"))) for case, tier, severity in cases], F.struct(F.lit(OTHER).alias("tier"), F.lit(0).alias("severity")))
+
+    # The prediction is named once: a filter on the severity that Spark moves below would repeat what computes it in every case.
+    own = f"{own_prefix(df.columns)}judged"
+    both = F.get(F.transform(F.array(argmax(F.col(probs))), lambda p: F.struct(p.alias("pred"), judged(p).alias("of"))), 0)
     return (
-        df.withColumn("pred", argmax(F.col(probs)))
+        df.withColumn(own, both)
+        .withColumn("pred", F.col(f"{own}.pred"))
         .withColumn("predicted_class", class_name(F.col("pred")))
         .withColumn("confidence", F.array_max(probs))
         .withColumn("p_handover", mass(probs, K.ANGER, K.FRUSTRATION))
-        .withColumn("tier", tier)
-        .withColumn("severity", severity)
+        .withColumn("tier", F.col(f"{own}.of.tier"))
+        .withColumn("severity", F.col(f"{own}.of.severity"))
+        .drop(own)
     )
 
 
