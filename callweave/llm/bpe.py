@@ -7,7 +7,8 @@
 4. Decoding looks every id up in the table of token bytes, whose size the vocabulary bounds.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded one by one; a
-text of any length is one row and is never cut; an empty table gives an empty table.
+text of any length is one row and is never cut; of merges of equal rank the first in the text comes first; an empty
+table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ language that has a text is learned, by one document at least.
 Defined cases: a text that is null or has no letter is `und` with score 0; texts of any
 length are read to their end; with nothing to learn from every text is `und`; rows
 whose id is null are held out; repeated rows are judged one by one, and of rows that share an id
-and a language one is learned from; an empty table gives an empty table; further columns are ignored.
+and a language one is learned from; of languages of equal probability the first by name is taken; an empty
+table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ rows the merged sketch of everything. Counts do not depend on order or partition
 
 Defined cases: null and empty texts have no words and fail the base rules; null languages
 and sources are groups of their own; an empty table gives an empty table; repeated rows
-are judged one by one and weigh in the sketches one by one.
+are judged one by one and weigh in the sketches one by one; texts of any length are read to their end; a value
+on a fence is kept; further columns are ignored by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations

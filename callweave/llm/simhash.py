@@ -17,7 +17,8 @@ of all pairs, those with a larger maximum difference are discarded, and the surv
 Defined cases: texts without words, null or empty, have fingerprint zero and link like
 others; texts of fewer words than a shingle are one shingle; repeated rows share a class;
 rows of an id that repeats are judged one by one, and a component is named by its
-smallest id; an empty table gives an empty table; further columns are ignored.
+smallest id; a bit that just half the hashes have is not set; texts of any length are read to their
+end; an empty table gives an empty table; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
