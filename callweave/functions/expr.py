@@ -89,6 +89,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def round_binary(x: Column, places: int) -> Column:
+    """x to a few places by the value that the double holds, ties to even, as C and Python round.
+
+    bround rounds the shortest decimal of a double: it takes 8.1225, which lies above that decimal, down.
+    A double of 24 bits and what is left of x, both times 2 * 10^places, are exact, and so is their
+    sum's side of the middle between two results. From 10^12 on x stays as it is.
+    """
+    step = float(10**places)
+    high = x.cast("float").cast("double")
+    below = F.floor(x * step).cast("double")
+    beyond = (high * (2 * step) - (2 * below + 1)) + (x - high) * (2 * step)
+    up = (beyond > 0) | ((beyond == 0) & (F.abs(below) % 2 == 1))
+    return F.when(F.abs(x) < 1e12, (below + up.cast("double")) / step).otherwise(x)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in that folder."""
     checkpoint_folder(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.expr import class_name, literal_map, ranked, seeded_int
+from ..functions.expr import class_name, literal_map, ranked, round_binary, seeded_int
 
 AXES = ("intensity", "cause", "style", "persona", "turn_position")
 
@@ -121,6 +121,44 @@ def speech_instructions(df: DataFrame) -> DataFrame:
     return df.withColumn("instruction", text).withColumn("instruction_hash", short_hash(F.col("instruction")))
 
 
+JUDGE_COLUMNS = ("judge_score", "judge_intensity_obs", "judge_natural")
+
+
+def manifest_rows(records: DataFrame, clips: DataFrame, model: str, key: str = "id") -> DataFrame:
+    """One row of 19 fields for each voiced record: what was asked for, how it was spoken, and where the clip lies.
+
+    records: the key, label, label_id, text, the axes, voice (assign_voices), instruction_hash
+    (speech_instructions) and, if they were judged, judge_score, judge_intensity_obs and judge_natural.
+    clips: the key, duration_sec, sample_rate, audio_path, ts. A record without a clip has failed and
+    gets no row; of several clips of a key the last by (ts, path) counts. Marks are texts, as a
+    manifest in CSV holds them: an absent column or a null mark is empty, a boolean is True or False.
+    """
+
+    def mark(c: str) -> Column:
+        if c not in records.columns:
+            return F.lit("").alias(c)
+        text = F.col(f"`{c}`").cast("string")
+        return F.coalesce(F.initcap(text) if dict(records.dtypes)[c] == "boolean" else text, F.lit("")).alias(c)
+
+    last = clips.groupBy(F.col(key).alias("audio_id")).agg(F.max(F.struct("ts", "audio_path", "duration_sec", "sample_rate")).alias("clip"))
+    asked = records.select(F.col(key).alias("audio_id"), "label", "label_id", "text", *AXES, "voice", "instruction_hash", *[mark(c) for c in JUDGE_COLUMNS])
+    return asked.join(last, "audio_id").select(
+        "audio_id",
+        "label",
+        "label_id",
+        "text",
+        *AXES,
+        "voice",
+        "instruction_hash",
+        round_binary(F.col("clip.duration_sec").cast("double"), 3).alias("duration_sec"),
+        F.col("clip.sample_rate").cast("int").alias("sample_rate"),
+        *JUDGE_COLUMNS,
+        F.lit(model).alias("model"),
+        F.col("clip.ts").alias("ts"),
+        F.replace(F.col("clip.audio_path"), F.lit("\\"), F.lit("/")).alias("audio_path"),
+    )
+
+
 def manifest_summary(df: DataFrame, label: str = "label", duration: str = "duration_sec") -> DataFrame:
     """label, clips, mean_duration of durations to three places; the row `all` is for all."""
     rows = df.select(F.col(label).alias("label"), F.bround(F.col(duration).cast("double"), 3).alias("d"))

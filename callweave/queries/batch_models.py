@@ -11,7 +11,7 @@ from ..operators import fusion as U
 from ..operators import learning as A
 from ..operators import metrics as M
 from ..operators import projection as P
-from ..operators.prediction import predict_utterances
+from ..operators.prediction import predict_utterances, stage_seconds
 from .registry import NAME, at, WITH_FUSED, WITH_PROBS, WITH_SCORES, WEIGHTS, confusion_sql, fused, probs, query, rounded, scores, six, table
 
 _ARGMAX = "list_position({0}, list_max({0})) - 1"
@@ -278,6 +278,35 @@ def p9_predict_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select(*spread_out, *meta, *details), "confidence", "handover_score", *[f"meta_{c}" for c in K.CLASSES], *[f"{m}_satisfaction" for m in K.MODELS])
 
 
+#: Seconds of the stages of a record, in thousandths; transcription is not timed for every seventh turn.
+_SECONDS = {
+    "asr": "CASE WHEN (dialogue_id + utterance_id) % 7 > 0 THEN CAST((dialogue_id * 17 + utterance_id * 29) % 1500 AS DOUBLE) / CAST(1000 AS DOUBLE) END",
+    "text": "CAST((dialogue_id * 7 + utterance_id * 13) % 300 AS DOUBLE) / CAST(1000 AS DOUBLE)",
+    "audio": "CAST((dialogue_id * 11 + utterance_id * 5) % 900 AS DOUBLE) / CAST(1000 AS DOUBLE)",
+}
+
+
+def timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = probs(spark, sf_dir).selectExpr("*", *[f"{x} AS {stage}_s" for stage, x in _SECONDS.items()])
+    return predict_utterances(rows, WEIGHTS, threshold=0.6, keys=["audio_id"], timings={stage: f"{stage}_s" for stage in _SECONDS})
+
+
+_TIMED_SQL = f"""{WITH_FUSED}, timed0 AS (SELECT *, {", ".join(f"{x} AS {stage}_s" for stage, x in _SECONDS.items())} FROM fused), timed AS (SELECT *, coalesce(asr_s, 0::DOUBLE) + text_s + audio_s AS total_s FROM timed0)"""
+
+
+@query(f"""{_TIMED_SQL} SELECT audio_id, {NAME.format('pred')} AS predicted_emotion, round(asr_s, 6) AS asr, round(text_s, 6) AS text, round(audio_s, 6) AS audio, round(total_s, 6) AS total FROM timed""")
+def p10_timed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = timed_records(spark, sf_dir).select("audio_id", "predicted_emotion", "timings.*")
+    return rounded(made, "asr", "text", "audio", "total")
+
+
+@query(f"""{_TIMED_SQL}, stages AS (SELECT unnest(['asr', 'text', 'audio', 'total']) AS stage, unnest([asr_s, text_s, audio_s, total_s]) AS s FROM timed)
+SELECT stage, count(*) AS n, round(avg(s), 6) AS mean, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.9), 6) AS p90, round(max(s), 6) AS max, round(100 * avg(CASE WHEN s < 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS percent_under, avg(s) < 2 AS passed
+FROM stages WHERE s IS NOT NULL GROUP BY stage""")
+def p11_record_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(M.latency_summary(stage_seconds(timed_records(spark, sf_dir)), 2.0, "seconds"), "mean", "median", "p90", "max", "percent_under")
+
+
 @query()
 def a7_train_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = splits(spark, sf_dir)

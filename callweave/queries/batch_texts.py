@@ -195,3 +195,33 @@ SELECT 'all' AS label, count(*) AS clips, round(avg(d), 6) AS mean_duration FROM
 def g9_manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(G.class_of(F.col("event_id")).alias("label"), F.col("value").alias("duration_sec"))
     return rounded(G.manifest_summary(events), "mean_duration")
+
+
+#: A clip for most sentences, two for some; the judge has no mark for every fifth.
+_STYLES = str(list(K.STYLE_HINTS))
+_RECORDS = """SELECT id, label, label_id, text, intensity, ts, 'cause_' || CAST(id % 16 AS STRING) AS cause, {styles} AS style, {personas} AS persona, {turns} AS turn_position,
+  CASE WHEN id % 5 = 0 THEN NULL ELSE score END AS judge_score, CASE WHEN id % 7 > 0 THEN intensity_obs > 2 END AS judge_natural FROM {rows}"""
+_CLIPS = """SELECT id, CAST((id * 37 % 9001) * 10 + id % 5 * 2 + again AS DOUBLE) / CAST(10000 AS DOUBLE) AS duration_sec, 16000 + again AS sample_rate, CAST(ts + again AS DOUBLE) AS ts,
+  'data{slash}audio{slash}' || CAST(id AS STRING) || '_' || CAST(again AS STRING) || '.wav' AS audio_path FROM {rows} CROSS JOIN {attempts} WHERE id % 17 <> 3 AND (again = 0 OR id % 11 = 0)"""
+
+
+def _spark_pick(values: list[str]) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), CAST(id % {len(values)} + 1 AS INT))"
+
+
+def records_and_clips(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = sentences(spark, sf_dir)
+    records = spark.sql(_RECORDS.format(styles=_spark_pick(list(K.STYLE_HINTS)), personas=_spark_pick(list(K.PERSONAS)), turns=_spark_pick(list(K.TURNS)), rows="{rows}"), rows=rows)
+    return records, spark.sql(_CLIPS.format(slash="\\\\", rows="{rows}", attempts="(VALUES (0), (1)) AS attempts(again)"), rows=rows)
+
+
+@query(f"""{WITH_SENTENCES}, records AS ({_RECORDS.format(styles=f"{_STYLES}[id % len({_STYLES}) + 1]", personas=f"{_PERSONAS}[id % len({_PERSONAS}) + 1]", turns=f"{_TURNS}[id % len({_TURNS}) + 1]", rows="sentences")}),
+attempts(again) AS (VALUES (0), (1)), clips AS ({_CLIPS.format(slash=chr(92), rows="sentences", attempts="attempts")}),
+last_clips AS (SELECT * FROM clips QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, audio_path DESC) = 1),
+spoken AS (SELECT *, ['alloy', 'ash', 'ballad', 'coral', 'echo', 'fable', 'onyx', 'nova', 'sage', 'shimmer', 'verse'][(row_number() OVER (PARTITION BY label ORDER BY id) - 1) % 11 + 1] AS voice, {_instruction_sql()} AS instruction FROM records)
+SELECT r.id AS audio_id, label, label_id, text, intensity, cause, style, persona, turn_position, voice, 'sha1:' || substr(sha1(instruction), 1, 16) AS instruction_hash, CAST(printf('%.3f', duration_sec) AS DOUBLE) AS duration_sec, sample_rate,
+  coalesce(CAST(judge_score AS VARCHAR), '') AS judge_score, '' AS judge_intensity_obs, CASE WHEN judge_natural IS NULL THEN '' WHEN judge_natural THEN 'True' ELSE 'False' END AS judge_natural,
+  'tts' AS model, c.ts AS ts, replace(audio_path, chr(92), '/') AS audio_path FROM spoken r JOIN last_clips c USING (id)""")
+def g11_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, clips = records_and_clips(spark, sf_dir)
+    return G.manifest_rows(G.speech_instructions(G.assign_voices(records, ["id"])), clips, "tts")

@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.functions.expr import argmax, ranked
-from callweave.operators import agreement, curation, errors, features, fusion, handover, labels, learning, metrics, projection
+from callweave.functions.expr import argmax, ranked, round_binary
+from callweave.operators import agreement, curation, errors, features, fusion, handover, labels, learning, metrics, prediction, projection
 from callweave.plans import sampling
 from callweave.sources import io
 from callweave.streaming.live import ROCKSDB, stream_handover
@@ -293,3 +293,34 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
     live = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = sorted(tuple(r) for r in handover.first_trigger(df, 0.6, 3).where("trigger_utt >= 0").collect())
     assert live == batch
+
+
+def test_manifest_rows_have_all_fields(spark):
+    axes = ", ".join(f"{a} string" for a in sampling.AXES)
+    rows = [("a", "anger", 0, "t", "5", "c", "s", "p", "u", "alloy", "sha1:0", 4, True), ("b", "anger", 0, None, "5", "c", "s", "p", "u", "ash", "sha1:1", None, None), ("failed", "anger", 0, "t", "5", "c", "s", "p", "u", "ash", "sha1:1", 1, False)]
+    records = spark.createDataFrame(rows, f"id string, label string, label_id int, text string, {axes}, voice string, instruction_hash string, judge_score int, judge_natural boolean")
+    clips = spark.createDataFrame([("a", 0.0625, 16000, "x\\y\\a.wav", 1.0), ("a", 8.1225, 16000, "x\\y\\a2.wav", 2.0), ("b", None, None, None, None), ("other", 1.0, 1, "o", 1.0)], "id string, duration_sec double, sample_rate int, audio_path string, ts double")
+    made = sampling.manifest_rows(records, clips, "m")
+    assert len(made.columns) == 19
+    found = {r["audio_id"]: r for r in made.collect()}
+    assert set(found) == {"a", "b"}
+    one, two = found["a"], found["b"]
+    assert (one["duration_sec"], one["sample_rate"], one["audio_path"], one["ts"], one["model"]) == (round(8.1225, 3), 16000, "x/y/a2.wav", 2.0, "m")
+    assert (one["judge_score"], one["judge_intensity_obs"], one["judge_natural"]) == ("4", "", "True")
+    assert (two["judge_score"], two["judge_natural"], two["duration_sec"], two["audio_path"], two["text"]) == ("", "", None, None, None)
+    assert sampling.manifest_rows(records.limit(0), clips, "m").count() == 0
+
+
+def test_rounding_is_that_of_the_double(spark):
+    values = [k / 16000 for k in range(0, 400000, 8)] + [0.0625, -0.0625, 0.1875, -1.0005, 2.675, 1e11 + 0.0005, 3e15, -0.0004]
+    found = spark.createDataFrame([(v,) for v in values], "x double").select("x", round_binary(F.col("x"), 3).alias("y")).collect()
+    assert all(r["y"] == round(r["x"], 3) for r in found)
+    assert spark.sql("SELECT CAST(NULL AS DOUBLE) AS x, CAST('NaN' AS DOUBLE) AS n").select(round_binary(F.col("x"), 3), round_binary(F.col("n"), 3)).first()[0] is None
+
+
+def test_timings_of_records(spark):
+    df = spark.createDataFrame([("k", "t", [0.5, 0.2, 0.1, 0.1, 0.1], 0.5, None), ("l", "t", None, 1.0, 0.25)], "audio_id string, text string, text_probs array<double>, a double, b double")
+    records = prediction.predict_utterances(df, {"text": 1.0}, keys=["audio_id"], timings={"asr": "a", "text": "b"})
+    found = {r["audio_id"]: r["timings"].asDict() for r in records.collect()}
+    assert found == {"k": {"asr": 0.5, "text": None, "total": 0.5}, "l": {"asr": 1.0, "text": 0.25, "total": 1.25}}
+    assert {tuple(r) for r in prediction.stage_seconds(records, "audio_id").collect()} == {("k", "asr", 0.5), ("k", "total", 0.5), ("l", "asr", 1.0), ("l", "text", 0.25), ("l", "total", 1.25)}
