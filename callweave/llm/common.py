@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import checkpoint_folder, checkpointed
 
-__all__ = ["ARROW", "checkpointed", "crc_rest", "map_column", "remove_folder", "small_batches", "table", "text_bytes", "written"]
+__all__ = ["ARROW", "checkpointed", "crc_rest", "map_column", "remove_folder", "small_batches", "table", "text_bytes", "with_row_key", "written"]
 
 #: Rows and bytes of one Arrow batch. Texts can be long, so a batch is bounded by both.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
@@ -83,6 +83,20 @@ def crc_rest(col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(divisor))
 
 
+def with_row_key(docs: DataFrame, from_files: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names of our own, with a key `row` that a row keeps however often it is read; and the names.
+
+    from_files: docs is a plain reading of Parquet files. Its rows are known by file and place, and are
+    read again where they are needed. Other rows are written once, whole, with a running number.
+    """
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    columns = [docs[f"`{c}`"].alias(o) for c, o in own.items()]
+    if from_files and "_metadata" not in {c.lower() for c in docs.columns}:
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select(*columns, place.alias("row")), own
+    return checkpointed(docs.select(*columns, F.monotonically_increasing_id().alias("row"))), own
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared checkpoint folder, and the folder of the table."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, with_row_key
 
 #: Tokens of a slot; the rows that one chunk may hold, about.
 BLOCK_TOKENS, CHUNK_ROWS = 64, 4096
@@ -182,15 +182,15 @@ def mix_counts(docs: DataFrame, weights: list[float], share: float = 1.5, max_re
     return counts.select(F.col("m_id").alias(id_col), "size", "source_size", "target", "taken")
 
 
-def take_documents(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def take_documents(docs: DataFrame, weights: list[float], share: float = 1.5, max_repeats: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", from_files: bool = False) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their columns.
 
     A document at the edge of the part that is taken is kept whole when at least half of it
-    is. Copies come back to their row by a row key that is stored with it, so rows that share
-    an id or have none count one by one. Rows without words are not taken.
+    is. Copies come back to their row by a row key, so rows that share an id or have none count
+    one by one. Rows without words are not taken. from_files says that docs is a plain reading of Parquet
+    files, whose rows have such a key already and are read again in the end; others are written first.
     """
-    own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
-    rows = checkpointed(docs.select(*[docs[f"`{c}`"].alias(o) for c, o in own.items()], F.monotonically_increasing_id().alias("row")))
+    rows, own = with_row_key(docs, from_files)
     counts = taken_tokens(rows, weights, share, max_repeats, block_tokens, own[id_col], own[text_col], own[source_col], "row")
     copies = counts.where("size > 0").select(F.col("m_row").alias("c_row"), F.expr("(2 * taken + size) div (2 * size)").cast("int").alias("c_copies"))
     joined = rows.join(copies.where("c_copies > 0"), F.col("row") == F.col("c_row"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_column, text_bytes
+from .common import checkpointed, map_column, text_bytes, with_row_key
 from .links import PAIRS_AT_ONCE, SMALL_GROUP, bucket_blocks, component_minima, components, join_labels, map_blocks, small_pairs
 
 SHINGLE, SEED, RADIUS, PIVOTS = 4, 42, 4, 16
@@ -139,18 +139,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(whole, rows["fp"] == whole["node"]).select(F.col("n_id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, from_files: bool = False) -> DataFrame:
     """One row of docs for each component, with its columns: the one of least id, null ids last.
 
-    Rows that share that id are told apart by a row key, which is stored with the row.
+    Rows that share that id are told apart by a row key. from_files says that docs is a plain reading of
+    Parquet files, whose rows have such a key already and are read again in the end; others are written first.
     """
-    own = [f"own_{i}" for i in range(len(docs.columns))]
-    keyed = docs.select(*[docs[f"`{c}`"].alias(o) for c, o in zip(docs.columns, own)], docs[f"`{id_col}`"].alias("n_id"), docs[f"`{text_col}`"].alias("n_text"), F.monotonically_increasing_id().alias("row"))
-    rows = checkpointed(fingerprints(keyed, [*own, "n_id", "row"], "n_text"))
+    rows, own = with_row_key(docs, from_files)
+    keyed = rows.select(F.col(own[id_col]).alias("n_id"), F.col(own[text_col]).alias("n_text"), "row")
+    keys = checkpointed(fingerprints(keyed, ["n_id", "row"], "n_text"))
     first = F.min(F.struct(F.col("n_id").isNull().alias("without"), F.col("n_id"), F.col("row"))).alias("first")
-    classes = checkpointed(rows.groupBy(F.col("fp").alias("node")).agg(first))
+    classes = checkpointed(keys.groupBy(F.col("fp").alias("node")).agg(first))
     found = checkpointed(components(linked_fingerprints(classes.select("node"), radius)))
     # The rows of a fingerprint without links are a component of its own name.
     named = classes.join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
-    return rows.join(kept, rows["row"] == kept["kept_row"], "left_semi").select(*[F.col(o).alias(c) for o, c in zip(own, docs.columns)])
+    return rows.join(kept, rows["row"] == kept["kept_row"], "left_semi").select(*[F.col(o).alias(c) for c, o in own.items()])

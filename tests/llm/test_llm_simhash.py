@@ -99,3 +99,20 @@ def test_stage_decides_by_row(spark):
 
 def test_query_equals_brute_force(spark, sf_dir):
     check(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), queries.op6_simhash_near_dedup(spark, sf_dir))
+
+
+def test_rows_known_by_file_and_place(spark, sf_dir, tmp_path):
+    """Reading rows again gives what writing them first gives, with many files, repeated ids and a column of the key's name."""
+    from callweave.llm.mixing import take_documents
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs.unionByName(docs).selectExpr("*", "'x' AS row", "1 AS file").repartition(5).write.parquet(str(tmp_path / "docs"))
+    again = spark.read.parquet(str(tmp_path / "docs"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    kept = drop_near_duplicates(again, from_files=True)
+    assert kept.columns == again.columns and rows(kept) == rows(drop_near_duplicates(again))
+    mixes = [rows(take_documents(again, [3, 1, 2], from_files=f)) for f in (True, False)]
+    assert mixes[0] and mixes[0] == mixes[1]
+    hidden = again.withColumnRenamed("file", "_metadata")
+    hidden.write.parquet(str(tmp_path / "hidden"))
+    assert drop_near_duplicates(spark.read.parquet(str(tmp_path / "hidden")), from_files=True).count() == kept.count()
