@@ -15,6 +15,11 @@ from callweave.llm.simhash import drop_near_duplicates
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def from_files(docs: DataFrame) -> bool:
+    """Stages read their rows from Parquet files; tests also hand over rows of their own."""
+    return bool(docs.inputFiles())
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return filter_languages(docs)
 
@@ -24,11 +29,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, from_files=from_files(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return take_documents(docs, weights=[3, 1, 2], share=1.5, max_repeats=2)
+    return take_documents(docs, weights=[3, 1, 2], share=1.5, max_repeats=2, from_files=from_files(docs))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
