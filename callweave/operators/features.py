@@ -56,13 +56,18 @@ def feature_vector(df: DataFrame, cols: Sequence[str] = K.FEATURES, name: str =
 def join_on_text(base: DataFrame, *others: DataFrame, key: str, keys: Sequence[str] = ("text", "true_label")) -> DataFrame:
     """base with the columns of tables that share (text, true_label), one row per row of base.
 
-    The other tables keep their first row of each text. The join is on a hash of the keys with
+    The other tables keep their first row of each text that has a score, or the first if none has.
+    Rows without a text or a label match those without. The join is on a hash of the keys with
     a check of the keys themselves, so that long texts are not sorted.
     """
     out = base.withColumn("_h", F.xxhash64(*keys))
     for n, other in enumerate(others):
         rest = [c for c in other.columns if c not in keys and c != key]
-        first = other.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(key)).alias(f"_o{n}")).withColumn("_h", F.xxhash64(*keys))
+        none = F.lit(True)
+        for c in rest:
+            none = none & F.col(c).isNull()
+        order = F.struct(none.alias("none"), F.col(key).alias("key"))
+        first = other.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias(f"_o{n}")).withColumn("_h", F.xxhash64(*keys))
         for k in keys:
             first = first.withColumnRenamed(k, f"_{k}{n}")
         on = (out["_h"] == first["_h"])

@@ -1,10 +1,13 @@
 """Scores with gaps: missing vectors, elements, scores and truths; answers of unusual types; columns of unusual names."""
 
 import numpy as np
+import pytest
+from compare import assert_same, connect
 from pyspark.sql import functions as F
 
 from callweave.functions.expr import own_prefix, ranked
 from callweave.operators import curation, errors, features, fusion, handover, projection
+from callweave.queries import ORACLES, QUERIES
 
 VECTORS = "id int, truth int, text_probs array<double>, goemo_probs array<double>, lexicon_probs array<double>, audio_probs array<double>"
 
@@ -107,3 +110,21 @@ def test_texts_that_are_missing_match_each_other(spark):
     assert sorted((r["id"], r["x"]) for r in features.join_on_text(base, other, key="id").collect()) == [(1, 0.1), (2, 0.2), (3, 0.3)]
 
 
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Calls whose turns repeat few texts, so that rows with every gap share text and label with others."""
+    path = str(tmp_path_factory.mktemp("repeated"))
+    rows = [(c, t, None if t == 4 else "user", None if (c + t) % 29 == 0 else f"text {c % 3}") for c in range(60) for t in range(5)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["j4_join_on_text"])
+def test_repeated_texts_and_missing_labels_equal_sql(spark, repeated, name):
+    assert_same(QUERIES[name](spark, repeated), connect(repeated), ORACLES[name])
+
+
+def test_the_first_score_of_a_text_is_taken(spark):
+    base = spark.createDataFrame([(1, "t", "a"), (2, "u", "a")], "id int, text string, true_label string")
+    other = spark.createDataFrame([(1, "t", "a", None), (2, "t", "a", 0.2), (3, "t", "a", 0.3), (4, "u", "a", None)], "id int, text string, true_label string, x double")
+    assert sorted((r["id"], r["x"]) for r in features.join_on_text(base, other, key="id").collect()) == [(1, 0.2), (2, None)]
