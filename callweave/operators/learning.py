@@ -189,12 +189,13 @@ def balanced_resample(df: DataFrame, label: str, key: str, seed: int = 42) -> Da
     """As many rows as df, drawn with replacement with weight 1 / rows of their class; with draw, their number.
 
     Each draw names a class, all alike, and a place in it by seeded hashes. Rows are ranked within
-    their class and joined with the draws that name them. One row is one class.
+    their class and joined with the draws that name them. One row is one class. Rows without a label are
+    a class too, the last one, so the draws of the others do not depend on whether it is kept.
     """
     rows = ranked(df, [label], [F.col(key)], "_at", "_n")
     rows = checkpointed(rows)
     sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.max("_n").alias("_size"))
-    placed = checkpointed(sizes.withColumn("_place", F.row_number().over(Window.orderBy("_l")) - 1))
+    placed = checkpointed(sizes.withColumn("_place", F.row_number().over(Window.orderBy(F.asc_nulls_last("_l"))) - 1))
     total = placed.agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("n"), F.count("*").alias("classes")).first()
     bits = lambda what: F.conv(F.substring(seeded(seed, F.col("draw"), F.lit(what)), 1, 13), 16, 10).cast("bigint")
     draws = df.sparkSession.range(total["n"]).select(F.col("id").alias("draw")).select("draw", (bits("class") % max(total["classes"], 1)).alias("_p"), (bits("row") / F.lit(float(2**52))).alias("_u"))

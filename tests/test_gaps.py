@@ -6,7 +6,7 @@ from compare import assert_same, connect
 from pyspark.sql import functions as F
 
 from callweave.functions.expr import own_prefix, ranked
-from callweave.operators import curation, errors, features, fusion, handover, projection
+from callweave.operators import curation, errors, features, fusion, handover, learning, projection
 from callweave.queries import ORACLES, QUERIES
 
 VECTORS = "id int, truth int, text_probs array<double>, goemo_probs array<double>, lexicon_probs array<double>, audio_probs array<double>"
@@ -119,7 +119,7 @@ def repeated(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["j4_join_on_text"])
+@pytest.mark.parametrize("name", ["j4_join_on_text", "g10_balanced_resample"])
 def test_repeated_texts_and_missing_labels_equal_sql(spark, repeated, name):
     assert_same(QUERIES[name](spark, repeated), connect(repeated), ORACLES[name])
 
@@ -128,3 +128,11 @@ def test_the_first_score_of_a_text_is_taken(spark):
     base = spark.createDataFrame([(1, "t", "a"), (2, "u", "a")], "id int, text string, true_label string")
     other = spark.createDataFrame([(1, "t", "a", None), (2, "t", "a", 0.2), (3, "t", "a", 0.3), (4, "u", "a", None)], "id int, text string, true_label string, x double")
     assert sorted((r["id"], r["x"]) for r in features.join_on_text(base, other, key="id").collect()) == [(1, 0.2), (2, None)]
+
+
+def test_rows_without_a_label_are_drawn_as_the_last_class(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 3) for i in range(300)], "id int, y int")
+    made = learning.balanced_resample(df, "y", "id").collect()
+    assert len(made) == 300
+    labelled = learning.balanced_resample(df.fillna({"y": 3}), "y", "id").collect()  # as the last label
+    assert sorted((r["id"], r["draw"]) for r in made) == sorted((r["id"], r["draw"]) for r in labelled)
