@@ -108,9 +108,14 @@ def tune_late_weights(df: DataFrame, truth: str = "truth") -> DataFrame:
 def majority_vote(df: DataFrame, order: Sequence[str] = K.MODELS) -> DataFrame:
     """Adds pred: the class of most votes; among equals the one of the first model in order."""
     votes = F.array(*[argmax(F.col(f"{m}_probs")) for m in order])
-    # The vote of model i wins against later ones unless they have more votes.
-    ranked = F.transform(F.col("_votes"), lambda v, i: F.struct(F.size(F.filter(F.col("_votes"), lambda x: x == v)).alias("n"), (-i).alias("first"), v.alias("class")))
-    return df.withColumn("_votes", votes).withColumn("pred", F.array_max(ranked)["class"]).drop("_votes")
+
+    def first_of_most(votes: Column) -> Column:
+        # The vote of model i wins against later ones unless they have more votes.
+        ranked = F.transform(votes, lambda v, i: F.struct(F.size(F.filter(votes, lambda x: x == v)).alias("n"), (-i).alias("first"), v.alias("class")))
+        return F.array_max(ranked)["class"]
+
+    # The votes are named once, so that a filter on pred does not repeat them for each vote in the plan.
+    return df.withColumn("pred", F.get(F.transform(F.array(votes), first_of_most), 0))
 
 
 def model_predictions(df: DataFrame, models: Sequence[str] = K.MODELS, truth: str = "truth") -> DataFrame:

@@ -15,8 +15,14 @@ from ..functions.quantiles import percentiles
 
 
 def confusion_matrix(df: DataFrame, by: Sequence[str] = (), truth: str = "truth", pred: str = "pred") -> DataFrame:
-    """by, truth, pred, n for all 25 cells; rows without a truth or a prediction do not count."""
-    counts = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*by, F.col(truth).cast("int").alias("truth"), F.col(pred).cast("int").alias("pred")).agg(F.count("*").alias("n"))
+    """by, truth, pred, n for all 25 cells; rows without a truth or a prediction do not count.
+
+    They are left out by their count, after the rows are grouped: a filter on a prediction goes down to
+    the scan and there repeats all that the prediction is computed from, for each time it is named.
+    """
+    pairs = df.select(*by, F.col(truth).cast("int").alias("truth"), F.col(pred).cast("int").alias("pred"))
+    whole = F.col("truth").isNotNull() & F.col("pred").isNotNull()
+    counts = pairs.groupBy(*by, "truth", "pred").agg(F.count_if(whole).alias("n")).where("n > 0")
     return fill_cells(counts, by)
 
 

@@ -5,9 +5,10 @@ import pytest
 from compare import assert_same, connect
 from pyspark.sql import functions as F
 
-from callweave.functions.expr import own_prefix, ranked
-from callweave.operators import curation, errors, features, fusion, handover, learning, projection
+from callweave.functions.expr import argmax, own_prefix, ranked
+from callweave.operators import curation, errors, features, fusion, handover, learning, metrics, projection
 from callweave.queries import ORACLES, QUERIES
+from callweave.queries.registry import WEIGHTS, probs
 
 VECTORS = "id int, truth int, text_probs array<double>, goemo_probs array<double>, lexicon_probs array<double>, audio_probs array<double>"
 
@@ -136,3 +137,33 @@ def test_rows_without_a_label_are_drawn_as_the_last_class(spark):
     assert len(made) == 300
     labelled = learning.balanced_resample(df.fillna({"y": 3}), "y", "id").collect()  # as the last label
     assert sorted((r["id"], r["draw"]) for r in made) == sorted((r["id"], r["draw"]) for r in labelled)
+
+
+def filters(df):
+    """The filters of the optimized plan, as text."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+
+
+def test_metrics_do_not_filter_what_is_predicted(spark, repeated):
+    rows = probs(spark, repeated)
+    made = fusion.compare_strategies({"late": fusion.late_fusion(rows, WEIGHTS), "vote": fusion.majority_vote(rows)})
+    assert not [f for f in filters(made) if "conv_id" in f]  # nothing that is computed from the scan's columns
+
+
+def test_a_filter_on_the_vote_names_each_vector_once(spark, repeated):
+    def named(df):
+        return sum(f.count("conv_id") for f in filters(df))
+
+    rows = probs(spark, repeated)
+    each = sum(named(rows.where(argmax(F.col(f"{m}_probs")).isNotNull())) for m in ("text", "goemo", "lexicon", "audio"))
+    assert 0 < named(fusion.majority_vote(rows).where("pred IS NOT NULL")) <= each
+
+
+def test_groups_without_a_truth_or_a_prediction_have_no_cells(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", None, 1), ("a", 2, None), ("b", None, 3), ("b", 3, None), ("c", -1, 0), (None, 0, 0)], "g string, truth int, pred int")
+    cells = metrics.confusion_matrix(df, ["g"]).collect()
+    assert sorted((str(r["g"]), r["truth"], r["pred"], r["n"]) for r in cells if r["n"]) == [("None", 0, 0, 1), ("a", 1, 1, 1)]
+    assert len(cells) == 75  # of a, c and the group without a name
+    assert metrics.confusion_matrix(df.limit(0), ["g"]).count() == 0
+    assert {r["n"] for r in metrics.confusion_matrix(df.where("g = 'b'")).collect()} == {0}
